@@ -67,7 +67,7 @@ QUERIES = {f.__name__: f for f in (p1_found, p1_broken_fields, p1_loaded, p2_fou
 _BLANKS = "' ' || chr(9) || chr(13)"
 _NUMBER = "[+-]?([0-9]+[.]?[0-9]*|[.][0-9]+)([eE][+-]?[0-9]+)?"
 #: Every line with its fields, by rules of its own: quotes are checked and hidden, then fields counted and cast.
-_LINES = f"""
+LINES = f"""
 t as (select *, trim(coalesce(raw, ''), {_BLANKS}) s from label_lines),
 u as (select *, regexp_replace(s, '(^|[ \t])"([^"]|"")*"([ \t]|$)', '\\1Q\\3', 'g') u1 from t),
 v as (select *, regexp_replace(u1, '(^|[ \t])"([^"]|"")*"([ \t]|$)', '\\1Q\\3', 'g') u2 from u),
@@ -82,16 +82,16 @@ _FILES = """
 l as (select file_id, count(*) n_lines, sum(strlen(coalesce(raw, '')) + 1) n_bytes,
   string_agg(trim(regexp_replace(raw, '[ \t\r]+', ' ', 'g'), ' '), chr(10) order by line_idx) filter (trim(regexp_replace(raw, '[ \t\r]+', ' ', 'g'), ' ') <> '') body from label_lines group by file_id),
 f as (select file_id, image_key, coalesce(l.n_lines, 0) n_lines, coalesce(l.n_bytes, 0) n_bytes, body, case when body is not null then min(file_id) over (partition by image_key, body) end same_as from label_files left join l using (file_id))"""
-_VALUES = f"""{_LINES},
+_VALUES = f"""{LINES},
 vals as (select 'label_lines' table_name, cast(id as int) class_id, c[3] w from parsed where reason is null union all select 'boxes', class_id, w from boxes where class_id is not null)"""
 
 ORACLE = {
-    "p1_found": f"with {_LINES} select line_id, reason from parsed where reason is not null",
-    "p1_loaded": f"with {_LINES} select line_id, cast(id as int) class_id, c[1] xc, c[2] yc, c[3] w, c[4] h from parsed where reason is null",
+    "p1_found": f"with {LINES} select line_id, reason from parsed where reason is not null",
+    "p1_loaded": f"with {LINES} select line_id, cast(id as int) class_id, c[1] xc, c[2] yc, c[3] w, c[4] h from parsed where reason is null",
     "p2_found": f"with {_FILES} select a.file_id file_id_a, b.file_id file_id_b from f a join f b on a.image_key = b.image_key and a.body = b.body and a.file_id < b.file_id",
     "p2_consolidated": f"with {_FILES} select file_id, line_idx, line_id, raw from label_lines where file_id not in (select file_id from f where same_as <> file_id)",
     "p2_files": f"with {_FILES} select file_id, image_key, cast(n_lines as bigint) n_lines, cast(n_bytes as bigint) n_bytes, same_as from f",
-    "p4_found": f"with {_VALUES} select table_name, class_id from (select table_name, class_id, count(*) n, sum(count(*)) over (partition by table_name) total from vals group by all) where n * 20 >= total",
+    "p4_found": f"with {_VALUES} select table_name, class_id from (select *, sum(n) over (partition by table_name) total from (select table_name, class_id, count(*) n from vals group by all)) where n * 20 >= total",
     "p4_class_quantiles": f"""with {_VALUES},
       fin as (select table_name, class_id, w, row_number() over (partition by table_name, class_id order by w) rn, count(*) over (partition by table_name, class_id) n from vals where isfinite(w)),
       per as (select table_name, class_id, count(*) n_rows, count(*) filter (isfinite(w)) n_values from vals group by all),
