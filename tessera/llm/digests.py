@@ -13,6 +13,7 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+import pyarrow.compute
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -28,64 +29,100 @@ FAN_IN = 32
 _DIGEST = "n bigint, least double, greatest double, means array<double>, weights array<bigint>"
 
 
-def cluster(means: np.ndarray, weights: np.ndarray, size: int = SIZE) -> tuple[np.ndarray, np.ndarray]:
-    """Centroids of sorted, weighted values."""
-    total = weights.sum()
-    middle = np.clip((np.cumsum(weights) - weights / 2) / total, 0, 1)
+def cluster(group: np.ndarray, means: np.ndarray, weights: np.ndarray, size: int = SIZE) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Centroids of weighted values that are sorted within contiguous groups: where each starts, its mean, its weight."""
+    new = np.r_[True, group[1:] != group[:-1]]
+    first = np.flatnonzero(new)
+    lengths = np.diff(np.r_[first, len(group)])
+    run = np.cumsum(weights)
+    before = np.repeat((run - weights)[first], lengths)
+    total = np.repeat(np.add.reduceat(weights, first), lengths)
+    middle = np.clip((run - before - weights / 2) / total, 0, 1)
     k = np.floor(size * np.arcsin(2 * middle - 1) / np.pi)
-    start = np.flatnonzero(np.r_[True, k[1:] != k[:-1]])
+    start = np.flatnonzero(new | np.r_[True, k[1:] != k[:-1]])
+    lengths = np.diff(np.r_[start, len(group)])
     w = np.add.reduceat(weights, start)
-    # mean as least value plus mean distance: no overflow of sums of large values
-    base = np.repeat(means[start], np.diff(np.r_[start, len(means)]))
-    with np.errstate(over="ignore"):
-        m = means[start] + np.add.reduceat((means - base) * (weights / np.repeat(w, np.diff(np.r_[start, len(means)]))), start)
-    return np.where(np.isfinite(m), m, means[start]), w
+    # least value plus mean distance from it, so that sums of large values don't overflow
+    with np.errstate(over="ignore", invalid="ignore"):
+        m = means[start] + np.add.reduceat((means - np.repeat(means[start], lengths)) * (weights / np.repeat(w, lengths)), start)
+    return start, np.where(np.isfinite(m), m, means[start]), w
 
 
 def quantile(means: np.ndarray, weights: np.ndarray, least: float, greatest: float, q: float) -> float:
     """Between neighbouring centroids' middles, by rank."""
-    n = weights.sum()
-    at = np.r_[0.0, np.cumsum(weights) - weights / 2, n]
-    return float(np.interp(q * n, at, np.r_[least, means, greatest]))
+    n, upto = weights.sum(), np.cumsum(weights)
+    k = min(int(np.searchsorted(upto, q * n * (1 - 1e-15))), len(means) - 1)
+    if weights[k] == 1:  # a single value is exact
+        return float(means[k])
+    return float(np.interp(q * n, np.r_[0.0, upto - weights / 2, n], np.r_[least, means, greatest]))
 
 
-def _partials(n_keys: int, size: int, buffer: int):
+def _table(t: pa.Table, keys: list[str], rows: np.ndarray, group: np.ndarray, means: np.ndarray, weights: np.ndarray, least: np.ndarray, greatest: np.ndarray, size: int) -> pa.Table:
+    """Digests of the groups, whose keys stand in `rows` of t."""
+    start, m, w = cluster(group, means, weights, size)
+    first = np.flatnonzero(np.r_[True, group[start][1:] != group[start][:-1]])
+    offsets = pa.array(np.r_[first, len(start)].astype(np.int32))
+    out = t.select(keys).take(pa.array(rows))
+    for name, col in (("n", pa.array(np.add.reduceat(w, first))), ("least", pa.array(least)), ("greatest", pa.array(greatest)), ("means", pa.ListArray.from_arrays(offsets, pa.array(m))), ("weights", pa.ListArray.from_arrays(offsets, pa.array(w)))):
+        out = out.append_column(name, col)
+    return out.combine_chunks()
+
+
+def _codes(t: pa.Table, keys: list[str]) -> np.ndarray:
+    return t.select(keys).to_pandas().groupby(keys, sort=False, dropna=False).ngroup().to_numpy()
+
+
+def _partials(keys: list[str], size: int, buffer: int):
     """Sorts what a worker reads, buffer by buffer, and yields a digest per group."""
 
-    def digest(t: pa.Table) -> Iterator[pa.RecordBatch]:
-        keys = t.column_names[:n_keys]
-        group = t.select(keys).to_pandas().groupby(keys, sort=False, dropna=False).ngroup().to_numpy()
-        v = t.column(n_keys).to_numpy()
+    def digest(t: pa.Table) -> pa.Table:
+        group, v = _codes(t, keys), t.column(len(keys)).to_numpy()
         order = np.lexsort((v, group))
         group, v = group[order], v[order]
-        start = np.flatnonzero(np.r_[True, group[1:] != group[:-1]])
-        end = np.r_[start[1:], len(v)]
-        parts = [cluster(v[a:z], np.ones(z - a, np.int64), size) for a, z in zip(start, end)]
-        out = t.select(keys).take(pa.array(order[start]))
-        for name, col in (("n", pa.array(end - start)), ("least", pa.array(v[start])), ("greatest", pa.array(v[end - 1])), ("means", pa.array([m for m, _ in parts], pa.list_(pa.float64()))), ("weights", pa.array([w for _, w in parts], pa.list_(pa.int64())))):
-            out = out.append_column(name, col)
-        yield from out.combine_chunks().to_batches()
+        first = np.flatnonzero(np.r_[True, group[1:] != group[:-1]])
+        last = np.r_[first[1:], len(v)] - 1
+        return _table(t, keys, order[first], group, v, np.ones(len(v), np.int64), v[first], v[last], size)
+
+    return _buffered(digest, buffer, None)
+
+
+def _merged(keys: list[str], size: int, buffer: int):
+    """Folds a partition's digests: whenever so many centroids are held, they merge."""
+
+    def fold(t: pa.Table) -> pa.Table:
+        code = _codes(t, keys)
+        lists = t.column("means").combine_chunks(), t.column("weights").combine_chunks()
+        means, weights = (x.flatten().to_numpy() for x in lists)
+        group = np.repeat(code, pa.compute.list_value_length(lists[0]).to_numpy())
+        order = np.lexsort((means, group))
+        rows = np.argsort(code, kind="stable")
+        first = np.flatnonzero(np.r_[True, code[rows][1:] != code[rows][:-1]])
+        ends = [f.reduceat(t.column(c).to_numpy()[rows], first) for f, c in ((np.minimum, "least"), (np.maximum, "greatest"))]
+        return _table(t, keys, rows[first], group[order], means[order], weights[order], *ends, size)
+
+    return _buffered(fold, buffer, fold)
+
+
+def _buffered(make, buffer: int, fold):
+    def weight(b: pa.RecordBatch) -> int:
+        return len(b.column("means").flatten()) if fold else len(b)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held, rows = [], 0
         for b in batches:
+            if not len(b):
+                continue
             held.append(b)
-            rows += len(b)
+            rows += weight(b)
             if rows >= buffer:
-                yield from digest(pa.Table.from_batches(held))
-                held, rows = [], 0
-        if rows:
-            yield from digest(pa.Table.from_batches(held))
-
-    return run
-
-
-def _merge(keys: list[str], size: int):
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        means, weights = np.concatenate(pdf["means"].to_list()), np.concatenate(pdf["weights"].to_list())
-        order = np.argsort(means, kind="stable")
-        m, w = cluster(means[order], weights[order], size)
-        return pd.DataFrame({**{k: [pdf[k].iloc[0]] for k in keys}, "n": [pdf["n"].sum()], "least": [pdf["least"].min()], "greatest": [pdf["greatest"].max()], "means": [m], "weights": [w]})
+                t = make(pa.Table.from_batches(held))
+                if fold:
+                    held, rows = t.to_batches(), 0
+                else:
+                    yield from t.to_batches(max_chunksize=1000)
+                    held, rows = [], 0
+        if held:
+            yield from make(pa.Table.from_batches(held)).to_batches(max_chunksize=1000)
 
     return run
 
@@ -95,18 +132,22 @@ def _key_schema(df: DataFrame, keys: list[str]) -> str:
     return ", ".join(f"`{k}` {types[k]}" for k in keys)
 
 
-def merge_digests(digests: DataFrame, keys: list[str], size: int = SIZE) -> DataFrame:
+def merge_digests(digests: DataFrame, keys: list[str], size: int = SIZE, buffer: int = BUFFER) -> DataFrame:
     """Digests per keys out of finer ones: of partitions, days, or former results."""
-    return digests.groupBy(*keys).applyInPandas(_merge(keys, size), f"{_key_schema(digests, keys)}, {_DIGEST}")
+    cols = [c.split()[0] for c in _DIGEST.split(", ")]
+    return digests.select(*keys, *cols).repartition(*keys).mapInArrow(_merged(keys, size, buffer), f"{_key_schema(digests, keys)}, {_DIGEST}")
 
 
 def build_digests(rows: DataFrame, keys: list[str], value: str, size: int = SIZE, buffer: int = BUFFER) -> DataFrame:
-    """A digest per keys over the finite values. Null, NaN and infinite values don't count; a group without any has no digest."""
-    d = rows.select(*keys, F.col(value).cast("double").alias("value")).where("value is not null and not isnan(value) and abs(value) < double('Infinity')")
-    schema = f"{_key_schema(d, keys)}, {_DIGEST}"
-    partial = d.mapInArrow(_partials(len(keys), size, buffer), schema)
-    some = merge_digests(partial.withColumn("part", F.spark_partition_id() % FAN_IN), [*keys, "part"], size)
-    return merge_digests(some, keys, size)
+    """A digest per keys over the finite values. Null, NaN and infinite values don't count; a group without any has no digest; a null key is a group."""
+    d = _finite(rows, keys, value)
+    partial = d.mapInArrow(_partials(keys, size, buffer), f"{_key_schema(d, keys)}, {_DIGEST}")
+    some = merge_digests(partial.withColumn("part", F.spark_partition_id() % FAN_IN), [*keys, "part"], size, buffer)
+    return merge_digests(some, keys, size, buffer)
+
+
+def _finite(rows: DataFrame, keys: list[str], value: str) -> DataFrame:
+    return rows.select(*keys, F.col(value).cast("double").alias("value")).where("value is not null and not isnan(value) and abs(value) < double('Infinity')")
 
 
 def estimates(digests: DataFrame, keys: list[str], quantiles: list[float]) -> DataFrame:
@@ -124,7 +165,7 @@ def estimates(digests: DataFrame, keys: list[str], quantiles: list[float]) -> Da
 
 def certified(rows: DataFrame, keys: list[str], value: str, estimated: DataFrame, bound: float) -> DataFrame:
     """estimates() with, added by a counting pass over the values: below (values < estimate), upto (<= estimate), rank_error (distance of q * n from [below, upto], over n) and whether it keeps the bound."""
-    finite = rows.select(*keys, F.col(value).cast("double").alias("value")).where("value is not null and not isnan(value) and abs(value) < double('Infinity')")
+    finite = _finite(rows, keys, value)
     asked = estimated.groupBy(*keys).agg(F.collect_list(F.struct("q", "estimate")).alias("asked"))
     hit = join_small(finite, asked, keys).select(*keys, "value", F.inline("asked"))
     counts = hit.groupBy(*keys, "q").agg(F.count_if(F.col("value") < F.col("estimate")).alias("below"), F.count_if(F.col("value") <= F.col("estimate")).alias("upto"))
