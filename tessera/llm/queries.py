@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tessera.llm import digests, leakage, overlap, packing
+from tessera.llm import digests, leakage, overlap, packing, pii
 from tessera.operators.bad_rows import loaded, parse_rows
 from tessera.plans.data_queries import LINES
 from tessera.util import cut, load
@@ -76,7 +76,31 @@ def p7_spans(spark, d):
     return _spans(spark, d)
 
 
-QUERIES = {f.__name__: f for f in (p3_percentiles, p3_within_bound, p5_found, p5_counts, p6_found, p6_contents, p6_fill, p6_tokens, p7_found, p7_spans)}
+#: Of the surrogates; a deployment sets its own.
+KEY = "tessera"
+
+
+def _personal(spark, d, make):
+    return make(load(spark, d, "documents").select("doc_id", "text"), load(spark, d, "name_list"), load(spark, d, "members"), KEY)
+
+
+def p8_found(spark, d):
+    return _personal(spark, d, pii.find_personal).select("doc_id", "kind", "start_pos", "end_pos")
+
+
+def p8_surrogates(spark, d):
+    return _personal(spark, d, pii.find_personal)
+
+
+def p8_redacted(spark, d):
+    return _personal(spark, d, pii.rewrite)
+
+
+def p8_clashes(spark, d):
+    return pii.clashes(_personal(spark, d, pii.find_personal))
+
+
+QUERIES = {f.__name__: f for f in (p3_percentiles, p3_within_bound, p5_found, p5_counts, p6_found, p6_contents, p6_fill, p6_tokens, p7_found, p7_spans, p8_found, p8_surrogates, p8_redacted, p8_clashes)}
 
 _PICTURES = r"""
 p as (select error_id, regexp_replace(replace(path, '\', '/'), '(/+([.]/+)*)', '/', 'g') path from image_errors),
