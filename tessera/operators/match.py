@@ -7,12 +7,16 @@ in file order, with no image's boxes gathered in one task.
 
 from __future__ import annotations
 
+import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from tessera.functions import geom
 from tessera.operators.spatial import ceil_log2, overlapping
-from tessera.util import cut
+from tessera.util import cut, is_small
+
+#: So many candidate rows or fewer are finished image by image in one pass; the size is counted first.
+FEW = 100_000
 
 
 def numbered(boxes: DataFrame, keys: list[str], order: list[str]) -> DataFrame:
@@ -40,11 +44,38 @@ def iou_candidates(gt: DataFrame, pred: DataFrame, least: float) -> DataFrame:
     return pairs.select("l.image_key", F.col("l.idx").alias("gt_idx"), F.col("r.idx").alias("pred_idx"), F.col("l.class_id").alias("gt_class"), F.col("r.class_id").alias("pred_class"), geom.iou(F.col("l.box"), F.col("r.box")).alias("iou"))
 
 
-def greedy_match(candidates: DataFrame) -> DataFrame:
+def _greedy_image(pdf: pd.DataFrame) -> pd.DataFrame:
+    """The loop itself over one image's candidates."""
+    taken, keep, last = set(), [], None
+    pdf = pdf.sort_values(["gt_idx", "iou", "pred_idx"], ascending=[True, False, True], kind="stable").reset_index(drop=True)
+    for i, (g, p) in enumerate(zip(pdf["gt_idx"].tolist(), pdf["pred_idx"].tolist())):
+        if g != last and p not in taken:
+            taken.add(p)
+            keep.append(i)
+            last = g
+    return pdf.iloc[keep]
+
+
+def _acting_image(pdf: pd.DataFrame) -> pd.DataFrame:
+    """Of one image's (big, small) pairs, the boxes that act at their turn."""
+    gone, acting = set(), []
+    smalls = pdf.groupby("big")["small"].apply(list)
+    for big in sorted(smalls.index):
+        if big not in gone:
+            acting.append(big)
+            gone.update(x for x in smalls[big] if x > big)
+    return pd.DataFrame({"image_key": [pdf["image_key"].iloc[0]] * len(acting), "i": acting})
+
+
+def greedy_match(candidates: DataFrame, few: int = FEW) -> DataFrame:
     """Matched pairs when ground-truth boxes, in order, each take the best prediction not yet taken (larger IoU, then lower index)."""
     open_, done = cut(candidates), []
     best = Window.partitionBy("image_key", "gt_idx").orderBy(F.desc("iou"), "pred_idx")
     while True:
+        if is_small(open_, few):
+            done.append(open_.groupBy("image_key").applyInPandas(_greedy_image, open_.schema))
+            open_ = open_.limit(0)
+            break
         first = open_.withColumn("__rank", F.row_number().over(best))
         rivals = open_.groupBy("image_key", "pred_idx").agg(F.min("gt_idx").alias("__first"))
         # a box takes its best open prediction once no earlier open box may still want it
@@ -74,7 +105,7 @@ def match_events(gt: DataFrame, pred: DataFrame, least: float) -> DataFrame:
     return m.withColumn("kind", kind).select(cols).unionByName(missed).unionByName(extra)
 
 
-def absorbed(boxes: DataFrame, share: float, into: list[int] | None = None, absorb: list[int] | None = None) -> DataFrame:
+def absorbed(boxes: DataFrame, share: float, into: list[int] | None = None, absorb: list[int] | None = None, few: int = FEW) -> DataFrame:
     """image_key, idx of the boxes that are dropped: a box that at its turn is still there absorbs strictly smaller ones of which it holds `share` of the area.
 
     boxes: image_key, idx, class_id, box. into, absorb: classes that may absorb and be absorbed, any if None; one without the other is refused.
@@ -88,6 +119,9 @@ def absorbed(boxes: DataFrame, share: float, into: list[int] | None = None, abso
     holds = lambda l, r: (l["idx"] != r["idx"]) & (geom.area(r["box"]) > geom.area(l["box"])) & geom.contained_ratio(l["box"], r["box"], share)
     pairs = overlapping(left, right, "image_key", "box", holds, None, ceil_log2(1 / share) + 1)
     d = cut(pairs.select("l.image_key", F.col("r.idx").alias("big"), F.col("l.idx").alias("small")))
+    if is_small(d, few):
+        acting = d.groupBy("image_key").applyInPandas(_acting_image, "image_key bigint, i int")
+        return d.join(acting.withColumnRenamed("i", "big"), ["image_key", "big"], "left_semi").select("image_key", F.col("small").alias("idx")).distinct()
     # a box acts unless an acting box before it absorbs it
     before = d.where("big < small").select("image_key", F.col("big").alias("k"), F.col("small").alias("i"))
     open_ = cut(d.select("image_key", F.col("big").alias("i")).distinct())
