@@ -12,11 +12,11 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from tessera.functions import geom
-from tessera.operators.spatial import ceil_log2, overlapping
+from tessera.operators.spatial import ceil_log2, iou_pairs, overlapping
 from tessera.util import cut, is_small
 
 #: So many candidate rows or fewer are finished image by image in one pass; the size is counted first.
-FEW = 100_000
+FEW = 1_000_000
 
 
 def numbered(boxes: DataFrame, keys: list[str], order: list[str]) -> DataFrame:
@@ -35,13 +35,8 @@ def numbered(boxes: DataFrame, keys: list[str], order: list[str]) -> DataFrame:
 
 def iou_candidates(gt: DataFrame, pred: DataFrame, least: float) -> DataFrame:
     """image_key, gt_idx, pred_idx, iou (> 0 and at least `least`). Both sides: image_key, idx, class_id, box (pixels)."""
-    if not 0 < least <= 1:
-        raise ValueError("least is above 0 and at most 1")
-    # IoU >= t bounds the sides' ratio by t, so levels differ by log2(1/t) + 1 at most
-    span = ceil_log2(1 / least) + 1
-    cond = lambda l, r: (geom.iou(l["box"], r["box"]) > 0) & (geom.iou(l["box"], r["box"]) >= least)
-    pairs = overlapping(gt, pred, "image_key", "box", cond, span, span)
-    return pairs.select("l.image_key", F.col("l.idx").alias("gt_idx"), F.col("r.idx").alias("pred_idx"), F.col("l.class_id").alias("gt_class"), F.col("r.class_id").alias("pred_class"), geom.iou(F.col("l.box"), F.col("r.box")).alias("iou"))
+    pairs = iou_pairs(gt, pred, "image_key", "box", least)
+    return pairs.select("l.image_key", F.col("l.idx").alias("gt_idx"), F.col("r.idx").alias("pred_idx"), F.col("l.class_id").alias("gt_class"), F.col("r.class_id").alias("pred_class"), "iou")
 
 
 def _greedy_image(pdf: pd.DataFrame) -> pd.DataFrame:
@@ -68,27 +63,24 @@ def _acting_image(pdf: pd.DataFrame) -> pd.DataFrame:
 
 
 def greedy_match(candidates: DataFrame, few: int = FEW) -> DataFrame:
-    """Matched pairs when ground-truth boxes, in order, each take the best prediction not yet taken (larger IoU, then lower index)."""
-    open_, done = cut(candidates), []
-    best = Window.partitionBy("image_key", "gt_idx").orderBy(F.desc("iou"), "pred_idx")
-    while True:
-        if is_small(open_, few):
-            done.append(open_.groupBy("image_key").applyInPandas(_greedy_image, open_.schema))
-            open_ = open_.limit(0)
-            break
-        first = open_.withColumn("__rank", F.row_number().over(best))
-        rivals = open_.groupBy("image_key", "pred_idx").agg(F.min("gt_idx").alias("__first"))
-        # a box takes its best open prediction once no earlier open box may still want it
-        taken = cut(first.where("__rank = 1").join(rivals, ["image_key", "pred_idx"]).where("gt_idx = __first").drop("__rank", "__first"))
-        if taken.isEmpty():
-            break
-        done.append(taken)
-        open_ = open_.join(taken.select("image_key", "gt_idx"), ["image_key", "gt_idx"], "left_anti").join(taken.select("image_key", "pred_idx"), ["image_key", "pred_idx"], "left_anti")
-        open_ = cut(open_)
-    out = open_.select(candidates.columns)
-    for d in done:
-        out = out.unionByName(d.select(candidates.columns))
-    return out
+    """Matched pairs when ground-truth boxes, in order, each take the best prediction not yet taken (larger IoU, then lower index).
+
+    The loop's result is the one stable matching in which every prediction prefers the earliest box. So all boxes propose at once
+    to their best prediction; what a prediction could only accept from later boxes than the earliest that proposes is struck out,
+    until nothing is. Once the candidates are few enough, the loop itself finishes, image by image.
+    """
+    open_ = cut(candidates)
+    n = open_.count()
+    while n > few:
+        best = open_.groupBy("image_key", "gt_idx").agg(F.min(F.struct((-F.col("iou")).alias("o"), "pred_idx")).alias("b"))
+        held = best.groupBy("image_key", F.col("b.pred_idx").alias("pred_idx")).agg(F.min("gt_idx").alias("__held"))
+        kept = cut(open_.join(held, ["image_key", "pred_idx"], "left").where("__held is null or gt_idx <= __held").select(candidates.columns))
+        left = kept.count()
+        if left == n:
+            mine = best.select("image_key", "gt_idx", "b.pred_idx")
+            return kept.join(mine, ["image_key", "gt_idx", "pred_idx"]).select(candidates.columns)
+        open_, n = kept, left
+    return open_.groupBy("image_key").applyInPandas(_greedy_image, open_.schema)
 
 
 def match_events(gt: DataFrame, pred: DataFrame, least: float) -> DataFrame:

@@ -63,3 +63,38 @@ def overlapping(left: DataFrame, right: DataFrame, image: str, box: str, conditi
 def longer_side(b: Column, margin: float = 0.0) -> Column:
     """Level of a box as overlapping() sees it, to take symmetric pairs from the smaller box's side once."""
     return _level(b, LOWEST if margin <= 0 else max(LOWEST, ceil_log2(2 * margin)))
+
+
+def iou_pairs(left: DataFrame, right: DataFrame, image: str, box: str, least: float) -> DataFrame:
+    """(l, r, iou) of one image with IoU at least `least` (above 0), each pair once; box in pixels.
+
+    Such boxes have sides within a factor 1/least of each other and near centres. So right boxes have one key: the level of either
+    side and the cell of their centre; left ones look up the few keys that can hold a partner. Rows with nulls have no pairs.
+    """
+    if not 0 < least <= 1:
+        raise ValueError("least is above 0 and at most 1")
+    span = ceil_log2(1 / least)
+    level = lambda side: F.ceil(F.log2(side.cast("double"))).cast("int")
+
+    def flat(d: DataFrame, n: str) -> DataFrame:
+        b = F.col(box)
+        w, h = b["x2"] - b["x1"], b["y2"] - b["y1"]
+        cols = [F.struct(*d.columns).alias(n), F.col(image).alias("__image"), *(b[k].alias(f"{n}{k}") for k in ("x1", "y1", "x2", "y2")), w.alias(f"{n}w"), h.alias(f"{n}h"), (w.cast("double") * h).alias(f"{n}a")]
+        return d.where(F.col(image).isNotNull() & (w > 0) & (h > 0)).select(*cols)
+
+    r = flat(right, "r").withColumn("__lx", level(F.col("rw"))).withColumn("__ly", level(F.col("rh")))
+    for axis in "xy":
+        r = r.withColumn(f"__c{axis}", F.floor((F.col(f"r{axis}1") + F.col(f"r{axis}2")) / 2 / F.pow(F.lit(2.0), F.col(f"__l{axis}"))))
+    l = flat(left, "l")  # noqa: E741
+    for axis, side in (("x", "lw"), ("y", "lh")):
+        own, name = level(F.col(side)), f"__l{axis}"
+        l = l.withColumn(name, F.explode(F.sequence(own - span, own + span)))  # noqa: E741
+        size = F.pow(F.lit(2.0), F.col(name))
+        reach = F.greatest(F.col(side).cast("double"), size) * (1 - least)
+        middle = (F.col(f"l{axis}1") + F.col(f"l{axis}2")) / 2
+        l = l.withColumn(f"__c{axis}", F.explode(F.sequence(F.floor((middle - reach) / size), F.floor((middle + reach) / size))))  # noqa: E741
+    side = lambda a: F.least(F.col(f"l{a}2"), F.col(f"r{a}2")) - F.greatest(F.col(f"l{a}1"), F.col(f"r{a}1"))
+    both = side("x").cast("double") * side("y")
+    share = F.try_divide(both, F.col("la") + F.col("ra") - both)
+    j = l.join(r, ["__image", "__lx", "__ly", "__cx", "__cy"]).where((side("x") > 0) & (side("y") > 0) & (share >= least))
+    return j.select("l", "r", share.alias("iou"))

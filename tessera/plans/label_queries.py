@@ -303,7 +303,7 @@ _EV = f"with recursive {_EVENTS} "
 
 def _events(spark, d):
     g, p = pixel_sides(spark, d)
-    return match_events(cut(g), cut(p), 0.5)
+    return match_events(g, p, 0.5)
 
 
 @query(_EV + "select * from ev")
@@ -366,7 +366,7 @@ _MM = "mm as (select g.xc, g.yc, g.w, g.h from ev join g on g.image_key = ev.ima
 
 @query(_EV + f", {_MM} select count(*) n, " + ", ".join(f"round(avg({c}), 6) {c}_mean, min({c}) {c}_min, max({c}) {c}_max" for c in ("w", "h", "xc", "yc")) + " from mm")
 def mismatch_stats(spark, d):
-    g, p = (cut(x) for x in pixel_sides(spark, d))
+    g, p = pixel_sides(spark, d)
     e = match_events(g, p, 0.5).where("kind <> 'correct'")
     cols = ["xc", "yc", "w", "h"]
     a = e.where("gt_idx is not null").join(g.withColumnRenamed("idx", "gt_idx"), ["image_key", "gt_idx"]).select(*cols)

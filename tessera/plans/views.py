@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from tessera.functions import geom
 from tessera.operators.match import numbered
-from tessera.util import load
+from tessera.util import cut, load
 
 #: Order of boxes within an image; rows equal in all of it are alike.
 ORDER = ["box_idx", "class_id", "xc", "yc", "w", "h", "conf", "ingested_at"]
@@ -38,16 +38,19 @@ def corner_column() -> Column:
 def indexed(spark: SparkSession, d: str, origin: str) -> DataFrame:
     """Boxes of one origin with idx, their place in the image."""
     b = boxes(spark, d).where(F.col("origin") == origin).select("image_key", *ORDER)
-    return numbered(b.withColumn("__c", F.coalesce("conf", F.lit(float("nan")))), ["image_key"], [*(o if o != "conf" else "__c" for o in ORDER)]).drop("__c")
+    return _in_order(b, ["image_key"])
+
+
+def _in_order(b: DataFrame, keys: list[str]) -> DataFrame:
+    return numbered(b.withColumn("__c", F.coalesce("conf", F.lit(float("nan")))), keys, [*(o if o != "conf" else "__c" for o in ORDER)]).drop("__c")
 
 
 def pixel_sides(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
     """Ground truth and predictions with pixel boxes (ordered, clamped to the image), for matching."""
-    out = []
-    for origin in ("gt", "pred"):
-        b = sized(spark, d, indexed(spark, d, origin))
-        out.append(b.select("image_key", "idx", "class_id", geom.pixel_ordered(corner_column(), F.col("width"), F.col("height")).alias("box"), "xc", "yc", "w", "h", "conf"))
-    return out[0], out[1]
+    b = boxes(spark, d).where("origin in ('gt', 'pred')").select("image_key", "origin", *ORDER)
+    b = sized(spark, d, _in_order(b, ["image_key", "origin"]))
+    p = cut(b.select("image_key", "origin", "idx", "class_id", geom.pixel_ordered(corner_column(), F.col("width"), F.col("height")).alias("box"), "xc", "yc", "w", "h", "conf"))
+    return p.where("origin = 'gt'").drop("origin"), p.where("origin = 'pred'").drop("origin")
 
 
 BOXES = "bx as (select * from boxes where class_id is not null and isfinite(xc) and isfinite(yc) and isfinite(w) and isfinite(h))"
