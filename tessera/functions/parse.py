@@ -33,7 +33,7 @@ def box_line(tok: Column) -> Column:
     ok = F.size(tok) >= 5
     for c in v:
         ok &= c.isNotNull()
-    return F.when(ok, F.struct(*(c.alias(n) for c, n in zip(v, ("class_id", "xc", "yc", "w", "h"))), F.slice(tok, 6, 2**31 - 1).alias("extras")))
+    return F.when(ok, F.struct(*(c.alias(n) for c, n in zip(v, ("class_id", "xc", "yc", "w", "h"))), F.slice(tok, F.lit(6), F.size(tok)).alias("extras")))
 
 
 def score(tok: Column, index: int = 5) -> Column:
@@ -43,7 +43,7 @@ def score(tok: Column, index: int = 5) -> Column:
 
 def class_line(tok: Column) -> Column:
     """struct(class_id, rest) where only the class counts; null without an integer first token."""
-    return F.when(as_int(F.get(tok, F.lit(0))).isNotNull(), F.struct(as_int(F.get(tok, F.lit(0))).alias("class_id"), F.slice(tok, 2, 2**31 - 1).alias("rest")))
+    return F.when(as_int(F.get(tok, F.lit(0))).isNotNull(), F.struct(as_int(F.get(tok, F.lit(0))).alias("class_id"), F.slice(tok, F.lit(2), F.size(tok)).alias("rest")))
 
 
 def polygon_box(coords: Column) -> Column:

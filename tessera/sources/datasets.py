@@ -20,9 +20,15 @@ def _plain(path: Column) -> Column:
     return F.regexp_replace(path, "^file:/+", "/")
 
 
+def _texts(spark: SparkSession, root: str, recursive: bool) -> DataFrame:
+    """path, content of .txt files. The text source leaves empty files out, which matter here, so bytes are read."""
+    d = spark.read.format("binaryFile").option("recursiveFileLookup", recursive).option("pathGlobFilter", "*.txt").load(root)
+    return d.select(_plain(F.col("path")).alias("path"), F.decode("content", "UTF-8").alias("content"))
+
+
 def label_files(spark: SparkSession, root: str, parents: tuple[str, ...] | None = ("labels",), any_ancestor: bool = False) -> DataFrame:
     """path, content of the .txt files under root whose parent folder (or, with any_ancestor, some folder) is one of parents; all of them for None."""
-    d = spark.read.text(root, wholetext=True, recursiveFileLookup=True, pathGlobFilter="*.txt").select(_plain(F.col("_metadata.file_path")).alias("path"), F.col("value").alias("content"))
+    d = _texts(spark, root, True)
     if parents is None:
         return d
     names = "|".join(parents)
@@ -41,7 +47,7 @@ def split_labels(spark: SparkSession, root: str, splits: list[str]) -> DataFrame
     for s in splits:
         at = f"{root}/{s}/labels"
         if os.path.isdir(at):
-            d = spark.read.text(at, wholetext=True, pathGlobFilter="*.txt").select(F.lit(s).alias("split"), _plain(F.col("_metadata.file_path")).alias("path"), F.col("value").alias("content"))
+            d = _texts(spark, at, False).select(F.lit(s).alias("split"), "path", "content")
             out = d if out is None else out.unionByName(d)
     return out if out is not None else spark.createDataFrame([], "split string, path string, content string")
 
