@@ -328,10 +328,10 @@ class Surrogates:
     def number(self, digits: str, tweak: str) -> str:
         """A number of as many digits, without a leading zero unless it has one."""
         n = len(digits)
-        if n > 1 and digits[0] != "0":
-            low = 10 ** (n - 1)
-            return str(low + permuted(int(digits) - low, 9 * low, self.key, tweak))
-        return str(permuted(int(digits), 10**n, self.key, tweak)).zfill(n)
+        if n > 1 and digits[0] == "0":
+            return "0" + self.number(digits[1:], tweak)
+        low = 10 ** (n - 1) if n > 1 else 0
+        return str(low + permuted(int(digits) - low, 10**n - low, self.key, tweak))
 
     def digits(self, text: str, last: int, tweak: str) -> str:
         """The last so many digits of text replaced as one number, whatever stands between them."""
