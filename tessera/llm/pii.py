@@ -345,8 +345,8 @@ class Surrogates:
     def of(self, kind: str, value: str) -> str:
         if kind == "phone":
             number, rest = re.match(r"([^A-Za-z,]*)(.*)", value, re.S).groups()
-            area = re.sub(r"\D", "", number.replace("(0)", "").lstrip("+"))[:-7][-3:].lstrip("0")
-            return self.digits(number, 7, "phone" + area) + re.sub(r"\d+", lambda m: self.number(m.group(), "extension"), rest)
+            # country and area stay, the subscriber's seven digits are permuted
+            return self.digits(number, 7, "phone") + re.sub(r"\d+", lambda m: self.number(m.group(), "extension"), rest)
         if kind == "id_number":
             letter = value[-1]
             return self.digits(value[:-1], 9, "id") + chr(permuted(ord(letter.upper()) - 65, 26, self.key, "letter") + (65 if letter.isupper() else 97))
