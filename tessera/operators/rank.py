@@ -56,16 +56,24 @@ def need_plan(need: DataFrame, images: DataFrame, seed: int) -> DataFrame:
     return todo.join(pool, ["class_id", "pick"]).select("class_id", "copy", "image_key")
 
 
-def negative_quota(events: DataFrame, keys: list[str], order: list[str], ratio: float) -> DataFrame:
-    """events (with `positive`, boolean) with quota: the negatives that the positives up to each row allow, floor(positives * ratio)."""
-    upto = F.sum(F.col("positive").cast("int")).over(Window.partitionBy(*keys).orderBy(*order).rowsBetween(Window.unboundedPreceding, 0))
-    return events.withColumn("quota", F.floor(upto * ratio).cast("int"))
+def negative_quota(events: DataFrame, keys: list[str], idx: str, ratio: float, chunk: int = 4096) -> DataFrame:
+    """events (with `positive`, boolean) with quota: the negatives that the positives up to each row allow, floor(positives * ratio).
+
+    idx numbers a key's rows. Running counts are taken within chunks of rows and over the chunks' totals, so no key's rows meet in one task.
+    """
+    d = events.withColumn("__chunk", F.floor(F.col(idx) / chunk))
+    n = F.sum(F.coalesce(F.col("positive"), F.lit(False)).cast("int"))
+    totals = d.groupBy(*keys, "__chunk").agg(n.alias("__n"))
+    before = F.coalesce(F.sum("__n").over(Window.partitionBy(*keys).orderBy("__chunk").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    d = d.join(totals.select(*keys, "__chunk", before.alias("__before")), [*keys, "__chunk"])
+    upto = n.over(Window.partitionBy(*keys, "__chunk").orderBy(idx).rowsBetween(Window.unboundedPreceding, 0)) + F.col("__before")
+    return d.withColumn("quota", F.floor(upto * ratio).cast("int")).select(*events.columns, "quota")
 
 
 def negatives_taken(outcomes: DataFrame, key: str, order: str, ratio: float) -> DataFrame:
     """key, taken: negatives made when each positive is followed by a try, if the quota allows, that may fail (`ok` false). Failures carry over.
 
-    An ordered fold per key; groups are the crops of one image.
+    An ordered fold whose state carries over every step, so the group, the crops of one image, is folded by one task.
     """
     seq = F.array_sort(F.collect_list(F.struct(F.col(order).alias("o"), F.col("ok").alias("ok"))))
     start = F.struct(F.lit(0).alias("pos"), F.lit(0).alias("neg"))

@@ -283,11 +283,10 @@ def segment_anti_iou(spark, d):
     return joins.without_overlap(p, g, 0.5, ["image_key", "idx"]).select("image_key", "idx", "class_id")
 
 
-@query(f"with {_PXI}, s as (select * from g where image_key <> 0 or class_id > 20) select a.image_key, a.idx a, b.idx b from s a join s b on a.image_key = b.image_key and a.idx < b.idx and a.x1 - 2 < b.x2 + 2 and b.x1 - 2 < a.x2 + 2 and a.y1 - 2 < b.y2 + 2 and b.y1 - 2 < a.y2 + 2")
+@query(f"with {_PXI} select a.image_key, a.idx a, b.idx b from g a join g b on a.image_key = b.image_key and a.idx < b.idx and a.x1 - 2 < b.x2 + 2 and b.x1 - 2 < a.x2 + 2 and a.y1 - 2 < b.y2 + 2 and b.y1 - 2 < a.y2 + 2")
 def grid_collisions(spark, d):
-    """Padded collisions of ground truth; of the catch-all image, where nearly all pairs collide by nature, the rarer classes only."""
-    g, _ = pixel_sides(spark, d)
-    return joins.collisions(g.where("image_key <> 0 or class_id > 20"), 2)
+    """Padded collisions of ground truth; the pairs are the result asked for."""
+    return joins.collisions(pixel_sides(spark, d)[0], 2)
 
 
 # --- order-dependent operators ---------------------------------------------------------------------
@@ -438,16 +437,16 @@ def bucket_cap(spark, d):
     return rank.cap_per_group(b, "class_id", order, 500).select("class_id", "image_key", "box_idx")
 
 
-@query(f"with {BOXES}, {INDEXED} select image_key, idx, cast(floor(count(*) filter (class_id < 5) over (partition by image_key order by idx rows unbounded preceding) * (1.0::double / 3)) as int) quota from ix where origin = 'gt' and image_key <> 0")
+@query(f"with {BOXES}, {INDEXED} select image_key, idx, cast(floor(count(*) filter (class_id < 5) over (partition by image_key order by idx rows unbounded preceding) * (1.0::double / 3)) as int) quota from ix where origin = 'gt'")
 def negative_quota(spark, d):
-    """Per image in its boxes' order; the catch-all image has no crops."""
-    b = indexed(spark, d, "gt").where("image_key <> 0").withColumn("positive", F.col("class_id") < 5)
-    return rank.negative_quota(b, ["image_key"], ["idx"], 1 / 3).select("image_key", "idx", "quota")
+    """Per image in its boxes' order."""
+    b = indexed(spark, d, "gt").withColumn("positive", F.col("class_id") < 5)
+    return rank.negative_quota(b, ["image_key"], "idx", 1 / 3).select("image_key", "idx", "quota")
 
 
 @query()
 def negatives_taken(spark, d):
-    b = indexed(spark, d, "gt").where("image_key <> 0 and class_id < 5").withColumn("ok", rank.share_of(7, "image_key", "idx") < 0.8)
+    b = indexed(spark, d, "gt").where("class_id < 5").withColumn("ok", rank.share_of(7, "image_key", "idx") < 0.8)
     return rank.negatives_taken(b, "image_key", "idx", 1 / 3)
 
 
