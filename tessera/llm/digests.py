@@ -22,7 +22,7 @@ from tessera.util import cut, join_small
 #: Centroids of a digest at most, about.
 SIZE = 400
 #: Values a worker sorts at a time.
-BUFFER = 2_000_000
+BUFFER = 1_000_000
 #: Groups of partial digests that merge first, so that a hot group's partials never meet in one task.
 FAN_IN = 32
 
