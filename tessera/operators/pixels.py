@@ -5,6 +5,8 @@ Segmentation counts the pixels of a component where contour tools measure a poly
 
 from __future__ import annotations
 
+import struct
+import zlib
 from collections.abc import Callable, Iterator
 
 import numpy as np
@@ -13,13 +15,21 @@ from pyspark.sql import DataFrame
 
 
 def decode(height: int, width: int, channels: int, data: bytes) -> np.ndarray | None:
-    """Rows of the image source as three channels; None for unusable ones."""
+    """Rows of the image source, blue first, as three channels; None for unusable ones."""
     if not data or height <= 0 or width <= 0 or channels not in (1, 3, 4) or len(data) != height * width * channels:
         return None
     a = np.frombuffer(data, np.uint8).reshape(height, width, channels)
     return np.repeat(a, 3, 2) if channels == 1 else a[:, :, :3].copy()
 
 
+def png(image: np.ndarray) -> bytes:
+    """An image file of the array."""
+    h, w = image.shape[:2]
+    chunk = lambda kind, data: struct.pack(">I", len(data)) + kind + data + struct.pack(">I", zlib.crc32(kind + data))
+    rows = np.concatenate([np.zeros((h, 1), np.uint8), image.reshape(h, w * 3)], 1).tobytes()
+    return b"\x89PNG\r\n\x1a\n" + chunk(b"IHDR", struct.pack(">IIBBBBB", w, h, 8, 2, 0, 0, 0)) + chunk(b"IDAT", zlib.compress(rows)) + chunk(b"IEND", b"")
+
+
 def crop(image: np.ndarray, x1: int, y1: int, x2: int, y2: int) -> np.ndarray | None:
     h, w = image.shape[:2]
     x1, y1, x2, y2 = max(0, x1), max(0, y1), min(w, x2), min(h, y2)

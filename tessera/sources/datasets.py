@@ -3,14 +3,17 @@
 from __future__ import annotations
 
 import os
+import re
 import shutil
 from collections.abc import Iterator
+from urllib.parse import unquote
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tessera.functions import text
 from tessera.operators.classes import names_from
+from tessera.operators.rank import sample_per_group
 
 #: Files of a dataset that go along with it.
 METADATA = ("data.yaml", "README.dataset.txt", "README.roboflow.txt")
@@ -21,9 +24,11 @@ def _plain(path: Column) -> Column:
 
 
 def _texts(spark: SparkSession, root: str, recursive: bool) -> DataFrame:
-    """path, content of .txt files. The text source leaves empty files out, which matter here, so bytes are read."""
+    """path, content of .txt files. Spark's file sources pass over empty files, which matter here; they come from the file index, which the driver holds anyway."""
     d = spark.read.format("binaryFile").option("recursiveFileLookup", recursive).option("pathGlobFilter", "*.txt").load(root)
-    return d.select(_plain(F.col("path")).alias("path"), F.decode("content", "UTF-8").alias("content"))
+    content = d.select(_plain(F.col("path")).alias("path"), F.decode("content", "UTF-8").alias("content"))
+    listed = spark.createDataFrame([(re.sub("^file:/+", "/", unquote(p)),) for p in d.inputFiles()], "path string")
+    return listed.join(content, "path", "left").select("path", F.coalesce("content", F.lit("")).alias("content"))
 
 
 def label_files(spark: SparkSession, root: str, parents: tuple[str, ...] | None = ("labels",), any_ancestor: bool = False) -> DataFrame:
@@ -89,6 +94,19 @@ def raw_text(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.text(path, wholetext=True).select(_plain(F.col("_metadata.file_path")).alias("path"), text.universal_newlines(F.col("value")).alias("text"))
 
 
+def bucket(spark: SparkSession, root: str, classes: DataFrame, most: int, seed: int = 7) -> DataFrame:
+    """path, class_id of the blobs under root/classes/<id>_<name>/, at most so many per class, chosen by hash: the bucket's cap. A folder without a number goes by its sanitised name."""
+    f = image_files(spark, f"{root}/classes").withColumn("folder", F.regexp_extract("path", "/classes/([^/]+)/", 1))
+    by_name = classes.select(F.col("class_id").alias("__named"), text.sanitized(F.col("class_name")).alias("folder"))
+    f = f.join(by_name, "folder", "left").withColumn("class_id", F.coalesce(F.expr("try_cast(nullif(regexp_extract(folder, '^([0-9]+)', 1), '') as int)"), F.col("__named")))
+    return sample_per_group(f.where("class_id is not null").select("path", "class_id"), "class_id", most, seed, "path")
+
+
+def bucket_path(class_id: Column, name: Column, number: Column) -> Column:
+    """Where a blob lies in a bucket."""
+    return F.concat(F.lit("classes/"), F.lpad(class_id.cast("string"), 3, "0"), F.lit("_"), text.sanitized(name), F.lit("/"), F.lpad(number.cast("string"), 6, "0"), F.lit(".png"))
+
+
 # --- sinks -----------------------------------------------------------------------------------------
 def label_contents(lines: DataFrame, files: DataFrame | None = None) -> DataFrame:
     """path, content: lines (path, line_idx, line) of each file in order, a line end after each; files (path) without lines come out empty."""

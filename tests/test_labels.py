@@ -7,7 +7,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from tessera.functions import geom, parse, text
-from tessera.operators import augment, classes, joins, metrics, pixels, rank
+from tessera.operators import augment, classes, joins, metrics, overlay, pixels, rank
 from tessera.operators.match import absorbed, match_events, numbered
 from tessera.sources import datasets
 from tessera.streaming import labels
@@ -211,3 +211,25 @@ def test_stream(spark, tmp_path):
     q.processAllAvailable()
     q.stop()
     assert [tuple(r) for r in spark.sql("select * from rej").collect()] == [(2, "columns")]
+
+
+def test_bucket_and_images(spark, tmp_path):
+    im = np.zeros((6, 9, 3), np.uint8)
+    im[2, 3] = (255, 10, 20)
+    c = classes.classes_table(spark, ["car a", "tree"])
+    blobs = spark.createDataFrame([(0, "car a", i, bytearray(pixels.png(im))) for i in range(3)], "class_id int, name string, i int, content binary")
+    datasets.write_files(blobs.select(datasets.bucket_path(F.col("class_id"), F.col("name"), F.col("i")).alias("path"), "content"), str(tmp_path))
+    (tmp_path / "classes/tree").mkdir()
+    (tmp_path / "classes/tree/x.png").write_bytes(pixels.png(im))
+    assert sorted(r.class_id for r in datasets.bucket(spark, str(tmp_path), c, 2).collect()) == [0, 0, 1]
+    assert (tmp_path / "classes/000_car_a/000002.png").exists()
+    got = spark.read.format("image").load(str(tmp_path / "classes/tree")).select("image.*").first()
+    a = pixels.decode(got.height, got.width, got.nChannels, bytes(got.data))
+    assert (a[:, :, ::-1] == im).all() and datasets.images(spark, str(tmp_path / "classes/tree")).count() == 1
+
+
+def test_overlays(spark):
+    b = spark.createDataFrame([(1, 0, (5, 5, 9, 9)), (1, 7, (0, 0, 1, 1)), (1, 0, None)], "image_key bigint, class_id int, box struct<x1: int, y1: int, x2: int, y2: int>")
+    got = overlay.overlays(b, classes.classes_table(spark, ["a", "b", "c"])).collect()
+    assert {(r.label, tuple(r.box)) for r in got} == {("a", (3, 3, 11, 11)), ("7", (-2, -2, 3, 3))}
+    assert [tuple(one(spark, overlay.hue_colour(F.lit(i), F.lit(3)))) for i in range(3)] == [(255, 0, 0), (0, 255, 0), (0, 0, 255)]
