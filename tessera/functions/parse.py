@@ -6,6 +6,8 @@ forms aren't; digits with underscores or of other scripts are not read.
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -27,13 +29,26 @@ def as_int(token: Column) -> Column:
     return F.when(token.rlike(_INT), token.try_cast("bigint"))
 
 
+def let(value: Column, body: Callable[[Column], Column]) -> Column:
+    """body(value) with value evaluated once, however often body uses it."""
+    return F.transform(F.array(value), body)[0]
+
+
 def box_line(tok: Column) -> Column:
     """struct(class_id, xc, yc, w, h, extras) of a token array; null unless there are five tokens, an integer and four numbers."""
-    v = [as_int(F.get(tok, F.lit(0))), *(as_float(F.get(tok, F.lit(i))) for i in range(1, 5))]
-    ok = F.size(tok) >= 5
-    for c in v:
-        ok &= c.isNotNull()
-    return F.when(ok, F.struct(*(c.alias(n) for c, n in zip(v, ("class_id", "xc", "yc", "w", "h"))), F.slice(tok, F.lit(6), F.size(tok)).alias("extras")))
+    names = ("class_id", "xc", "yc", "w", "h")
+
+    def values(t: Column) -> Column:
+        at = lambda i: F.get(t, F.lit(i))
+        return F.when(F.size(t) >= 5, F.struct(as_int(at(0)).alias("class_id"), *(let(at(i), as_float).alias(n) for i, n in enumerate(names[1:], 1)), F.slice(t, F.lit(6), F.size(t)).alias("extras")))
+
+    def whole(v: Column) -> Column:
+        ok = v.isNotNull()
+        for n in names:
+            ok &= v[n].isNotNull()
+        return F.when(ok, v)
+
+    return let(let(tok, values), whole)
 
 
 def score(tok: Column, index: int = 5) -> Column:

@@ -43,8 +43,8 @@ def _no_nan(c):
 
 @query(f"with {_PARSED} select line_id, class_id, {', '.join(map(_PLAIN, ('xc', 'yc', 'w', 'h')))}, array_to_string(t[6:], ' ') extras from ok")
 def parse_boxes(spark, d):
-    b = _tokens(spark, d).where("b is not null").select("line_id", "b.*")
-    return b.select("line_id", "class_id", *(_no_nan(c).alias(c) for c in ("xc", "yc", "w", "h")), F.array_join("extras", " ").alias("extras"))
+    b = _tokens(spark, d).select("line_id", F.inline(F.array("b")))
+    return b.where("class_id is not null").select("line_id", "class_id", *(_no_nan(c).alias(c) for c in ("xc", "yc", "w", "h")), F.array_join("extras", " ").alias("extras"))
 
 
 @query(f"with {_PARSED} select line_id, class_id, {_PLAIN('score')} from ok")
