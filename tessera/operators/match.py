@@ -1,86 +1,179 @@
 """Order-dependent box operators as fixpoints over candidate pairs.
 
-The sequential rules (greedy matching, absorption) only let a box depend on earlier boxes that it shares a candidate with. So all boxes
-whose earlier rivals are decided are decided together, round by round, until none is open: the same result as the loop
-in file order, with no image's boxes gathered in one task.
+The sequential rules (greedy matching, absorption) only let a box depend on earlier boxes that it shares a candidate with. Chunks of an image's
+boxes settle among themselves what they can, in one task each, and then exchange what they settled along the candidate pairs, until
+nothing is open: the same result as the loop in file order, with no image's boxes gathered in one task.
 """
 
 from __future__ import annotations
 
-import pandas as pd
-from pyspark.sql import DataFrame, Window
+from collections.abc import Callable, Iterator
+
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from tessera.functions import geom
 from tessera.operators.spatial import ceil_log2, iou_pairs, overlapping
-from tessera.util import cut, is_small
+from tessera.util import cut
+
+#: Boxes of an image, neighbours in order, that settle among themselves in one task.
+CHUNK = 1024
+#: Candidate rows that a task holds on average.
+TASK_ROWS = 500_000
+
+
+def _local_index(keys: list[str]) -> Callable:
+    """Over sorted partitions: __local, the row's place among the partition's rows of its key, and __head, whether that key is the partition's first."""
 
-#: So many candidate rows or fewer are finished image by image in one pass; the size is counted first.
-FEW = 1_000_000
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        last, count, head = None, 0, True
+        for b in batches:
+            if not len(b):
+                continue
+            new = np.zeros(len(b), bool)
+            row = [b.column(k)[0].as_py() for k in keys]
+            new[0] = last is None or row != last
+            for k in keys:
+                c = b.column(k)
+                x, y = c.slice(1), c.slice(0, len(c) - 1)
+                new[1:] |= np.asarray(pc.coalesce(pc.not_equal(x, y), pc.not_equal(pc.is_null(x), pc.is_null(y))))
+            at = np.flatnonzero(new)
+            place = np.arange(len(b))
+            local = place + count if not len(at) else place - np.where(place < at[0], -count, at[np.clip(np.searchsorted(at, place, "right") - 1, 0, None)])
+            first = np.zeros(len(b), bool)
+            if head:
+                after = at[1:] if last is None else at
+                first[: after[0] if len(after) else len(b)] = True
+                head = not len(after)
+            last, count = [b.column(k)[len(b) - 1].as_py() for k in keys], int(local[-1]) + 1
+            yield pa.RecordBatch.from_arrays([*b.columns, pa.array(local.astype(np.int64)), pa.array(first)], names=[*b.schema.names, "__local", "__head"])
+
+    return run
 
 
 def numbered(boxes: DataFrame, keys: list[str], order: list[str]) -> DataFrame:
-    """boxes with idx, their rank within keys by order (0, 1, ...), without a window over a hot key: range partitions are sorted, their counts per key summed up."""
-    d = boxes.repartitionByRange(*keys, *order).sortWithinPartitions(*keys, *order).withColumn("__at", F.monotonically_increasing_id())
-    d = cut(d).withColumn("__part", F.shiftright("__at", 33))
-    counts = d.groupBy(*keys, "__part").agg(F.count("*").alias("__n"), F.min("__at").alias("__first"))
-    before = F.coalesce(F.sum("__n").over(Window.partitionBy(*keys).orderBy("__part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    counts = counts.withColumn("__before", before).drop("__n")
-    hit = F.col("a.__part") == F.col("b.__part")
-    for k in keys:
-        hit &= F.col(f"a.{k}").eqNullSafe(F.col(f"b.{k}"))
-    j = d.alias("a").join(counts.alias("b"), hit)
-    return j.select(*(F.col(f"a.{c}") for c in boxes.columns), (F.col("a.__at") - F.col("b.__first") + F.col("b.__before")).cast("int").alias("idx"))
+    """boxes with idx, their rank within keys by order (0, 1, ...), without a window over a hot key.
+
+    Range partitions are sorted and numbered key by key; only a partition's first key can go on from earlier ones, so what to add is one
+    number per partition.
+    """
+    d = boxes.repartitionByRange(*keys, *order).sortWithinPartitions(*keys, *order).withColumn("__part", F.spark_partition_id())
+    schema = T.StructType([*d.schema.fields, T.StructField("__local", T.LongType()), T.StructField("__head", T.BooleanType())])
+    d = cut(d.mapInArrow(_local_index(keys), schema))
+    same = lambda a, b: F.forall(F.array(*(F.col(f"{a}.{k}").eqNullSafe(F.col(f"{b}.{k}")) for k in keys)), lambda x: x)
+    heads = d.where("__head").groupBy("__part", *keys).agg(F.count("*").alias("n"))
+    # rows of a partition's first key in earlier partitions; one row per partition on the left
+    tails = d.groupBy("__part").agg(F.max(F.struct(*(F.struct(F.col(k).isNotNull(), k) for k in keys), "__local")).alias("m"))
+    tails = tails.select("__part", *(F.col(f"m.col{i}")[k].alias(k) for i, k in enumerate(keys, 1)), (F.col("m.__local") + 1).alias("n"))
+    mine = heads.alias("h").join(F.broadcast(tails.alias("t")), (F.col("t.__part") < F.col("h.__part")) & same("h", "t"))
+    before = mine.groupBy(F.col("h.__part").alias("__part")).agg(F.sum("t.n").alias("__before")).withColumn("__head", F.lit(True))
+    j = d.join(F.broadcast(before), ["__part", "__head"], "left")
+    return j.select(*boxes.columns, (F.col("__local") + F.coalesce("__before", F.lit(0))).cast("int").alias("idx"))
 
 
 def iou_candidates(gt: DataFrame, pred: DataFrame, least: float) -> DataFrame:
-    """image_key, gt_idx, pred_idx, iou (> 0 and at least `least`). Both sides: image_key, idx, class_id, box (pixels)."""
-    pairs = iou_pairs(gt, pred, "image_key", "box", least)
-    return pairs.select("l.image_key", F.col("l.idx").alias("gt_idx"), F.col("r.idx").alias("pred_idx"), F.col("l.class_id").alias("gt_class"), F.col("r.class_id").alias("pred_class"), "iou")
-
-
-def _greedy_image(pdf: pd.DataFrame) -> pd.DataFrame:
-    """The loop itself over one image's candidates."""
-    taken, keep, last = set(), [], None
-    pdf = pdf.sort_values(["gt_idx", "iou", "pred_idx"], ascending=[True, False, True], kind="stable").reset_index(drop=True)
-    for i, (g, p) in enumerate(zip(pdf["gt_idx"].tolist(), pdf["pred_idx"].tolist())):
-        if g != last and p not in taken:
-            taken.add(p)
-            keep.append(i)
-            last = g
-    return pdf.iloc[keep]
-
-
-def _acting_image(pdf: pd.DataFrame) -> pd.DataFrame:
-    """Of one image's (big, small) pairs, the boxes that act at their turn."""
-    gone, acting = set(), []
-    smalls = pdf.groupby("big")["small"].apply(list)
-    for big in sorted(smalls.index):
-        if big not in gone:
-            acting.append(big)
-            gone.update(x for x in smalls[big] if x > big)
-    return pd.DataFrame({"image_key": [pdf["image_key"].iloc[0]] * len(acting), "i": acting})
-
-
-def greedy_match(candidates: DataFrame, few: int = FEW) -> DataFrame:
+    """image_key, gt_idx, pred_idx, iou (> 0 and at least `least`). Both sides: image_key, idx, box (pixels)."""
+    pairs = iou_pairs(gt.select("image_key", "idx", "box"), pred.select("image_key", "idx", "box"), "image_key", "box", least)
+    return pairs.select("l.image_key", F.col("l.idx").alias("gt_idx"), F.col("r.idx").alias("pred_idx"), "iou")
+
+
+def _whole(work: Callable[[dict[str, np.ndarray]], dict[str, np.ndarray]], schema: pa.Schema) -> Callable:
+    """work over the columns of a whole partition."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held = [b for b in batches if len(b)]
+        if held:
+            t = pa.Table.from_batches(held)
+            out = work({n: t.column(n).to_numpy() for n in t.schema.names})
+            yield from pa.table({f.name: pa.array(out[f.name], f.type) for f in schema}, schema).to_batches(max_chunksize=100_000)
+
+    return run
+
+
+def _codes(*columns: np.ndarray) -> np.ndarray:
+    """Equal rows get equal numbers."""
+    order = np.lexsort(columns[::-1])
+    new = np.zeros(len(order), np.int64)
+    for c in columns:
+        s = c[order]
+        new[1:] |= s[1:] != s[:-1]
+    out = np.empty(len(order), np.int64)
+    out[order] = np.cumsum(new)
+    return out
+
+
+def _settle(n: dict[str, np.ndarray]) -> dict[str, np.ndarray]:
+    """All candidates of some boxes: they propose until none is refused here. A box whose proposal can't be refused any more gives up its other candidates."""
+    order = np.lexsort((n["pred_idx"], -n["iou"], n["gt_idx"], n["image_key"]))
+    n = {k: v[order] for k, v in n.items()}
+    gt, pred = _codes(n["image_key"], n["gt_idx"]), _codes(n["image_key"], n["pred_idx"])
+    live, first = np.arange(len(gt)), np.zeros(len(gt), bool)
+    while True:
+        first = np.r_[True, gt[live][1:] != gt[live][:-1]]
+        holder = np.full(pred.max() + 1, gt.max() + 1)
+        np.minimum.at(holder, pred[live[first]], gt[live[first]])
+        kept = gt[live] <= holder[pred[live]]
+        if kept.all():
+            break
+        live = live[kept]
+    settled = np.zeros(gt.max() + 1, bool)
+    settled[gt[live[first & n["sole"][live]]]] = True
+    keep = first | ~settled[gt[live]]
+    live, first = live[keep], first[keep]
+    out = {k: v[live] for k, v in n.items()}
+    return out | {"best": first, "done": settled[gt[live]], "refused": np.zeros(len(live), bool)}
+
+
+def _hold(n: dict[str, np.ndarray]) -> dict[str, np.ndarray]:
+    """All candidates of some predictions: each keeps the earliest box that proposes and whoever may come before it."""
+    pred = _codes(n["image_key"], n["pred_idx"])
+    none = np.iinfo(np.int64).max
+    gt, best = n["gt_idx"].astype(np.int64), n["best"]
+    holder = np.full(pred.max() + 1, none)
+    np.minimum.at(holder, pred[best], gt[best])
+    kept = gt <= holder[pred]
+    refused = np.zeros(len(holder), bool)
+    refused[pred[~kept & best]] = True
+    left = np.bincount(pred[kept], minlength=len(holder))
+    out = {k: v[kept] for k, v in n.items()}
+    return out | {"sole": out["best"] & (left[pred[kept]] == 1), "refused": refused[pred[kept]]}
+
+
+_EDGES = pa.schema([("image_key", pa.int64()), ("gt_idx", pa.int32()), ("pred_idx", pa.int32()), ("iou", pa.float64()), ("best", pa.bool_()), ("sole", pa.bool_()), ("done", pa.bool_()), ("refused", pa.bool_())])
+_EDGES_SQL = "image_key bigint, gt_idx int, pred_idx int, iou double, best boolean, sole boolean, done boolean, refused boolean"
+
+
+def _tasks(df: DataFrame, rows: int) -> int:
+    return max(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-rows // TASK_ROWS))
+
+
+def greedy_match(candidates: DataFrame, chunk: int = CHUNK) -> DataFrame:
     """Matched pairs when ground-truth boxes, in order, each take the best prediction not yet taken (larger IoU, then lower index).
 
-    The loop's result is the one stable matching in which every prediction prefers the earliest box. So all boxes propose at once
-    to their best prediction; what a prediction could only accept from later boxes than the earliest that proposes is struck out,
-    until nothing is. Once the candidates are few enough, the loop itself finishes, image by image.
+    The loop's result is the one stable matching in which every prediction prefers the earliest box, whatever order boxes propose in. So a round
+    lets chunks of boxes propose until they refuse each other nothing, then each prediction refuses all but the earliest of the chunks' boxes.
+    Boxes whose proposal is final, as nobody earlier can come, leave. Rounds end when nothing is refused. candidates: image_key, gt_idx,
+    pred_idx, iou, each pair once.
     """
-    open_ = cut(candidates)
-    n = open_.count()
-    while n > few:
-        best = open_.groupBy("image_key", "gt_idx").agg(F.min(F.struct((-F.col("iou")).alias("o"), "pred_idx")).alias("b"))
-        held = best.groupBy("image_key", F.col("b.pred_idx").alias("pred_idx")).agg(F.min("gt_idx").alias("__held"))
-        kept = cut(open_.join(held, ["image_key", "pred_idx"], "left").where("__held is null or gt_idx <= __held").select(candidates.columns))
-        left = kept.count()
-        if left == n:
-            mine = best.select("image_key", "gt_idx", "b.pred_idx")
-            return kept.join(mine, ["image_key", "gt_idx", "pred_idx"]).select(candidates.columns)
-        open_, n = kept, left
-    return open_.groupBy("image_key").applyInPandas(_greedy_image, open_.schema)
+    open_ = candidates.select("image_key", "gt_idx", "pred_idx", "iou", *(F.lit(False).alias(c) for c in ("best", "sole", "done", "refused")))
+    n, out = None, []
+    while True:
+        tasks = _tasks(candidates, n or 0)
+        proposed = open_.repartition(tasks, "image_key", F.floor(F.col("gt_idx") / chunk)).mapInArrow(_whole(_settle, _EDGES), _EDGES_SQL)
+        held = cut(proposed.repartition(tasks, "image_key", "pred_idx").mapInArrow(_whole(_hold, _EDGES), _EDGES_SQL))
+        n, refused = held.where("not done").agg(F.count("*"), F.max("refused")).first()
+        out.append(held.where("done" if refused else "best"))
+        if not refused:
+            break
+        open_ = held.where("not done")
+    found = out[0]
+    for x in out[1:]:
+        found = found.unionByName(x)
+    return found.select("image_key", "gt_idx", "pred_idx", "iou")
 
 
 def match_events(gt: DataFrame, pred: DataFrame, least: float) -> DataFrame:
@@ -89,15 +182,64 @@ def match_events(gt: DataFrame, pred: DataFrame, least: float) -> DataFrame:
     gt, pred: image_key, idx (unique per image), class_id, box. Class doesn't count in matching. Boxes with nulls can't match.
     """
     m = cut(greedy_match(iou_candidates(gt, pred, least)))
-    kind = F.when(F.col("gt_class") == F.col("pred_class"), "correct").otherwise("misclass")
-    cols = ["image_key", "kind", "gt_idx", "pred_idx", "gt_class", "pred_class", "iou"]
-    none = lambda name, kind_: F.lit(None).cast(kind_).alias(name)
-    missed = gt.withColumnRenamed("idx", "gt_idx").join(m.select("image_key", "gt_idx"), ["image_key", "gt_idx"], "left_anti").select("image_key", F.lit("missed").alias("kind"), "gt_idx", none("pred_idx", "int"), F.col("class_id").alias("gt_class"), none("pred_class", "int"), none("iou", "double"))
-    extra = pred.withColumnRenamed("idx", "pred_idx").join(m.select("image_key", "pred_idx"), ["image_key", "pred_idx"], "left_anti").select("image_key", F.lit("false_pos").alias("kind"), none("gt_idx", "int"), "pred_idx", none("gt_class", "int"), F.col("class_id").alias("pred_class"), none("iou", "double"))
-    return m.withColumn("kind", kind).select(cols).unionByName(missed).unionByName(extra)
+    g = gt.select("image_key", F.col("idx").alias("gt_idx"), F.col("class_id").alias("gt_class")).join(m, ["image_key", "gt_idx"], "left")
+    # boxes without a match keep keys of their own, so that they spread
+    g = g.withColumn("__key", F.coalesce("pred_idx", -1 - F.col("gt_idx")))
+    p = pred.select("image_key", F.col("idx").alias("__key"), F.col("idx").alias("__pred"), F.col("class_id").alias("pred_class"))
+    kind = F.when(F.col("gt_idx").isNull(), "false_pos").when(F.col("__pred").isNull(), "missed").when(F.col("gt_class").eqNullSafe(F.col("pred_class")), "correct").otherwise("misclass")
+    return g.join(p, ["image_key", "__key"], "full_outer").select("image_key", kind.alias("kind"), "gt_idx", F.col("__pred").alias("pred_idx"), "gt_class", "pred_class", "iou")
+
+
+#: Rows of absorption's rounds: an open box, a box that may absorb it, word that it is absorbed, and what is decided.
+_OPEN, _EDGE, _DEAD, _ACTS, _GONE = range(5)
+_TURNS = pa.schema([("image_key", pa.int64()), ("i", pa.int32()), ("k", pa.int32()), ("tag", pa.int32())])
+_TURNS_SQL = "image_key bigint, i int, k int, tag int"
+
+
+def _decide(n: dict[str, np.ndarray]) -> dict[str, np.ndarray]:
+    """All rows of some boxes: who acts, as nobody before it is left that may absorb it, and who is absorbed, as far as it can be told here."""
+    image, i, k, tag = (n[c] for c in ("image_key", "i", "k", "tag"))
+    edge, is_open = tag == _EDGE, tag == _OPEN
+    code = _codes(np.r_[image, image[edge]], np.r_[i, k[edge]])
+    node, source = code[: len(i)], code[len(i) :]
+    size = code.max() + 1
+    home = np.zeros(size, bool)
+    home[node[is_open]] = True
+    dead, acts = np.zeros(size, bool), np.zeros(size, bool)
+    dead[node[tag == _DEAD]] = True
+    target = node[edge]
+    live = np.ones(len(target), bool)
+    while True:
+        live &= ~dead[target] & ~dead[source]
+        waits = np.zeros(size, bool)
+        waits[target[live]] = True
+        now = home & ~dead & ~acts & ~waits
+        acts |= now
+        hit = live & acts[source]
+        if not now.any() and not hit.any():
+            break
+        dead[target[hit]] = True
+    at = np.flatnonzero(edge)[live]
+    own = np.flatnonzero(is_open)
+    state = np.where(acts[node[own]], _ACTS, np.where(dead[node[own]], _GONE, _OPEN))
+    rows = np.r_[own, at]
+    return {"image_key": image[rows], "i": i[rows], "k": k[rows], "tag": np.r_[state, np.full(len(at), _EDGE)].astype(np.int32)}
+
+
+def _tell(n: dict[str, np.ndarray]) -> dict[str, np.ndarray]:
+    """All rows that wait for some boxes, with what is decided of these: edges become word of absorption, fall away, or stay."""
+    image, i, k, tag = (n[c] for c in ("image_key", "i", "k", "tag"))
+    edge = tag == _EDGE
+    about = _codes(image, np.where(edge, k, i))
+    acts, gone = np.zeros(about.max() + 1, bool), np.zeros(about.max() + 1, bool)
+    acts[about[tag == _ACTS]] = True
+    gone[about[tag == _GONE]] = True
+    tag = np.where(edge & acts[about], _DEAD, tag).astype(np.int32)
+    keep = ~(edge & gone[about])
+    return {"image_key": image[keep], "i": i[keep], "k": k[keep], "tag": tag[keep]}
 
 
-def absorbed(boxes: DataFrame, share: float, into: list[int] | None = None, absorb: list[int] | None = None, few: int = FEW) -> DataFrame:
+def absorbed(boxes: DataFrame, share: float, into: list[int] | None = None, absorb: list[int] | None = None, chunk: int = CHUNK) -> DataFrame:
     """image_key, idx of the boxes that are dropped: a box that at its turn is still there absorbs strictly smaller ones of which it holds `share` of the area.
 
     boxes: image_key, idx, class_id, box. into, absorb: classes that may absorb and be absorbed, any if None; one without the other is refused.
@@ -106,26 +248,29 @@ def absorbed(boxes: DataFrame, share: float, into: list[int] | None = None, abso
         raise ValueError("give both the absorbing and the absorbed classes, or neither")
     if not 0 < share <= 1:
         raise ValueError("share is above 0 and at most 1")
-    left = boxes if absorb is None else boxes.where(F.col("class_id").isin(absorb))
-    right = boxes if into is None else boxes.where(F.col("class_id").isin(into))
+    slim = boxes.select("image_key", "idx", "box", "class_id")
+    left = (slim if absorb is None else slim.where(F.col("class_id").isin(absorb))).drop("class_id")
+    right = (slim if into is None else slim.where(F.col("class_id").isin(into))).drop("class_id")
     holds = lambda l, r: (l["idx"] != r["idx"]) & (geom.area(r["box"]) > geom.area(l["box"])) & geom.contained_ratio(l["box"], r["box"], share)
     pairs = overlapping(left, right, "image_key", "box", holds, None, ceil_log2(1 / share) + 1)
     d = cut(pairs.select("l.image_key", F.col("r.idx").alias("big"), F.col("l.idx").alias("small")))
-    if is_small(d, few):
-        acting = d.groupBy("image_key").applyInPandas(_acting_image, "image_key bigint, i int")
-        return d.join(acting.withColumnRenamed("i", "big"), ["image_key", "big"], "left_semi").select("image_key", F.col("small").alias("idx")).distinct()
     # a box acts unless an acting box before it absorbs it
-    before = d.where("big < small").select("image_key", F.col("big").alias("k"), F.col("small").alias("i"))
-    open_ = cut(d.select("image_key", F.col("big").alias("i")).distinct())
-    acting = None
-    waits = cut(before.join(open_, ["image_key", "i"], "left_semi").join(open_.withColumnRenamed("i", "k"), ["image_key", "k"], "left_semi"))
-    while not open_.isEmpty():
-        free = cut(open_.join(waits.select("image_key", "i").distinct(), ["image_key", "i"], "left_anti"))
-        acting = free if acting is None else acting.union(free)
-        dead = waits.join(free.withColumnRenamed("i", "k"), ["image_key", "k"], "left_semi").select("image_key", "i").distinct()
-        gone = cut(free.union(dead))
-        open_ = cut(open_.join(gone, ["image_key", "i"], "left_anti"))
-        waits = cut(waits.join(gone, ["image_key", "i"], "left_anti").join(gone.withColumnRenamed("i", "k"), ["image_key", "k"], "left_anti"))
-    if acting is None:
-        return d.select("image_key", F.col("small").alias("idx"))
-    return d.join(acting.withColumnRenamed("i", "big"), ["image_key", "big"], "left_semi").select("image_key", F.col("small").alias("idx")).distinct()
+    turns = d.select("image_key", F.col("big").alias("i")).distinct()
+    edges = d.where("big < small").select("image_key", F.col("small").alias("i"), F.col("big").alias("k")).join(turns, ["image_key", "i"], "left_semi")
+    row = lambda x, k, tag: x.select("image_key", "i", k.cast("int").alias("k"), F.lit(tag).alias("tag"))
+    open_ = row(turns, F.lit(-1), _OPEN).unionByName(row(edges, F.col("k"), _EDGE))
+    n, acting = 0, []
+    while n is not None:
+        tasks = _tasks(boxes, n)
+        decided = open_.repartition(tasks, "image_key", F.floor(F.col("i") / chunk)).mapInArrow(_whole(_decide, _TURNS), _TURNS_SQL)
+        about: Column = F.when(F.col("tag") == _EDGE, F.col("k")).otherwise(F.col("i"))
+        told = cut(decided.repartition(tasks, "image_key", about).mapInArrow(_whole(_tell, _TURNS), _TURNS_SQL))
+        acting.append(told.where(F.col("tag") == _ACTS).select("image_key", F.col("i").alias("big")))
+        open_ = told.where(F.col("tag").isin(_OPEN, _EDGE, _DEAD))
+        waiting, n = told.agg(F.count_if(F.col("tag") == _OPEN), F.count("*")).first()
+        if not waiting:
+            n = None
+    acts = acting[0]
+    for x in acting[1:]:
+        acts = acts.unionByName(x)
+    return d.join(acts, ["image_key", "big"], "left_semi").select("image_key", F.col("small").alias("idx")).distinct()

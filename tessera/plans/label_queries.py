@@ -241,8 +241,9 @@ _REF = f"""{BOXES}, {INDEXED}, cr as (select *, xc - w / 2 x1, yc - h / 2 y1, xc
 
 
 def _refs(spark, d):
-    t = indexed(spark, d, "pred").withColumn("box", corner_column()).select("image_key", "idx", "class_id", "box")
-    r = indexed(spark, d, "gt").where("class_id = 0").withColumn("box", corner_column()).select("image_key", F.col("idx").alias("ref_idx"), "box")
+    b = indexed(spark, d).withColumn("box", corner_column())
+    t = b.where("origin = 'pred'").select("image_key", "idx", "class_id", "box")
+    r = b.where("origin = 'gt' and class_id = 0").select("image_key", F.col("idx").alias("ref_idx"), "box")
     return t, r
 
 
@@ -382,8 +383,8 @@ _DOM = f"""{BOXES}, {INDEXED}, cr as (select *, xc - w / 2 x1, yc - h / 2 y1, xc
 
 @query(f"with recursive {_DOM} select image_key, unnest(gone) idx from rec where (image_key, turn) in (select (image_key, max(turn)) from tr group by image_key)")
 def absorb_contained(spark, d):
-    g = indexed(spark, d, "gt").withColumn("box", corner_column()).select("image_key", "idx", "class_id", "box")
-    return absorbed(cut(g), 0.9, into=[0, 3, 7], absorb=[0, 1, 2, 4, 11])
+    g = indexed(spark, d).where("origin = 'gt'").withColumn("box", corner_column()).select("image_key", "idx", "class_id", "box")
+    return absorbed(g, 0.9, into=[0, 3, 7], absorb=[0, 1, 2, 4, 11])
 
 
 # --- counts ----------------------------------------------------------------------------------------
@@ -440,13 +441,13 @@ def bucket_cap(spark, d):
 @query(f"with {BOXES}, {INDEXED} select image_key, idx, cast(floor(count(*) filter (class_id < 5) over (partition by image_key order by idx rows unbounded preceding) * (1.0::double / 3)) as int) quota from ix where origin = 'gt'")
 def negative_quota(spark, d):
     """Per image in its boxes' order."""
-    b = indexed(spark, d, "gt").withColumn("positive", F.col("class_id") < 5)
+    b = indexed(spark, d).where("origin = 'gt'").withColumn("positive", F.col("class_id") < 5)
     return rank.negative_quota(b, ["image_key"], "idx", 1 / 3).select("image_key", "idx", "quota")
 
 
 @query()
 def negatives_taken(spark, d):
-    b = indexed(spark, d, "gt").where("class_id < 5").withColumn("ok", rank.share_of(7, "image_key", "idx") < 0.8)
+    b = indexed(spark, d).where("origin = 'gt' and class_id < 5").withColumn("ok", rank.share_of(7, "image_key", "idx") < 0.8)
     return rank.negatives_taken(b, "image_key", "idx", 1 / 3)
 
 

@@ -35,21 +35,18 @@ def corner_column() -> Column:
     return geom.corners(F.col("xc"), F.col("yc"), F.col("w"), F.col("h"))
 
 
-def indexed(spark: SparkSession, d: str, origin: str) -> DataFrame:
-    """Boxes of one origin with idx, their place in the image."""
-    b = boxes(spark, d).where(F.col("origin") == origin).select("image_key", *ORDER)
-    return _in_order(b, ["image_key"])
-
-
-def _in_order(b: DataFrame, keys: list[str]) -> DataFrame:
-    return numbered(b.withColumn("__c", F.coalesce("conf", F.lit(float("nan")))), keys, [*(o if o != "conf" else "__c" for o in ORDER)]).drop("__c")
+def indexed(spark: SparkSession, d: str) -> DataFrame:
+    """Boxes with idx, their place among those of their image and origin."""
+    b = boxes(spark, d).where("origin in ('gt', 'pred')").select("image_key", "origin", *ORDER)
+    # NaN and null scores count alike
+    b = b.withColumn("conf", F.coalesce("conf", F.lit(float("nan"))))
+    return numbered(b, ["image_key", "origin"], ORDER)
 
 
 def pixel_sides(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
     """Ground truth and predictions with pixel boxes (ordered, clamped to the image), for matching."""
-    b = boxes(spark, d).where("origin in ('gt', 'pred')").select("image_key", "origin", *ORDER)
-    b = sized(spark, d, _in_order(b, ["image_key", "origin"]))
-    p = cut(b.select("image_key", "origin", "idx", "class_id", geom.pixel_ordered(corner_column(), F.col("width"), F.col("height")).alias("box"), "xc", "yc", "w", "h", "conf"))
+    b = sized(spark, d, indexed(spark, d))
+    p = cut(b.select("image_key", "origin", "idx", "class_id", geom.pixel_ordered(corner_column(), F.col("width"), F.col("height")).alias("box"), "xc", "yc", "w", "h", F.nanvl("conf", F.lit(None).cast("double")).alias("conf")))
     return p.where("origin = 'gt'").drop("origin"), p.where("origin = 'pred'").drop("origin")
 
 

@@ -13,6 +13,9 @@ from tessera.sources import datasets
 from tessera.streaming import labels
 
 
+NAN, INF = float("nan"), float("inf")
+
+
 def one(spark, column):
     return spark.range(1).select(column.alias("x")).first().x
 
@@ -71,8 +74,8 @@ def iou(a, b):
     return i / u if i and u else 0.0
 
 
-@pytest.mark.parametrize("few", [0, 10**6])
-def test_greedy_match(spark, monkeypatch, few):
+@pytest.mark.parametrize("chunk", [5, 1024])
+def test_greedy_match(spark, monkeypatch, chunk):
     gt, pred = cases(1, 150), cases(2, 150)
     want = set()
     for image in (0, 1, 2):
@@ -85,14 +88,14 @@ def test_greedy_match(spark, monkeypatch, few):
     import tessera.operators.match as m
 
     plain = m.greedy_match
-    monkeypatch.setattr(m, "greedy_match", lambda c: plain(c, few))
+    monkeypatch.setattr(m, "greedy_match", lambda c: plain(c, chunk))
     ev = match_events(frame(spark, gt), frame(spark, pred), 0.3).collect()
     assert {(e.image_key, e.gt_idx, e.pred_idx) for e in ev if e.iou is not None} == want and len(want) > 10
     assert sum(e.gt_idx is not None for e in ev) == len(gt) and sum(e.pred_idx is not None for e in ev) == len(pred)
 
 
-@pytest.mark.parametrize("few", [0, 10**6])
-def test_absorbed(spark, few):
+@pytest.mark.parametrize("chunk", [5, 1024])
+def test_absorbed(spark, chunk):
     rows, want = cases(5, 70), set()
     area = lambda b: (b[2] - b[0]) * (b[3] - b[1])
     inter = lambda a, b: max(min(a[2], b[2]) - max(a[0], b[0]), 0) * max(min(a[3], b[3]) - max(a[1], b[1]), 0)
@@ -102,7 +105,7 @@ def test_absorbed(spark, few):
             if a[1] not in gone:
                 gone |= {b[1] for b in mine if b[1] != a[1] and area(a[3]) > area(b[3]) > 0 and inter(a[3], b[3]) / area(b[3]) >= 0.6}
         want |= {(image, i) for i in gone}
-    assert {tuple(r) for r in absorbed(frame(spark, rows), 0.6, few=few).collect()} == want and len(want) > 10
+    assert {tuple(r) for r in absorbed(frame(spark, rows), 0.6, chunk=chunk).collect()} == want and len(want) > 10
     with pytest.raises(ValueError):
         absorbed(frame(spark, rows), 0.9, into=[1])
 
@@ -120,6 +123,15 @@ def test_pairs(spark):
     assert joins.collisions(empty, 2).count() == 0 and match_events(empty.where("image_key > 0"), empty.where("image_key > 0"), 0.5).count() == 0
 
 
+def test_far_boxes(spark):
+    """Huge and far boxes are found, in a crowded image too, and what isn't finite has no pairs."""
+    kind = "image_key bigint, idx int, class_id int, box struct<x1: double, y1: double, x2: double, y2: double>"
+    big = [(1, 0, 0, (0.0, 0.0, 1e12, 1e12)), (1, 1, 0, (1e17, 0.0, 2e17, 1e17)), (1, 2, 0, (0.0, 0.0, NAN, 1.0)), (1, 3, 0, (0.0, 0.0, INF, 1.0)), (None, 4, 0, (0.0, 0.0, 1.0, 1.0)), (1, 5, 0, None)]
+    t = [(1, 10, 0, (5e11, 1.0, 5e11 + 2, 3.0)), (1, 11, 0, (1.5e17, 1e10, 1.6e17, 2e10))] + [(1, 100 + i, 0, (-5.0, -5.0, -4.0, -4.0)) for i in range(100)]
+    hit = joins.containment_pairs(spark.createDataFrame(t, kind), spark.createDataFrame(big, kind), 0.9)
+    assert {(r.l.idx, r.r.idx) for r in hit.collect()} == {(10, 0), (11, 1)}
+
+
 def test_numbered(spark):
     rows = [(k, v) for k in (None, 1, 2) for v in (3, 1, 1, None, 2)]
     d = numbered(spark.createDataFrame(rows, "k int, v int"), ["k"], ["v"])
