@@ -12,7 +12,7 @@ from collections.abc import Callable, Iterator
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Observation
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -21,7 +21,7 @@ from tessera.operators.spatial import ceil_log2, iou_pairs, overlapping
 from tessera.util import cut
 
 #: Boxes of an image, neighbours in order, that settle among themselves in one task.
-CHUNK = 1024
+CHUNK = 4096
 #: Candidate rows that a task holds on average.
 TASK_ROWS = 500_000
 
@@ -64,13 +64,15 @@ def numbered(boxes: DataFrame, keys: list[str], order: list[str]) -> DataFrame:
     d = boxes.repartitionByRange(*keys, *order).sortWithinPartitions(*keys, *order).withColumn("__part", F.spark_partition_id())
     schema = T.StructType([*d.schema.fields, T.StructField("__local", T.LongType()), T.StructField("__head", T.BooleanType())])
     d = cut(d.mapInArrow(_local_index(keys), schema))
-    same = lambda a, b: F.forall(F.array(*(F.col(f"{a}.{k}").eqNullSafe(F.col(f"{b}.{k}")) for k in keys)), lambda x: x)
-    heads = d.where("__head").groupBy("__part", *keys).agg(F.count("*").alias("n"))
-    # rows of a partition's first key in earlier partitions; one row per partition on the left
-    tails = d.groupBy("__part").agg(F.max(F.struct(*(F.struct(F.col(k).isNotNull(), k) for k in keys), "__local")).alias("m"))
-    tails = tails.select("__part", *(F.col(f"m.col{i}")[k].alias(k) for i, k in enumerate(keys, 1)), (F.col("m.__local") + 1).alias("n"))
-    mine = heads.alias("h").join(F.broadcast(tails.alias("t")), (F.col("t.__part") < F.col("h.__part")) & same("h", "t"))
-    before = mine.groupBy(F.col("h.__part").alias("__part")).agg(F.sum("t.n").alias("__before")).withColumn("__head", F.lit(True))
+    # two keys and their counts per partition
+    key = F.struct(*(F.struct(F.col(k).isNotNull().alias("known"), F.col(k).alias("value")).alias(f"k{i}") for i, k in enumerate(keys)))
+    ends = d.groupBy("__part").agg(F.min(key).alias("first"), F.count_if("__head").alias("n_first"), F.max(F.struct(key.alias("key"), (F.col("__local") + 1).alias("n"))).alias("last"))
+    before, open_key, held = [], None, 0
+    for r in sorted(ends.collect(), key=lambda r: r["__part"]):
+        add = held if r["first"] == open_key else 0
+        before.append((r["__part"], True, add))
+        open_key, held = r["last"]["key"], r["last"]["n"] + (add if r["last"]["key"] == r["first"] else 0)
+    before = d.sparkSession.createDataFrame(before, "__part int, __head boolean, __before bigint")
     j = d.join(F.broadcast(before), ["__part", "__head"], "left")
     return j.select(*boxes.columns, (F.col("__local") + F.coalesce("__before", F.lit(0))).cast("int").alias("idx"))
 
@@ -164,8 +166,10 @@ def greedy_match(candidates: DataFrame, chunk: int = CHUNK) -> DataFrame:
     while True:
         tasks = _tasks(candidates, n or 0)
         proposed = open_.repartition(tasks, "image_key", F.floor(F.col("gt_idx") / chunk)).mapInArrow(_whole(_settle, _EDGES), _EDGES_SQL)
-        held = cut(proposed.repartition(tasks, "image_key", "pred_idx").mapInArrow(_whole(_hold, _EDGES), _EDGES_SQL))
-        n, refused = held.where("not done").agg(F.count("*"), F.max("refused")).first()
+        seen = Observation()
+        held = proposed.repartition(tasks, "image_key", "pred_idx").mapInArrow(_whole(_hold, _EDGES), _EDGES_SQL)
+        held = cut(held.observe(seen, F.count_if(~F.col("done")).alias("open"), F.max("refused").alias("refused")))
+        n, refused = seen.get["open"], seen.get["refused"]
         out.append(held.where("done" if refused else "best"))
         if not refused:
             break
@@ -264,12 +268,12 @@ def absorbed(boxes: DataFrame, share: float, into: list[int] | None = None, abso
         tasks = _tasks(boxes, n)
         decided = open_.repartition(tasks, "image_key", F.floor(F.col("i") / chunk)).mapInArrow(_whole(_decide, _TURNS), _TURNS_SQL)
         about: Column = F.when(F.col("tag") == _EDGE, F.col("k")).otherwise(F.col("i"))
-        told = cut(decided.repartition(tasks, "image_key", about).mapInArrow(_whole(_tell, _TURNS), _TURNS_SQL))
+        seen = Observation()
+        told = decided.repartition(tasks, "image_key", about).mapInArrow(_whole(_tell, _TURNS), _TURNS_SQL)
+        told = cut(told.observe(seen, F.count_if(F.col("tag") == _OPEN).alias("waiting"), F.count("*").alias("n")))
         acting.append(told.where(F.col("tag") == _ACTS).select("image_key", F.col("i").alias("big")))
         open_ = told.where(F.col("tag").isin(_OPEN, _EDGE, _DEAD))
-        waiting, n = told.agg(F.count_if(F.col("tag") == _OPEN), F.count("*")).first()
-        if not waiting:
-            n = None
+        n = seen.get["n"] if seen.get["waiting"] else None
     acts = acting[0]
     for x in acting[1:]:
         acts = acts.unionByName(x)

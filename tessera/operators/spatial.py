@@ -12,7 +12,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tessera.util import join_small
+from tessera.util import cut, join_small
 
 #: Level of boxes without extent; no cell is smaller than 2**LOWEST.
 LOWEST = -60
@@ -42,7 +42,7 @@ def _sides(left: DataFrame, right: DataFrame, image: str, box: str) -> tuple[Dat
     """Rows with an image and finite coordinates, with __crowd: whether their image is searched by cells."""
     usable = lambda d: d.where(F.col(image).isNotNull() & F.forall(F.array(*(F.col(box)[k].cast("double") for k in ("x1", "y1", "x2", "y2"))), lambda v: v.isNotNull() & ~F.isnan(v) & (F.abs(v) < float("inf"))))
     l, r = usable(left), usable(right)  # noqa: E741
-    n = l.select(image).union(r.select(image)).groupBy(image).count().where(F.col("count") > CROWD).select(image, F.lit(True).alias("__crowd"))
+    n = cut(l.select(image).union(r.select(image)).groupBy(image).count().where(F.col("count") > CROWD).select(image, F.lit(True).alias("__crowd")))
     marked = lambda d: join_small(d, n, [image], "left").withColumn("__crowd", F.coalesce("__crowd", F.lit(False)))
     return marked(l), marked(r)
 

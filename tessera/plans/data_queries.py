@@ -6,9 +6,9 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tessera.operators.bad_rows import loaded, parse_rows, rejected
-from tessera.operators.compaction import consolidate, deliveries, merge_runs, output_ranges, repeated_deliveries
+from tessera.operators.compaction import consolidate, deliveries, repeated_deliveries, same_deliveries, sorted_runs
 from tessera.operators.selection import dominant_keys, exact_quantiles
-from tessera.util import load
+from tessera.util import cut, load
 
 
 def _parsed(spark: SparkSession, d: str, *keep: str) -> DataFrame:
@@ -28,8 +28,10 @@ def p1_loaded(spark, d):
 
 
 def p2_found(spark, d):
-    segments = merge_runs(load(spark, d, "label_lines"), keep_lines=False)
-    return repeated_deliveries(deliveries(segments, load(spark, d, "label_files").select("file_id", "image_key")))
+    lines = load(spark, d, "label_lines")
+    runs = cut(sorted_runs(lines, keep_lines=False))
+    met = cut(deliveries(runs, load(spark, d, "label_files").select("file_id", "image_key")))
+    return repeated_deliveries(cut(same_deliveries(met, lines)))
 
 
 def _consolidated(spark, d):
@@ -45,7 +47,7 @@ def p2_files(spark, d):
 
 
 def p2_outputs(spark, d):
-    return output_ranges(_consolidated(spark, d)[0])
+    return _consolidated(spark, d)[2]
 
 
 def _class_values(spark, d) -> DataFrame:
@@ -91,6 +93,10 @@ ORACLE = {
     "p2_found": f"with {_FILES} select a.file_id file_id_a, b.file_id file_id_b from f a join f b on a.image_key = b.image_key and a.body = b.body and a.file_id < b.file_id",
     "p2_consolidated": f"with {_FILES} select file_id, line_idx, line_id, raw from label_lines where file_id not in (select file_id from f where same_as <> file_id)",
     "p2_files": f"with {_FILES} select file_id, image_key, cast(n_lines as bigint) n_lines, cast(n_bytes as bigint) n_bytes, same_as from f",
+    "p2_outputs": f"""with {_FILES},
+      e as (select file_id, min(line_idx) first_line, max(line_idx) last_line from label_lines group by 1),
+      k as (select *, sum(n_bytes) over (order by file_id) - n_bytes start from f join e using (file_id) where n_lines > 0 and (same_as is null or same_as = file_id))
+      select cast(row_number() over (order by start // 134217728) - 1 as int) out_no, min(file_id) low_file, arg_min(first_line, file_id) low_line, max(file_id) high_file, arg_max(last_line, file_id) high_line, count(*) n_files, cast(sum(n_lines) as bigint) n_lines, cast(sum(n_bytes) as bigint) n_bytes from k group by start // 134217728""",
     "p4_found": f"with {_VALUES} select table_name, class_id from (select *, sum(n) over (partition by table_name) total from (select table_name, class_id, count(*) n from vals group by all)) where n * 20 >= total",
     "p4_class_quantiles": f"""with {_VALUES},
       fin as (select table_name, class_id, w, row_number() over (partition by table_name, class_id order by w) rn, count(*) over (partition by table_name, class_id) n from vals where isfinite(w)),

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from tessera.functions import geom
 from tessera.operators.match import numbered
-from tessera.util import cut, load
+from tessera.util import load
 
 #: Order of boxes within an image; rows equal in all of it are alike.
 ORDER = ["box_idx", "class_id", "xc", "yc", "w", "h", "conf", "ingested_at"]
@@ -46,7 +46,7 @@ def indexed(spark: SparkSession, d: str) -> DataFrame:
 def pixel_sides(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
     """Ground truth and predictions with pixel boxes (ordered, clamped to the image), for matching."""
     b = sized(spark, d, indexed(spark, d))
-    p = cut(b.select("image_key", "origin", "idx", "class_id", geom.pixel_ordered(corner_column(), F.col("width"), F.col("height")).alias("box"), "xc", "yc", "w", "h", F.nanvl("conf", F.lit(None).cast("double")).alias("conf")))
+    p = b.select("image_key", "origin", "idx", "class_id", geom.pixel_ordered(corner_column(), F.col("width"), F.col("height")).alias("box"), "xc", "yc", "w", "h", F.nanvl("conf", F.lit(None).cast("double")).alias("conf"))
     return p.where("origin = 'gt'").drop("origin"), p.where("origin = 'pred'").drop("origin")
 
 

@@ -72,3 +72,16 @@ def join_small(big: DataFrame, side: DataFrame, on: list[str], how: str = "inner
     marked = lambda d: d.join(F.broadcast(hot), on, "left").withColumn("__salts", F.coalesce("__salts", F.lit(1)))
     salted = marked(side).withColumn("__salt", F.explode(F.sequence(F.lit(0), F.col("__salts") - 1))).drop("__salts")
     return marked(big).withColumn("__salt", spread(big, F.col("__salts"))).drop("__salts").join(salted, [*on, "__salt"], how).drop("__salt")
+
+
+def pairs_by_key(a: DataFrame, b: DataFrame, key: str, most: int = 1_000_000) -> DataFrame:
+    """Inner join whose result is the pairs asked for: keys with more than `most` pairs are divided, a's rows over tasks and b's repeated in each."""
+    counts = lambda d, n: d.groupBy(key).agg(F.count("*").alias(n))
+    parts = counts(a, "__a").join(counts(b, "__b"), key).select(key, F.ceil(F.col("__a") * F.col("__b") / most).cast("int").alias("__parts"))
+    hot = parts.where("__parts > 1")
+    if hot.isEmpty():
+        return a.join(b, key)
+    marked = lambda d: join_small(d, hot, [key], "left").withColumn("__parts", F.coalesce("__parts", F.lit(1)))
+    left = marked(a).withColumn("__part", spread(a, F.col("__parts"))).drop("__parts")
+    right = marked(b).withColumn("__part", F.explode(F.sequence(F.lit(0), F.col("__parts") - 1))).drop("__parts")
+    return left.join(right, [key, "__part"]).drop("__part")

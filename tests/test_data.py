@@ -4,9 +4,11 @@ import math
 import random
 
 import pytest
+from pyspark.sql import functions as F
 
 from tessera.operators.bad_rows import loaded, parse_rows, rejected
-from tessera.operators.compaction import consolidate, deliveries, merge_runs, output_ranges, repeated_deliveries, write_outputs
+from tessera.operators.compaction import consolidate, deliveries, read_outputs, repeated_deliveries, same_deliveries, sorted_runs, write_outputs
+from tessera.util import cut
 from tessera.operators.selection import dominant_keys, exact_quantiles
 
 NAN, INF = float("nan"), float("inf")
@@ -61,30 +63,61 @@ def brute(lines, files):
     return {(a, b) for a in body for b in body if a < b and body[a] and body[a] == body[b] and image[a] == image[b]}
 
 
+def pairs_of(lines, files, segment=10_000, digest=None):
+    met = deliveries(cut(sorted_runs(lines, False, segment, 300)), files)
+    met = cut(met if digest is None else met.withColumn("digest", digest))
+    return {tuple(r) for r in repeated_deliveries(same_deliveries(met, lines)).collect()}
+
+
 @pytest.mark.parametrize("segment", [7, 10_000])
 def test_small_files(spark, tmp_path, segment):
     lines, files, l, f = files_case(spark)  # noqa: E741
-    pairs = repeated_deliveries(deliveries(merge_runs(l, False, segment), f))
     want = brute(lines, files)
-    assert {tuple(r) for r in pairs.collect()} == want and want
-    kept, known = consolidate(l, f, target_bytes=200, segment=segment)
+    assert pairs_of(l.repartition(3), f, segment) == want and want
+    # digests only propose: with the counts alone as digest the lines still tell files apart
+    assert pairs_of(l, f, segment, F.when(F.col("n_records") > 0, F.col("n_records").cast("string"))) == want
+    done = kept, known, ranges = consolidate(l.repartition(5), f, target_bytes=200, segment=segment, wave=4)
     gone = {b for _, b in want}
     rows = [tuple(r) for r in kept.selectExpr("file_id", "inline(lines)").select("line_id", "file_id", "line_idx", "raw").collect()]
     assert sorted(rows) == sorted((r[0], r[1], r[3], r[4]) for r in lines if r[1] not in gone)
     assert known.count() == 60 and known.where("n_lines = 0").count() == 6
-    ranges = output_ranges(kept).collect()
-    assert sum(r.n_lines for r in ranges) == len(rows) and len(ranges) > 1
-    write_outputs(kept, str(tmp_path / "out"))
-    assert len(list((tmp_path / "out").rglob("*.parquet"))) == len(ranges)
+    ranges = sorted(ranges.collect())
+    assert sum(r.n_lines for r in ranges) == len(rows) and len(ranges) > 4
+    write_outputs(done, str(tmp_path / "out"))
+    assert len(list((tmp_path / "out").glob("*.parquet"))) == len(ranges)
+    for r in kept.groupBy("out_no").agg(F.min("file_id").alias("low"), F.max("file_id").alias("high"), F.sum("n_bytes").alias("n")).collect():
+        assert (ranges[r.out_no].low_file, ranges[r.out_no].high_file, ranges[r.out_no].n_bytes) == (r.low, r.high, r.n)
+    back = read_outputs(spark, str(tmp_path / "out"), 20, 29).collect()
+    assert sorted((r.file_id, r.line_idx) for r in back) == sorted((r[1], r[3]) for r in lines if r[1] not in gone and 20 <= r[1] <= 29)
+    assert spark.read.parquet(str(tmp_path / "out/_files")).count() == 60
+
+
+def test_swapped_lines(spark):
+    """Files whose lines swap places along a sequence on which polynomial digests modulo a power of two meet stay different."""
+    rows = [(f * 5000 + i, f, 7, i, f"3 0.5 0.5 0.1 0.{1 + (bin(i).count('1') + f) % 2}") for f in (1, 2) for i in range(2048)]
+    l = spark.createDataFrame(rows, "line_id bigint, file_id bigint, image_key bigint, line_idx int, raw string")  # noqa: E741
+    f = spark.createDataFrame([(1, 7), (2, 7)], "file_id bigint, image_key bigint")
+    assert pairs_of(l, f) == set() and pairs_of(l, f, digest=F.lit("same")) == set()
+    assert consolidate(l, f)[0].agg(F.sum("n_lines")).first()[0] == 4096
+
+
+def test_large_file(spark):
+    """A file larger than an output is rolled segment by segment."""
+    rows = [(f * 1000 + i, f, 1, i, f"line {f} {i}") for f, n in ((1, 3), (2, 500), (3, 2)) for i in range(n)]
+    l = spark.createDataFrame(rows, "line_id bigint, file_id bigint, image_key bigint, line_idx int, raw string").repartition(4)  # noqa: E741
+    kept, _, ranges = consolidate(l, spark.createDataFrame([(1, 1), (2, 1), (3, 1)], "file_id bigint, image_key bigint"), target_bytes=1000, segment=20)
+    assert [tuple(r) for r in kept.select("file_id", F.inline("lines")).select("file_id", "line_idx").collect()] == [(r[1], r[3]) for r in rows]
+    got = kept.groupBy("out_no").agg(F.sum("n_lines").alias("n")).collect()
+    assert len(got) > 3 and {r.out_no: r.n for r in got} == {r.out_no: r.n_lines for r in ranges.collect()}
 
 
 def test_small_files_dirt(spark):
     schema = "line_id bigint, file_id bigint, image_key bigint, line_idx int, raw string"
     empty = spark.createDataFrame([], schema)
     f = spark.createDataFrame([(1, 1), (2, None), (3, 1)], "file_id bigint, image_key bigint")
-    assert repeated_deliveries(deliveries(merge_runs(empty), f)).count() == 0
+    assert pairs_of(empty, f) == set() and consolidate(empty, f)[0].count() == 0
     d = spark.createDataFrame([(1, 1, 1, 0, None), (2, 1, 1, 1, "a"), (3, 3, 1, 0, " a "), (4, None, None, None, "b"), (5, 2, None, 0, "a")], schema)
-    assert [tuple(r) for r in repeated_deliveries(deliveries(merge_runs(d), f)).collect()] == [(1, 3)]
+    assert pairs_of(d, f) == {(1, 3)}
 
 
 def test_quantiles(spark):
