@@ -1,9 +1,10 @@
 """Evaluation passages inside corpus documents: a prefix-filtered join on word shingles.
 
 A document leaks an item when it holds `words` consecutive words of it, that is words - 4 consecutive five-word shingles, a window.
-Containment of a window needs all its shingles, so its prefix is one token: the one rarest in the corpus. Documents are
-joined to windows on that token only, bounded by position, and verified exactly: the whole window must occur
-without gaps. Shingles are numbered exactly, not hashed.
+Containment of a window needs all its shingles, so its prefix is one token: the one rarest in the corpus. The corpus is read and
+split into words once, whatever the number of items; of its shingles only those that items hold are kept. Documents are joined to windows
+on the prefix only, bounded by length and position, and only then are the windows of these candidates verified: every shingle must
+stand at its place. Shingles are 64-bit hashes of their five words; a window is verified by at least three that share no word.
 """
 
 from __future__ import annotations
@@ -14,6 +15,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute
+import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -22,8 +24,8 @@ from tessera.util import cut, join_small
 SHINGLE = 5
 #: Consecutive words that make a leak.
 WORDS = 15
-#: Code points of item texts per block; items beyond it go through in further blocks, so that what is sent to the workers is bounded.
-BLOCK_CHARS = 4_000_000
+#: Bits per item shingle, and bits at most, of the map that keeps most other shingles from leaving their task; it bounds what is sent to the workers.
+MAP_BITS, MOST_BITS = 32, 1 << 29
 
 _WORD = re.compile(r"[^\W_]+")
 _WORD_OR_END = re.compile(r"[^\W_]+|\x00")
@@ -53,106 +55,67 @@ def words(text: str) -> list[str]:
     return _WORD.findall(text.lower())
 
 
-class Shingles:
-    """Exact numbers of the five-word shingles of the items, found by pairs: words, pairs, quads, shingles."""
-
-    def __init__(self, items: list[list[str]]):
-        self.vocabulary = {w: i for i, w in enumerate(sorted({w for x in items for w in x}), 1)}
-        self.size = np.int64(len(self.vocabulary) + 1)
-        ids = self.numbers([w for x in items for w in (*x, None)])
-        pair = ids[:-1] * self.size + ids[1:]
-        self.pairs = np.unique(pair[(ids[:-1] > 0) & (ids[1:] > 0)])
-        p = self._find(self.pairs, pair)
-        quad = self._quad(p)
-        self.quads = np.unique(quad[quad >= 0])
-        five = self._five(self._find(self.quads, quad), ids)
-        self.fives = np.unique(five[five >= 0])
-
-    def numbers(self, found: list[str | None]) -> np.ndarray:
-        get = self.vocabulary.get
-        return np.fromiter((get(w, 0) for w in found), np.int64, len(found))
-
-    @staticmethod
-    def _find(known: np.ndarray, values: np.ndarray) -> np.ndarray:
-        """Index in known, or -1."""
-        if not len(known):
-            return np.full(len(values), -1, np.int64)
-        at = np.searchsorted(known, values)
-        at[at == len(known)] = 0
-        return np.where(known[at] == values, at, -1)
-
-    def _quad(self, p: np.ndarray) -> np.ndarray:
-        a, b = p[:-2], p[2:]
-        return np.where((a >= 0) & (b >= 0), a * np.int64(len(self.pairs) + 1) + b, -1)
-
-    def _five(self, q: np.ndarray, ids: np.ndarray) -> np.ndarray:
-        last = ids[4:]
-        q = q[: len(last)]
-        return np.where((q >= 0) & (last > 0), q * self.size + last, -1)
-
-    def of(self, ids: np.ndarray) -> np.ndarray:
-        """Shingle number at every position of ids that starts one of the items' shingles, -1 elsewhere."""
-        if len(ids) < SHINGLE:
-            return np.full(0, -1, np.int64)
-        both = (ids[:-1] > 0) & (ids[1:] > 0)
-        pair = np.full(len(ids) - 1, -1, np.int64)
-        pair[both] = self._find(self.pairs, (ids[:-1] * self.size + ids[1:])[both])
-        quad = self._quad(pair)
-        at = np.flatnonzero(quad >= 0)
-        q = np.full(len(quad), -1, np.int64)
-        q[at] = self._find(self.quads, quad[at])
-        five = self._five(q, ids)
-        at = np.flatnonzero(five >= 0)
-        out = np.full(len(five), -1, np.int64)
-        out[at] = self._find(self.fives, five[at])
-        return out
-
-
-def _postings(known: Shingles, brackets: bool):
-    """(doc_id, position, shingle) of the items' shingles in documents."""
+def _hashes(texts: list[str], known: dict[str, int]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(text, position, shingle) of every shingle of the texts, which hold no zero signs, and so their number of words."""
+    found = _WORD_OR_END.findall("\x00".join([*texts, ""]).lower())
+    if len(known) > 1_000_000:
+        known.clear()
+    for w in set(found).difference(known):
+        known[w] = xxhash.xxh64_intdigest(w)
+    h = np.fromiter(map(known.__getitem__, found), np.uint64, len(found))
+    end = np.fromiter((w == "\x00" for w in found), bool, len(found))
+    text = np.cumsum(end) - end
+    first = np.r_[0, np.flatnonzero(end)[:-1] + 1] if len(texts) else np.zeros(0, np.int64)
+    if len(found) < SHINGLE:
+        return np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.uint64)
+    n = len(found) - SHINGLE + 1
+    with np.errstate(over="ignore"):
+        s = h[:n].copy()
+        for i in range(1, SHINGLE):
+            s = (s ^ (s >> np.uint64(29))) * np.uint64(0xBF58476D1CE4E5B9) + h[i : n + i]
+        s = (s ^ (s >> np.uint64(32))) * np.uint64(0x94D049BB133111EB)
+        s ^= s >> np.uint64(29)
+    at = np.flatnonzero(text[:n] == text[SHINGLE - 1 :])
+    at = at[~end[at + SHINGLE - 1]]
+    return text[at], at - first[text[at]], s[at]
+
+
+def _shingles(name: str, brackets: bool, kept: np.ndarray | None):
+    """(name, position, shingles of the text, shingle); of the shingles marked in kept, if given."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        known: dict[str, int] = {}
         for ids, texts in pieces(batches):
+            texts = [t.replace("\x00", " ") for t in texts]
             if brackets:
                 texts = [without_brackets(t) if "(" in t or "[" in t else t for t in texts]
-            found = _WORD_OR_END.findall("\x00".join(t.replace("\x00", " ").lower() for t in texts))
-            numbers = known.numbers(found)
-            shingle = known.of(numbers)
-            at = np.flatnonzero(shingle >= 0)
-            if not len(at):
-                continue
-            ends = np.flatnonzero(np.fromiter((w == "\x00" for w in found), bool, len(found)))
-            doc = np.searchsorted(ends, at)
-            start = np.r_[0, ends + 1][doc]
-            yield pa.record_batch({"doc_id": pa.array(ids[doc]), "position": pa.array((at - start).astype(np.int32)), "shingle": pa.array(shingle[at])})
+            text, position, shingle = _hashes(texts, known)
+            total = np.bincount(text, minlength=len(texts))[text] if len(text) else text
+            if kept is not None:
+                bit = shingle & np.uint64(len(kept) * 64 - 1)
+                at = np.flatnonzero((kept[(bit >> np.uint64(6)).astype(np.int64)] >> (bit & np.uint64(63))) & np.uint64(1))
+                text, position, shingle, total = text[at], position[at], shingle[at], total[at]
+            if len(text):
+                out = {name: pa.array(ids[text]), "position": pa.array(position.astype(np.int32)), "total": pa.array(total.astype(np.int32)), "shingle": pa.array(shingle.view(np.int64))}
+                yield from pa.table(out).to_batches(max_chunksize=100_000)
 
     return run
 
 
-def _block(documents: DataFrame, items: list[tuple[int, list[str]]], n_words: int, brackets: bool) -> DataFrame:
-    spark, window = documents.sparkSession, n_words - SHINGLE + 1
-    known = Shingles([w for _, w in items])
-    rows = []
-    for item, w in items:
-        rows += [(item, i, int(s), len(w)) for i, s in enumerate(known.of(known.numbers(w)))]
-    own = spark.createDataFrame(rows, "item_id bigint, item_position int, shingle bigint, item_words int")
-    posted = cut(documents.mapInArrow(_postings(known, brackets), "doc_id bigint, position int, shingle bigint"))
-    rarity = posted.select("doc_id", "shingle").distinct().groupBy("shingle").agg(F.count("*").alias("documents"))
-    # every window's rarest shingle is its prefix
-    windows = own.join(rarity, "shingle", "left").withColumn("documents", F.coalesce("documents", F.lit(0)))
-    windows = windows.withColumn("window", F.explode(F.sequence(F.greatest(F.lit(0), F.col("item_position") - (window - 1)), F.least(F.col("item_position"), F.col("item_words") - n_words))))
-    prefix = windows.groupBy("item_id", "window").agg(F.min(F.struct("documents", "shingle", "item_position")).alias("p"))
-    prefix = prefix.where("p.documents > 0").select("item_id", "window", F.col("p.shingle").alias("shingle"), F.col("p.item_position").alias("item_position")).distinct()
-    candidates = join_small(posted, prefix, ["shingle"]).where("position >= item_position - window").select("doc_id", "item_id", (F.col("position") - F.col("item_position")).alias("shift")).distinct()
-    # exact check over the item-sized window: its shingles follow one another on one diagonal
-    hits = join_small(posted, own.select("item_id", "item_position", "shingle"), ["shingle"]).withColumn("shift", F.col("position") - F.col("item_position"))
-    hits = hits.join(candidates, ["doc_id", "item_id", "shift"], "left_semi").select("doc_id", "item_id", "shift", "position").distinct()
-    run = F.col("position") - F.row_number().over(Window.partitionBy("doc_id", "item_id", "shift").orderBy("position"))
-    runs = hits.withColumn("run", run).groupBy("doc_id", "item_id", "shift", "run").agg(F.count("*").alias("n"), F.min("position").alias("first"))
-    return runs.where(F.col("n") >= window).select("doc_id", "item_id", F.col("first").alias("word_start"), (F.col("n") + SHINGLE - 1).cast("int").alias("n_words"))
+def _bit_map(distinct: DataFrame) -> np.ndarray:
+    """Which bits the shingles set, in a map whose size is a power of two."""
+    bits = 1 << 16
+    n = distinct.count()
+    while bits < min(n * MAP_BITS, MOST_BITS):
+        bits *= 2
+    bit = F.col("shingle").bitwiseAND(bits - 1)
+    words = distinct.groupBy(F.shiftright(bit, 6).alias("word")).agg(F.bit_or(F.expr("shiftleft(1L, cast(shingle & 63 as int))")).alias("mask")).toPandas()
+    out = np.zeros(bits // 64, np.int64)
+    out[words["word"].to_numpy(np.int64)] = words["mask"].to_numpy(np.int64)
+    return out.view(np.uint64)
 
 
-def leaked_spans(documents: DataFrame, items: DataFrame, n_words: int = WORDS, brackets: bool = True, block_chars: int = BLOCK_CHARS) -> DataFrame:
+def leaked_spans(documents: DataFrame, items: DataFrame, n_words: int = WORDS, brackets: bool = True) -> DataFrame:
     """doc_id, item_id, word_start, n_words: maximal runs of at least n_words (5 at least) words of an item in a document.
 
     documents: doc_id, text; items: item_id, text. Words are runs of letters and digits without letter case; what
@@ -161,16 +124,33 @@ def leaked_spans(documents: DataFrame, items: DataFrame, n_words: int = WORDS, b
     """
     if n_words < SHINGLE:
         raise ValueError(f"n_words is {SHINGLE} at least")
+    window = n_words - SHINGLE + 1
     docs = documents.select(F.col("doc_id").cast("bigint").alias("doc_id"), "text").where("doc_id is not null and text is not null")
     its = items.select(F.col("item_id").cast("bigint").alias("item_id"), "text").where("item_id is not null and text is not null")
-    blocks = max(1, -(-(its.agg(F.sum(F.length("text"))).first()[0] or 0) // block_chars))
-    out = None
-    for k in range(blocks):
-        mine = [(i, w) for i, t in its.where(F.pmod(F.xxhash64("item_id"), F.lit(blocks)) == k).toLocalIterator() if len(w := words(t)) >= n_words]
-        if mine:
-            part = _block(docs, mine, n_words, brackets)
-            out = part if out is None else out.union(part)
-    return out if out is not None else documents.sparkSession.createDataFrame([], "doc_id bigint, item_id bigint, word_start int, n_words int")
+    kind = "bigint, position int, total int, shingle bigint"
+    own = cut(its.mapInArrow(_shingles("item_id", False, None), f"item_id {kind}").where(F.col("total") >= window).distinct())
+    distinct = own.select("shingle").distinct()
+    posted = docs.mapInArrow(_shingles("doc_id", brackets, _bit_map(distinct)), f"doc_id {kind}").where(F.col("total") >= window)
+    posted = cut(join_small(posted, distinct, ["shingle"], "left_semi"))
+    rarity = posted.select("doc_id", "shingle").distinct().groupBy("shingle").agg(F.count("*").alias("documents"))
+    # every window's rarest shingle is its prefix; the windows that share one follow one another
+    last = F.least(F.col("position"), F.col("total") - window)
+    windows = own.join(rarity, "shingle", "left").withColumn("documents", F.coalesce("documents", F.lit(0)))
+    windows = windows.withColumn("window", F.explode(F.sequence(F.greatest(F.lit(0), F.col("position") - (window - 1)), last)))
+    prefix = windows.groupBy("item_id", "window").agg(F.min(F.struct("documents", "shingle", "position")).alias("p"))
+    prefix = prefix.where("p.documents > 0").groupBy("item_id", F.col("p.shingle").alias("shingle"), F.col("p.position").alias("item_position")).agg(F.min("window").alias("low"), F.max("window").alias("high"))
+    # at least one window must lie within the document
+    shift = F.col("position") - F.col("item_position")
+    fits = (shift + F.col("high") >= 0) & (shift + F.col("low") + window <= F.col("total"))
+    candidates = join_small(posted, cut(prefix), ["shingle"]).where(fits).select("doc_id", "item_id", shift.alias("shift"), F.explode(F.sequence(F.greatest("low", -shift), F.least("high", F.col("total") - window - shift) + window - 1)).alias("item_position"))
+    candidates = cut(candidates.distinct())
+    # exact check over the item-sized windows: each shingle of a candidate's windows at its place
+    due = join_small(candidates, own.select("item_id", F.col("position").alias("item_position"), "shingle"), ["item_id", "item_position"])
+    due = due.select("doc_id", "item_id", "shift", (F.col("item_position") + F.col("shift")).alias("position"), "shingle")
+    hits = due.join(posted.select("doc_id", "position", "shingle"), ["doc_id", "position", "shingle"], "left_semi")
+    run = F.col("position") - F.row_number().over(Window.partitionBy("doc_id", "item_id", "shift").orderBy("position"))
+    runs = hits.withColumn("run", run).groupBy("doc_id", "item_id", "shift", "run").agg(F.count("*").alias("n"), F.min("position").alias("first"))
+    return runs.where(F.col("n") >= window).select("doc_id", "item_id", F.col("first").alias("word_start"), (F.col("n") + SHINGLE - 1).cast("int").alias("n_words"))
 
 
 def leaks(spans: DataFrame) -> DataFrame:

@@ -108,6 +108,12 @@ n as (select error_id, string_split(path, '/')[4] source, lower(string_split(pat
 k as (select *, regexp_extract(name, '(?:^|[^a-z])([a-z]{3})[^a-z0-9]*c(?:am)?[^a-z0-9]*([0-9]{1,3})[^a-z0-9]+([0-9]{4})[^a-z0-9]?([0-9]{2})[^a-z0-9]?([0-9]{2})[^a-z0-9]+([0-9]+)', ['site', 'cam', 'y', 'm', 'd', 'frame']) r from n),
 pictures as (select error_id, source, case when s in ('val', 'validation') then 'valid' else s end split, (r.site, cast(r.cam as int), r.y || r.m || r.d, cast(r.frame as hugeint)) as key from k where r.site <> '' and s in ('train', 'val', 'valid', 'validation', 'test'))"""
 
+#: Every run of 15 words of documents (ds) and items (it), without shingles.
+_WINDOWS = r"""b as (select doc_id, text t from documents where text is not null union all select doc_id, regexp_replace(t, '\([^()\[\]]*\)|\[[^()\[\]]*\]', ' ', 'g') from b where regexp_matches(t, '\([^()\[\]]*\)|\[[^()\[\]]*\]')),
+  c as (select doc_id, t from b where not regexp_matches(t, '\([^()\[\]]*\)|\[[^()\[\]]*\]')),
+  dw as (select doc_id, regexp_extract_all(lower(t), '[\p{L}\p{N}]+') w from c), iw as (select item_id, regexp_extract_all(lower(text), '[\p{L}\p{N}]+') w from eval_passages),
+  ds as (select doc_id, i, array_to_string(w[i : i + 14], ' ') s from (select doc_id, w, unnest(range(1, len(w) - 13)) i from dw)), it as (select item_id, i, array_to_string(w[i : i + 14], ' ') s from (select item_id, w, unnest(range(1, len(w) - 13)) i from iw))"""
+
 ORACLE = {
     "p3_within_bound": f"""with {LINES},
       vals as (select 'label_lines' table_name, cast(id as int) class_id, c[3] w, c[4] h from parsed where reason is null union all select 'boxes', class_id, w, h from boxes where class_id is not null),
@@ -117,9 +123,7 @@ ORACLE = {
     "p5_counts": f"with {_PICTURES} select b.split, b.source, a.source train_source, count(*) pairs, count(distinct key) pictures from pictures a join pictures b using (key) where a.split = 'train' and b.split <> 'train' group by all",
     "p6_found": "select spec_id, doc_id from documents, pack_specs where strlen(text) + 1 > capacity",
     "p6_tokens": "select spec_id, doc_id, strlen(text) + 1 tokens, cast(ceil((strlen(text) + 1) / capacity) as bigint) pieces from documents, pack_specs where text is not null",
-    "p7_found": r"""with recursive b as (select doc_id, text t from documents where text is not null union all select doc_id, regexp_replace(t, '\([^()\[\]]*\)|\[[^()\[\]]*\]', ' ', 'g') from b where regexp_matches(t, '\([^()\[\]]*\)|\[[^()\[\]]*\]')),
-      c as (select doc_id, t from b where not regexp_matches(t, '\([^()\[\]]*\)|\[[^()\[\]]*\]')),
-      dw as (select doc_id, regexp_extract_all(lower(t), '[\p{L}\p{N}]+') w from c), iw as (select item_id, regexp_extract_all(lower(text), '[\p{L}\p{N}]+') w from eval_passages),
-      ds as (select doc_id, hash(w[i : i + 14]) h, array_to_string(w[i : i + 14], ' ') s from (select doc_id, w, unnest(range(1, len(w) - 13)) i from dw)), it as (select distinct item_id, array_to_string(w[i : i + 14], ' ') s from (select item_id, w, unnest(range(1, len(w) - 13)) i from iw))
-      select distinct doc_id, item_id from ds join it using (s)""",
+    "p7_found": rf"with recursive {_WINDOWS} select distinct doc_id, item_id from ds join it using (s)",
+    "p7_spans": rf"""with recursive {_WINDOWS}, m as (select distinct doc_id, item_id, ds.i, ds.i - it.i shift from ds join it using (s)), r as (select *, i - row_number() over (partition by doc_id, item_id, shift order by i) run from m)
+      select doc_id, item_id, cast(min(i) - 1 as int) word_start, cast(count(*) + 14 as int) n_words from r group by doc_id, item_id, shift, run""",
 }
