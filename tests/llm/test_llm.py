@@ -63,22 +63,31 @@ def test_index():
 NAMES = ["trn_c06_20140116_001546.jpg", "trn%20c06%2020140116%20001546.png", "Copy of TRN_C06_20140116_001546 (1).JPG", "trn_c6_2014-01-16_1546.jpg", "640_trn.c06.20140116.001546_aug_3_jpg.rf.0a1b.jpg", "dup-trn-c06-20140116-001546~2.jpeg"]
 
 
-def test_pictures(spark):
+def test_pictures(spark, monkeypatch):
     rows = [(i, f"/mnt/aug/x/run_1/{'train' if i % 2 else 'VAL'}/images/{n}") for i, n in enumerate(NAMES)]
     rows += [(20, None), (21, "/mnt/aug/x/run_1/train/images/IMG_0042.jpg"), (22, "\\mnt\\aug\\y\\run_2\\Test\\.\\images\\trn_c06_20140116_001546.jpg"), (23, "/mnt/aug//x/run_1/train/images/trn_c06_20140116_001547.jpg"), (24, "/mnt/aug/x/run_1/other/trn_c06_20140116_001546.jpg"), (None, "/mnt/aug/x/run_1/train/images/" + NAMES[0])]
-    p = overlap.scored_pictures(spark.createDataFrame(rows, "error_id bigint, path string").withColumn("key", F.lit("clash")))
-    assert {r.key for r in p.where("error_id <> 23").collect()} == {"trn|6|20140116|1546"}
+    rows += [(25, "/mnt/aug/x/run_1/test/images/trn_c06_20140116_00154.jpg"), (26, "/mnt/aug/x/run_1/test/images/xtrn_c06_20140116_15460.jpg"), (27, "/mnt/aug/x/run_1/test/images/|trn|6|20140116|1546|.jpg")]
+    d = spark.createDataFrame(rows, "error_id bigint, path string").withColumn("key", F.lit("clash"))
+    p = overlap.scored_pictures(d)
+    assert {r.key for r in p.where("error_id < 20 or error_id = 22").select(overlap.shown(F.col("name")).alias("key")).collect()} == {"|trn|6|20140116|1546|"}
     train, held = [1, 3, 5], [0, 2, 4, 22]
-    assert {tuple(r) for r in overlap.overlapping_pairs(p).collect()} == {(min(a, b), max(a, b)) for a in train for b in held}
+    for shard_names in (1, 40_000):
+        assert {tuple(r) for r in overlap.overlapping_pairs(p, shard_names).collect()} == {(min(a, b), max(a, b)) for a in train for b in held}
     counts = overlap.overlap_counts(p).collect()
     assert sum(r.pairs for r in counts) == 12 and {(r.split, r.source) for r in counts} == {("valid", "x"), ("test", "y")}
     assert overlap.overlapping_pairs(p.limit(0)).count() == 0
+    monkeypatch.setattr(overlap, "search", lambda shown, shards: spark.createDataFrame([], "shown string, name_id bigint"))
+    assert overlap.overlapping_pairs(p).count() == 0  # the pairs are what the index finds
 
 
-def test_shards(spark):
-    keys = [f"k{i}" for i in range(300)]
-    e, t = (spark.createDataFrame([(k,) for k in ks] + [(None,)], "key string") for ks in (keys[:200] * 2, keys[150:]))
-    assert {r.key for r in overlap.shared_keys(e, t, shard_keys=20).collect()} == set(keys[150:200])
+def test_search(spark):
+    """Several shards in several passes find every name that holds a text, wherever in it."""
+    names = [(i, f"{'x' * (i % 5)}|k{i % 60}|{i}") for i in range(300)] + [(900, None), (901, ""), (902, "é|k7|")]
+    n = spark.createDataFrame(names, "name_id bigint, name string").repartition(3)
+    texts = [f"|k{i}|" for i in range(40, 80)] + ["|k7|"]
+    t = spark.createDataFrame([(x,) for x in texts] + [(None,)], "shown string").repartition(2)
+    got = {tuple(r) for r in overlap.search(t, overlap.cut(overlap.index_shards(n, 50)), 40_000).collect()}
+    assert got == {(x, i) for x in texts for i, m in names if m and x in m}
 
 
 # --- packing
@@ -148,7 +157,13 @@ def test_leaks(spark):
     for n in (15, 9):
         want = held(n)
         assert {tuple(r) for r in leakage.leaks(leakage.leaked_spans(dd, ii, n)).collect()} == want and len(want) > 3
-    assert {tuple(r) for r in leakage.leaks(leakage.leaked_spans(dd, ii, 15, block_chars=300)).collect()} == held(15)
+    spans = leakage.leaked_spans(dd, ii, 9).collect()
+    texts, item = {d: plain(t) for d, t in docs if t}, {i: re.findall(r"[^\W_]+", t.lower()) for i, t in items if t}
+    for r in spans:  # each span is a run of the item's words that neither side carries on
+        w, v = texts[r.doc_id][r.word_start : r.word_start + r.n_words], item[r.item_id]
+        at = [k for k in range(len(v) - r.n_words + 1) if v[k : k + r.n_words] == w]
+        before, after = texts[r.doc_id][:r.word_start][-1:], texts[r.doc_id][r.word_start + r.n_words :][:1]
+        assert r.n_words >= 9 and any(v[max(0, k - 1) : k] != before or not before for k in at) and any(v[k + r.n_words :][:1] != after or not after for k in at)
     assert leakage.leaked_spans(dd, ii.limit(0)).count() == 0 and leakage.leaked_spans(dd.limit(0), ii).count() == 0
 
 
