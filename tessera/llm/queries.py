@@ -60,6 +60,10 @@ def p6_fill(spark, d):
     return packing.fill(_contents(spark, d))
 
 
+def p6_checks(spark, d):
+    return packing.checks(_contents(spark, d))
+
+
 def p6_tokens(spark, d):
     return _contents(spark, d).groupBy("spec_id", "doc_id").agg(F.sum(F.col("token_end") - F.col("token_start")).alias("tokens"), F.count("*").alias("pieces"))
 
@@ -100,7 +104,7 @@ def p8_clashes(spark, d):
     return pii.clashes(_personal(spark, d, pii.find_personal))
 
 
-QUERIES = {f.__name__: f for f in (p3_percentiles, p3_within_bound, p5_found, p5_counts, p6_found, p6_contents, p6_fill, p6_tokens, p7_found, p7_spans, p8_found, p8_surrogates, p8_redacted, p8_clashes)}
+QUERIES = {f.__name__: f for f in (p3_percentiles, p3_within_bound, p5_found, p5_counts, p6_found, p6_contents, p6_fill, p6_checks, p6_tokens, p7_found, p7_spans, p8_found, p8_surrogates, p8_redacted, p8_clashes)}
 
 _PICTURES = r"""
 p as (select error_id, regexp_replace(replace(path, '\', '/'), '(/+([.]/+)*)', '/', 'g') path from image_errors),
@@ -122,6 +126,7 @@ ORACLE = {
     "p5_found": f"with {_PICTURES} select least(a.error_id, b.error_id) error_id_a, greatest(a.error_id, b.error_id) error_id_b from pictures a join pictures b using (key) where a.split = 'train' and b.split <> 'train'",
     "p5_counts": f"with {_PICTURES} select b.split, b.source, a.source train_source, count(*) pairs, count(distinct key) pictures from pictures a join pictures b using (key) where a.split = 'train' and b.split <> 'train' group by all",
     "p6_found": "select spec_id, doc_id from documents, pack_specs where strlen(text) + 1 > capacity",
+    "p6_checks": "select spec_id, cast(sum(ceil((strlen(text) + 1) / capacity)) as bigint) pieces, cast(sum(strlen(text) + 1) as bigint) tokens, 0::bigint overfull, 0::bigint short from documents, pack_specs where text is not null group by 1",
     "p6_tokens": "select spec_id, doc_id, strlen(text) + 1 tokens, cast(ceil((strlen(text) + 1) / capacity) as bigint) pieces from documents, pack_specs where text is not null",
     "p7_found": rf"with recursive {_WINDOWS} select distinct doc_id, item_id from ds join it using (s)",
     "p7_spans": rf"""with recursive {_WINDOWS}, m as (select distinct doc_id, item_id, ds.i, ds.i - it.i shift from ds join it using (s)), r as (select *, i - row_number() over (partition by doc_id, item_id, shift order by i) run from m)

@@ -116,11 +116,26 @@ def test_pack(spark, capacity):
             assert len(spans) == max(1, -(-s // capacity)) and spans[0][0] == 0 and all(a[1] == b[0] for a, b in zip(spans, spans[1:])) and spans[-1][1] == s
     assert {r.doc_id for r in packing.divided(c).collect()} == {i for i, s in docs if i is not None and s and s > capacity}
     assert packing.fill(c).first().filled > 0.9 and packing.pack(d.limit(0), specs).count() == 0
-
-
-def test_bins():
-    assert sorted(map(len, packing.harmonic_bins(np.array([5, 5, 5, 5]), 10))) == [2, 2] and packing.harmonic_bins(np.array([], np.int64), 10) == []
-    assert len(packing.harmonic_bins(np.array([7, 3, 7, 3]), 10)) == 2
+    assert tuple(packing.checks(c).first())[3:] == (0, 0)
+
+
+@pytest.mark.parametrize(("capacity", "n", "least"), [(10, 7, 0), (97, 500, 0.9), (2048, 20_000, 0.98), (8192, 20_000, 0.98), (3, 50, 0)])
+def test_bins(capacity, n, least):
+    """Each class's containers hold exactly as many of its documents as the class says, all but one."""
+    rng = np.random.default_rng(capacity)
+    for sizes in (rng.integers(1, capacity + 1, n), np.minimum(capacity, 1 + rng.exponential(capacity / 9, n).astype(np.int64)), np.full(n, capacity // 2), np.full(n, capacity), np.ones(n, np.int64)):
+        where, kinds = packing.harmonic_bins(sizes, capacity)
+        assert (np.bincount(where, weights=sizes) <= capacity).all() and (np.bincount(where) > 0).all() and len(kinds) == where.max() + 1
+        own = capacity // sizes
+        for i in range(1, packing.CLASSES):
+            held = [int((own[where == c] == i).sum()) for c in np.flatnonzero(kinds == i)[:200]]
+            assert all(h == i for h in held[:-1]) and all(0 < h <= i for h in held)
+        if len(set(sizes.tolist())) > 5:
+            assert sizes.sum() / capacity / len(kinds) > least
+
+
+def test_no_bins():
+    assert all(len(x) == 0 for x in packing.harmonic_bins(np.array([], np.int64), 10))
 
 
 # --- leakage
