@@ -5,24 +5,29 @@ in one text. Patterns are anchored on signs that are rare in prose (digits, @, c
 once. Names are runs of capitalised words read by a small grammar; whether a word can be a given name or a surname is told by
 the name list and by an affix model trained on it, whether a person is private by the list of members.
 
-Surrogates are keyed replacements of the same type: digits by a keyed permutation of numbers of their length, words by keyed syllables
-that keep accents, capitals and the gender of a given name's ending. Parts of an entity are replaced each by itself, so one
-person stays one person however the name is written; `surrogate_tokens` re-keys words until no two share a surrogate.
+Surrogates are keyed replacements of the same type, script and format: digits by a keyed permutation of numbers of their length, letters by letters
+of their script and kind, with capitals and the ending that tells a given name's gender kept. The permutations have no fixed point, so no
+part is ever its own surrogate. Parts of an entity are replaced each by itself, so one person stays one person however the name is
+written. `checked_attempts` compares all surrogates with all real values and with one another and re-keys what meets.
 """
 
 from __future__ import annotations
 
 import hashlib
 import re
+import sys
 import unicodedata
+from bisect import bisect
 from collections import Counter
 from collections.abc import Iterator
 
 import pyarrow as pa
+from ahocorasick import Automaton
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tessera.llm.leakage import pieces
+from tessera.util import cut, is_small, join_small
 
 KINDS = ("email", "phone", "id_number", "address", "name")
 
@@ -36,7 +41,22 @@ FRENCH_WORDS = frozenset("le la les de du des et en un une a est été sur pour
 ENGLISH_WORDS = frozenset("the of and to in is was for that with on at by from this had has have they when it be as are not who".split())
 # --------------------------------------------------------------------------------------------------
 
-_UP = "A-ZÀ-ÖØ-ÞĀĂĄĆČĎĐĒĘĚĞĪĮŁŃŇŌŐŒŘŚŞŠŤŪŮŰŹŻŽ"
+
+
+def _ranges(test) -> str:
+    """Code points that pass a test, as the inside of a character class."""
+    out, last = [], -2
+    for i in range(sys.maxunicode + 1):
+        if test(chr(i)):
+            if i == last + 1:
+                out[-1][1] = i
+            else:
+                out.append([i, i])
+            last = i
+    return "".join(chr(a) + (f"-{chr(b)}" if b > a else "") for a, b in out)
+
+
+_UP = _ranges(lambda c: c.isupper() or c.istitle())
 _CAP = rf"[{_UP}][^\W\d_]*(?:[’'\-](?![sS]\b)[^\W\d_]+)*"
 _TITLE = "|".join(sorted(TITLES, key=len, reverse=True))
 _PARTICLE = r"(?:[dD][eE] [lL][aA] |[dD][eE][sS]? |[dD][uU] |[vV][aA][nN] (?:[dD][eE][rRnN] )?|[vV][oO][nN] |[dD][eE][lL][lL][aA] |[dD][iIaA] |[bB][eEiI][nN] |[iI][bB][nN] |[aAeE][lL][ \-]|[tT][eE][rRnN] |[dD][’'])"
@@ -45,6 +65,9 @@ _RUN = re.compile(rf"(?:(?<![\w@.+\-’'])|(?<=\b[aAeE][lL]-)){_CAP}\.?(?:,? {_P
 _BEFORE = re.compile(rf"(?<![\w’'\-])({_PARTICLE})$")
 _TOKEN = re.compile(rf"({_PARTICLE})?({_CAP})(\.?)")
 
+_WORD_LIKE = r"[^\W\d_]+(?:[-’'](?![sS]\b)[^\W\d_]+)*"
+_SURNAME_AFTER = re.compile(rf"(?: [^\W\d_]\.)* {_PARTICLE}?({_WORD_LIKE})(?![\w@])")
+_LAST_WORD = re.compile(rf"(?<![\w@.+\-’'])({_PARTICLE}?)({_WORD_LIKE})$")
 _NEXT_WORD = re.compile(rf" ({_CAP})")
 _AT = r"(?:@| ?[(\[{] ?(?:at|AT|arobase) ?[)\]}] ?| (?:at|AT|arobase) )"
 _DOT = r"(?:\.| ?[(\[{] ?(?:dot|DOT|point) ?[)\]}] ?| (?:dot|DOT|point) )"
@@ -106,6 +129,7 @@ class Detector:
         self.titles = {t.lower() for t in TITLES} | {"m"}
         self.offices = {t.lower() for t in OFFICES}
         self.types = {t.lower() for t in STREET_TYPES}
+        self.finder = None  # made by the worker that needs it
 
     # --- names
     def _surname_like(self, word: str, strict: bool) -> bool:
@@ -124,7 +148,7 @@ class Detector:
         theirs = self.members.get(surname.lower())
         return theirs is not None and (not given or any(g.startswith(given.lower()) for g in theirs))
 
-    def names(self, text: str) -> Iterator[tuple[int, int]]:
+    def names(self, text: str) -> Iterator[tuple[int, int, str]]:
         for run in _RUN.finditer(text):
             base, end = run.span()
             tokens = [(m.start(1) if m.group(1) else m.start(2), m.start(2), m.end(2), m.group(2), bool(m.group(3)), bool(m.group(1))) for m in _TOKEN.finditer(text, base, end)]
@@ -134,7 +158,32 @@ class Detector:
                     tokens[0] = (m.start(1), *t[1:])
             yield from self._read(text, tokens)
 
-    def _read(self, text: str, tokens: list[tuple]) -> Iterator[tuple[int, int]]:
+    def small_names(self, text: str) -> Iterator[tuple[int, int, str]]:
+        """Names not written with capitals: only those whose given name and surname the list both has, as such words may mean anything."""
+        if self.finder is None:
+            self.finder = Automaton()
+            for w in self.given.words:
+                self.finder.add_word(w, len(w))
+            if len(self.finder):
+                self.finder.make_automaton()
+        low = text.lower()
+        if not len(self.finder) or len(low) != len(text):
+            return
+        for end, n in self.finder.iter(low):
+            a, b = end - n + 1, end + 1
+            if a and text[a - 1].isalnum() or text[b : b + 1].isalnum():
+                continue
+            # given name, initials, surname; or surname, comma, given name
+            if (m := _SURNAME_AFTER.match(text, b)) and not (text[a].isupper() and m.group(1)[0].isupper()):
+                yield from self._listed(a, m.end(), m.group(1), text[a:b])
+            elif text[max(0, a - 2) : a] == ", " and (m := _LAST_WORD.search(text, max(0, a - 40), a - 2)) and not (text[a].isupper() and m.group(2)[0].isupper()):
+                yield from self._listed(m.start(), b, m.group(2), text[a:b])
+
+    def _listed(self, a: int, b: int, surname: str, given: str) -> Iterator[tuple[int, int, str]]:
+        if all(p in self.surname.words or p in self.members for p in re.split("[-’']", surname.lower())) and not self._member(surname, given):
+            yield a, b, surname
+
+    def _read(self, text: str, tokens: list[tuple]) -> Iterator[tuple[int, int, str]]:
         i, n = 0, len(tokens)
         while i < n:
             titled = False
@@ -155,7 +204,7 @@ class Detector:
                 continue
             if not titled and (m := _NEXT_WORD.match(text, b)) and not self._given_like(m.group(1)):
                 continue  # a road, reservoir or commission named like a person: a further capitalised word follows at once
-            yield a, b
+            yield a, b, surname
 
     @staticmethod
     def _french(text: str, at: int) -> bool:
@@ -215,7 +264,11 @@ class Detector:
                     return i, j, w[3], tokens[i + 1][3]
         # surname alone, after a title
         if titled and word(i) and (self._surname_like(w[3], False) or not self._common(w[3])):
-            return i, i, w[3], None
+            j = i
+            if not self._surname_like(w[3], False):  # of names built in another way the whole run belongs to the person
+                while word(j + 1) and gap(j) == " " and not self._common(tokens[j + 1][3]) and not self._surname_like(tokens[j + 1][3], True) and j < i + 2:
+                    j += 1
+            return i, j, tokens[j][3], w[3] if j > i else None
         return None
 
     def _common(self, word: str) -> bool:
@@ -251,16 +304,20 @@ class Detector:
         if _FRENCH_HINT.search(text):
             yield from (m.span(1) for m in _FRENCH.finditer(text))
 
-    def find(self, text: str) -> list[tuple[str, int, int]]:
-        """(kind, start, end) in order, without overlaps; where two kinds claim a place, the first of KINDS with id_number before phone holds it."""
-        out: list[tuple[str, int, int]] = []
+    def find(self, text: str) -> list[tuple[str, int, int, str]]:
+        """(kind, start, end, unit) in order, without overlaps; where two kinds claim a place, the first of KINDS with id_number before phone holds it.
+
+        The unit is what all spellings of an entity share: a person's surname, a subscriber's digits, else the value in small letters.
+        """
+        out: list[tuple[str, int, int, str]] = []
         taken: list[tuple[int, int]] = []
 
-        def add(kind: str, spans: Iterator[tuple[int, int]]) -> None:
-            for a, b in spans:
-                if not any(a < y and x < b for x, y in taken):
-                    out.append((kind, a, b))
-                    taken.append((a, b))
+        def add(kind: str, spans: Iterator[tuple]) -> None:
+            for a, b, *unit in spans:
+                at = bisect(taken, (a, a))
+                if not (at and taken[at - 1][1] > a or at < len(taken) and taken[at][0] < b):
+                    out.append((kind, a, b, unit[0].lower() if unit else unit_of(kind, text[a:b])))
+                    taken.insert(at, (a, b))
 
         add("email", self.emails(text))
         if _NUMBERS.search(text):
@@ -268,13 +325,45 @@ class Detector:
             add("phone", self.phones(text))
         add("address", self.addresses(text))
         add("name", self.names(text))
-        return sorted(out, key=lambda x: x[1:])
+        add("name", self.small_names(text))
+        return sorted(out, key=lambda x: x[1:3])
+
+
+def unit_of(kind: str, value: str) -> str:
+    if kind == "phone":
+        return re.sub(r"\D", "", re.split(r"[A-Za-z,]", value)[0])[-7:]
+    if kind == "id_number":
+        return re.sub(r"\W", "", value).lower()
+    return value.lower()
 
 
 # --- surrogates -----------------------------------------------------------------------------------
 
-_LETTERS = ("bcdfghjklmnpqrstvwxyz", "aeiou", "àâäéèêëîïôöùûü")
-_CLASS = {c: k for k, letters in enumerate(_LETTERS) for c in letters}
+_VOWELS = frozenset("aeiou")
+_ALPHABETS: dict[tuple, str] = {}
+
+
+def _script(c: str) -> str:
+    return unicodedata.name(c, "?").split()[0]
+
+
+def _kind(c: str) -> tuple:
+    """What a small letter's surrogate shares with it: script, page of the script, vowel or not in Latin, marked or not."""
+    base = unicodedata.normalize("NFD", c)
+    return _script(c), ord(c) >> 7, base[0] in _VOWELS, len(base) > 1
+
+
+def alphabet(c: str) -> str:
+    """Letters that may stand for a small letter: those of its kind, or, if it is the only one, those of its page in its script; empty for other signs."""
+    if not c.isalpha():
+        return ""
+    kind = _kind(c)
+    if kind not in _ALPHABETS:
+        page = [x for i in range(kind[1] << 7, (kind[1] + 1) << 7) if (x := chr(i)).isalpha() and _script(x) == kind[0] and x.lower() == x and not x.isupper() and not x.istitle() and len(x.upper()) == 1 and x.upper().lower() == x]
+        same = [x for x in page if _kind(x) == kind]
+        _ALPHABETS[kind] = "".join(same if len(same) > 1 else page)
+    own = _ALPHABETS[kind]
+    return own if len(own) > 1 and c in own else ""
 
 
 def _digest(key: bytes, *parts: object) -> int:
@@ -294,36 +383,60 @@ def permuted(x: int, n: int, key: bytes, tweak: str) -> int:
             return x
 
 
+def unpermuted(x: int, n: int, key: bytes, tweak: str) -> int:
+    """The inverse of permuted()."""
+    half = max(1, (max(n - 1, 1).bit_length() + 1) // 2)
+    mask = (1 << half) - 1
+    while True:
+        a, b = x >> half, x & mask
+        for r in (3, 2, 1, 0):
+            a, b = b ^ (_digest(key, tweak, n, r, a) & mask), a
+        x = a << half | b
+        if x < n:
+            return x
+
+
+def moved(x: int, n: int, key: bytes, tweak: str) -> int:
+    """A keyed permutation of range(n) that is one cycle: it leaves nothing in its place if n > 1."""
+    return unpermuted((permuted(x, n, key, tweak) + 1) % n, n, key, tweak)
+
+
 class Surrogates:
-    """Keyed replacements. Each is a permutation of the values of one format, so different values never meet."""
+    """Keyed replacements. Each is a permutation of the values of one format, so different values never meet under one attempt, and no value is its own.
+
+    Attempts above 0 re-key all but first letters and what a format keeps.
+    """
 
     def __init__(self, key: str, attempt: int = 0):
         self.key = hashlib.blake2b(f"{attempt}|{key}".encode(), digest_size=32).digest()
+        self.first = hashlib.blake2b(f"0|{key}".encode(), digest_size=32).digest()
         self.kept: dict[str, str] = {}
 
     def word(self, word: str) -> str:
-        """Letters by letters of their kind (consonant, vowel, accented vowel), capitals kept. The first letter depends on the first alone, so that initials stay true; the last, which tells gender, is kept."""
-        low = word.lower()
+        """Letters by letters of their kind, capitals kept. The first letter depends on the first alone, so that initials stay true; the last, which tells gender, is kept in longer words."""
+        low = "".join(c.lower() if len(c.lower()) == 1 else c for c in word)
         if low not in self.kept:
             if len(self.kept) > 100_000:
                 self.kept.clear()
-            out = list(low)
-            if out and out[0] in _CLASS:
-                own = _LETTERS[_CLASS[out[0]]]
-                out[0] = own[permuted(own.index(out[0]), len(own), self.key, "first")]
-            free = [i for i in range(1, len(out) - (len(out) > 2)) if out[i] in _CLASS]
-            x, n = 0, 1
-            for i in free:
-                own = _LETTERS[_CLASS[out[i]]]
-                x, n = x * len(own) + own.index(out[i]), n * len(own)
-            if free:
-                x = permuted(x, n, self.key, "".join(str(_CLASS.get(c, c)) for c in low))
-                for i in reversed(free):
-                    own = _LETTERS[_CLASS[out[i]]]
-                    x, r = divmod(x, len(own))
-                    out[i] = own[r]
-            self.kept[low] = "".join(out)
-        return "".join(c.upper() if w.isupper() else c for c, w in zip(self.kept[low], word, strict=False)) if len(low) == len(word) else self.kept[low]
+            self.kept[low] = self._small(low)
+        return "".join(c.upper() if w.isupper() or w.istitle() else c for c, w in zip(self.kept[low], word, strict=True))
+
+    def _small(self, low: str) -> str:
+        out, own = list(low), [alphabet(c) for c in low]
+        head = next((i for i, a in enumerate(own) if a), None)
+        if head is None:  # none of these letters has another of its kind
+            return "".join("bcdfg"[_digest(self.key, low, i) % 5] for i in range(len(low)))
+        out[head] = own[head][moved(own[head].index(low[head]), len(own[head]), self.first, "first" + own[head])]
+        free = [i for i in range(head + 1, len(out) - (len(out) > 2)) if own[i]]
+        x, n = 0, 1
+        for i in free:
+            x, n = x * len(own[i]) + own[i].index(low[i]), n * len(own[i])
+        if free:
+            x = moved(x, n, self.key, "|".join([str(len(out)), out[-1], *(own[i] for i in free)]))
+            for i in reversed(free):
+                x, r = divmod(x, len(own[i]))
+                out[i] = own[i][r]
+        return "".join(out)
 
     def number(self, digits: str, tweak: str) -> str:
         """A number of as many digits, without a leading zero unless it has one."""
@@ -331,25 +444,30 @@ class Surrogates:
         if n > 1 and digits[0] == "0":
             return "0" + self.number(digits[1:], tweak)
         low = 10 ** (n - 1) if n > 1 else 0
-        return str(low + permuted(int(digits) - low, 10**n - low, self.key, tweak))
+        return str(low + moved(int(digits) - low, 10**n - low, self.key, tweak))
 
     def digits(self, text: str, last: int, tweak: str) -> str:
         """The last so many digits of text replaced as one number, whatever stands between them."""
         at = [i for i, c in enumerate(text) if c.isdigit()][-last:]
-        new = permuted(int("".join(text[i] for i in at) or 0), 10 ** len(at), self.key, tweak)
+        new = moved(int("".join(text[i] for i in at) or 0), 10 ** len(at), self.key, tweak)
         out = list(text)
         for i, c in zip(at, str(new).zfill(len(at))):
             out[i] = c
         return "".join(out)
 
     def of(self, kind: str, value: str) -> str:
+        out = self._of(kind, value)
+        # made of words only that a format keeps: then they are replaced too
+        return out if out != value else re.sub(r"[^\W\d_]+", lambda m: self.word(m.group()), value)
+
+    def _of(self, kind: str, value: str) -> str:
         if kind == "phone":
             number, rest = re.match(r"([^A-Za-z,]*)(.*)", value, re.S).groups()
             # country and area stay, the subscriber's seven digits are permuted
             return self.digits(number, 7, "phone") + re.sub(r"\d+", lambda m: self.number(m.group(), "extension"), rest)
         if kind == "id_number":
             letter = value[-1]
-            return self.digits(value[:-1], 9, "id") + chr(permuted(ord(letter.upper()) - 65, 26, self.key, "letter") + (65 if letter.isupper() else 97))
+            return self.digits(value[:-1], 9, "id") + chr(moved(ord(letter.upper()) - 65, 26, self.key, "letter") + (65 if letter.isupper() else 97))
         if kind == "email":
             return re.sub(r"[^\W\d_]+|\d+", lambda m: m.group() if m.group().lower() in _KEEP_IN_EMAIL else self.number(m.group(), "email") if m.group().isdigit() else self.word(m.group()), value)
         if kind == "address":
@@ -365,7 +483,7 @@ _KEEP_IN_NAME = frozenset(PARTICLES)
 def replaced(text: str, spans: list[tuple[str, int, int]], new: list[str]) -> str:
     """Text with new values in place of spans, which are sorted and don't overlap."""
     out, at = [], 0
-    for (_, a, b), v in zip(spans, new):
+    for (_, a, b, *_), v in zip(spans, new):
         out += [text[at:a], v]
         at = b
     return "".join([*out, text[at:]])
@@ -375,30 +493,45 @@ def placeholder(kind: str) -> str:
     return f"[{kind.upper()}]"
 
 
-FOUND = "doc_id bigint, kind string, start_pos int, end_pos int, value string, surrogate string"
+FOUND = "doc_id bigint, kind string, start_pos int, end_pos int, value string, unit string"
 
 
-def _found(detector: Detector, key: str, attempt: int):
+def _found(detector: Detector):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        surrogates = Surrogates(key, attempt)
         for ids, texts in pieces(batches):
-            rows = [(d, k, a, b, t[a:b], surrogates.of(k, t[a:b])) for d, t in zip(ids.tolist(), texts) for k, a, b in detector.find(t)]
+            rows = [(d, k, a, b, t[a:b], u) for d, t in zip(ids.tolist(), texts) for k, a, b, u in detector.find(t)]
             if rows:
-                d, k, a, b, v, s = zip(*rows)
-                yield pa.record_batch({"doc_id": pa.array(d, pa.int64()), "kind": pa.array(k), "start_pos": pa.array(a, pa.int32()), "end_pos": pa.array(b, pa.int32()), "value": pa.array(v), "surrogate": pa.array(s)})
+                d, k, a, b, v, u = zip(*rows)
+                yield pa.record_batch({"doc_id": pa.array(d, pa.int64()), "kind": pa.array(k), "start_pos": pa.array(a, pa.int32()), "end_pos": pa.array(b, pa.int32()), "value": pa.array(v), "unit": pa.array(u)})
 
     return run
 
 
-def _rewritten(detector: Detector, key: str, attempt: int):
+def _replaced(key: str, at: int):
+    """Adds surrogate from kind, value and attempt, the columns from `at` on."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        surrogates = Surrogates(key, attempt)
+        by_attempt: dict[int, Surrogates] = {}
+        for b in batches:
+            new = []
+            for k, v, t in zip(*(b.column(at + i).to_pylist() for i in range(3))):
+                if t not in by_attempt:
+                    by_attempt[t] = Surrogates(key, t)
+                new.append(by_attempt[t].of(k, v))
+            yield pa.RecordBatch.from_arrays([*b.columns, pa.array(new, pa.string())], names=[*b.schema.names, "surrogate"])
+
+    return run
+
+
+def _rewritten(detector: Detector, key: str, attempts: dict[tuple[str, str], int]):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        by_attempt = {t: Surrogates(key, t) for t in {0, *attempts.values()}}
         for ids, texts in pieces(batches):
             spans = [detector.find(t) for t in texts]
             yield pa.record_batch(
                 {
-                    "doc_id": pa.array(ids), "n_found": pa.array([len(s) for s in spans], pa.int32()), "redacted": pa.array([replaced(t, s, [placeholder(k) for k, _, _ in s]) for t, s in zip(texts, spans)]),
-                    "surrogated": pa.array([replaced(t, s, [surrogates.of(k, t[a:b]) for k, a, b in s]) for t, s in zip(texts, spans)]),
+                    "doc_id": pa.array(ids), "n_found": pa.array([len(s) for s in spans], pa.int32()), "redacted": pa.array([replaced(t, s, [placeholder(x[0]) for x in s]) for t, s in zip(texts, spans)]),
+                    "surrogated": pa.array([replaced(t, s, [by_attempt[attempts.get((k, u), 0)].of(k, t[a:b]) for k, a, b, u in s]) for t, s in zip(texts, spans)]),
                 }
             )
 
@@ -418,30 +551,60 @@ def _texts(documents: DataFrame) -> DataFrame:
     return documents.select(F.col("doc_id").cast("bigint").alias("doc_id"), "text").where("doc_id is not null and text is not null")
 
 
-def find_personal(documents: DataFrame, names: DataFrame, members: DataFrame, key: str, attempt: int = 0) -> DataFrame:
-    """doc_id, kind, start_pos, end_pos, value, surrogate of each occurrence; positions count code points from 0.
+def find_personal(documents: DataFrame, names: DataFrame, members: DataFrame) -> DataFrame:
+    """doc_id, kind, start_pos, end_pos, value, unit of each occurrence; positions count code points from 0.
 
     Null and empty texts have none; repeated ids give the rows of each text; other columns aren't read.
     """
-    return _texts(documents).mapInArrow(_found(detector_of(names, members), key, attempt), FOUND)
+    return _texts(documents).mapInArrow(_found(detector_of(names, members)), FOUND)
 
 
-def rewrite(documents: DataFrame, names: DataFrame, members: DataFrame, key: str, attempt: int = 0) -> DataFrame:
-    """doc_id, n_found, redacted (typed placeholders), surrogated (surrogates) of every text that isn't null."""
-    return _texts(documents).mapInArrow(_rewritten(detector_of(names, members), key, attempt), "doc_id bigint, n_found int, redacted string, surrogated string")
-
-
-def clashes(found: DataFrame) -> DataFrame:
+def clashes(surrogated: DataFrame) -> DataFrame:
     """kind and value of entities whose surrogate is some text's real entity, or that share one surrogate with another spelling-blind value."""
-    plain = found.select("kind", F.lower("value").alias("value"), F.lower("surrogate").alias("surrogate")).distinct()
+    plain = surrogated.select("kind", F.lower("value").alias("value"), F.lower("surrogate").alias("surrogate")).distinct()
     real = plain.select("kind", F.col("value").alias("surrogate")).distinct()
     shared = plain.groupBy("kind", "surrogate").count().where("count > 1").select("kind", "surrogate")
     return plain.join(real.union(shared).distinct(), ["kind", "surrogate"], "left_semi").select("kind", "value")
 
 
-def safe_attempt(documents: DataFrame, names: DataFrame, members: DataFrame, key: str, kinds: tuple[str, ...] = ("email", "phone", "id_number", "name"), tries: int = 20) -> int:
-    """The first attempt at the key under which no surrogate of these kinds is anybody's real datum."""
-    for attempt in range(tries):
-        if clashes(find_personal(documents, names, members, key, attempt).where(F.col("kind").isin(*kinds))).isEmpty():
-            return attempt
-    raise ValueError("every attempt clashes")
+def checked_attempts(found: DataFrame, key: str, tries: int = 50) -> DataFrame:
+    """kind, unit, attempt of the units that must be re-keyed, so that no surrogate is anybody's real datum and no two values share one. found: cut.
+
+    All surrogates are compared with all real values and with one another, by joins over distinct values. What meets is keyed again, the whole unit,
+    so that every spelling of the entity follows; of values that share a surrogate the first unit stays. Rounds end when nothing meets.
+    """
+    values = cut(found.groupBy("kind", F.lower("value").alias("value")).agg(F.min("unit").alias("unit"), F.lit(0).alias("attempt")))
+    for _ in range(tries):
+        # kind, value and attempt come in the order in which _replaced() reads them
+        d = values.select("unit", "kind", "value", "attempt")
+        d = cut(d.mapInArrow(_replaced(key, 1), "unit string, kind string, value string, attempt int, surrogate string").withColumn("surrogate", F.lower("surrogate")))
+        real = d.join(d.select("kind", F.col("value").alias("surrogate")), ["kind", "surrogate"], "left_semi").select("kind", "unit")
+        first = d.groupBy("kind", "surrogate").agg(F.min(F.struct("attempt", "unit")).alias("first"), F.count_distinct("value").alias("n")).where("n > 1")
+        shared = d.join(first, ["kind", "surrogate"]).where(F.struct("attempt", "unit") != F.col("first")).select("kind", "unit")
+        again = cut(real.union(shared).distinct())
+        if again.isEmpty():
+            return d.where("attempt > 0").select("kind", "unit", "attempt").distinct()
+        values = cut(d.join(again.withColumn("again", F.lit(1)), ["kind", "unit"], "left").select("kind", "value", "unit", (F.col("attempt") + F.coalesce("again", F.lit(0))).alias("attempt")))
+    raise ValueError(f"values still meet after {tries} attempts")
+
+
+def with_surrogates(found: DataFrame, key: str) -> DataFrame:
+    """found (cut) with the surrogate of each occurrence, checked against all values."""
+    attempts = checked_attempts(found, key)
+    d = join_small(found, attempts, ["kind", "unit"], "left").select("doc_id", "start_pos", "end_pos", "kind", "value", F.coalesce("attempt", F.lit(0)).alias("attempt"))
+    return d.mapInArrow(_replaced(key, 3), "doc_id bigint, start_pos int, end_pos int, kind string, value string, attempt int, surrogate string").select("doc_id", "kind", "start_pos", "end_pos", "value", "surrogate")
+
+
+def rewrite(documents: DataFrame, names: DataFrame, members: DataFrame, key: str) -> DataFrame:
+    """doc_id, n_found, redacted (typed placeholders), surrogated (checked surrogates) of every text that isn't null.
+
+    The re-keyed units go along to the texts; there are few, as surrogates seldom meet anything. Should they be too many for that, the key
+    is refused, and one with a longer format or another key must be chosen.
+    """
+    detector = detector_of(names, members)
+    texts = _texts(documents)
+    attempts = cut(checked_attempts(cut(texts.mapInArrow(_found(detector), FOUND)), key))
+    if not is_small(attempts):
+        raise ValueError("too many surrogates meet real values under this key")
+    known = {(r.kind, r.unit): r.attempt for r in attempts.collect()}
+    return texts.mapInArrow(_rewritten(detector, key, known), "doc_id bigint, n_found int, redacted string, surrogated string")

@@ -84,27 +84,39 @@ def p7_spans(spark, d):
 KEY = "tessera"
 
 
-def _personal(spark, d, make):
-    return make(load(spark, d, "documents").select("doc_id", "text"), load(spark, d, "name_list"), load(spark, d, "members"), KEY)
+def _people(spark, d):
+    return load(spark, d, "documents").select("doc_id", "text"), load(spark, d, "name_list"), load(spark, d, "members")
+
+
+def _surrogated(spark, d) -> DataFrame:
+    return pii.with_surrogates(cut(pii.find_personal(*_people(spark, d))), KEY)
 
 
 def p8_found(spark, d):
-    return _personal(spark, d, pii.find_personal).select("doc_id", "kind", "start_pos", "end_pos")
+    """What has got its surrogate."""
+    return _surrogated(spark, d).where("surrogate <> value").select("doc_id", "kind", "start_pos", "end_pos")
 
 
 def p8_surrogates(spark, d):
-    return _personal(spark, d, pii.find_personal)
+    return _surrogated(spark, d)
 
 
 def p8_redacted(spark, d):
-    return _personal(spark, d, pii.rewrite)
+    return pii.rewrite(*_people(spark, d), KEY)
 
 
 def p8_clashes(spark, d):
-    return pii.clashes(_personal(spark, d, pii.find_personal))
+    return pii.clashes(cut(_surrogated(spark, d)))
+
+
+def p8_ids_and_mail(spark, d):
+    """Identity numbers and addresses with an @ per document, as their placeholders tell."""
+    r = p8_redacted(spark, d)
+    n = lambda kind: F.regexp_count("redacted", F.lit(rf"\[{kind}\]")).cast("bigint")
+    return r.select("doc_id", n("ID_NUMBER").alias("ids"), n("EMAIL").alias("mail"))
 
 
-QUERIES = {f.__name__: f for f in (p3_percentiles, p3_within_bound, p5_found, p5_counts, p6_found, p6_contents, p6_fill, p6_checks, p6_tokens, p7_found, p7_spans, p8_found, p8_surrogates, p8_redacted, p8_clashes)}
+QUERIES = {f.__name__: f for f in (p3_percentiles, p3_within_bound, p5_found, p5_counts, p6_found, p6_contents, p6_fill, p6_checks, p6_tokens, p7_found, p7_spans, p8_found, p8_surrogates, p8_redacted, p8_clashes, p8_ids_and_mail)}
 
 _PICTURES = r"""
 p as (select error_id, regexp_replace(replace(path, '\', '/'), '(/+([.]/+)*)', '/', 'g') path from image_errors),
@@ -128,6 +140,9 @@ ORACLE = {
     "p6_found": "select spec_id, doc_id from documents, pack_specs where strlen(text) + 1 > capacity",
     "p6_checks": "select spec_id, cast(sum(ceil((strlen(text) + 1) / capacity)) as bigint) pieces, cast(sum(strlen(text) + 1) as bigint) tokens, 0::bigint overfull, 0::bigint short from documents, pack_specs where text is not null group by 1",
     "p6_tokens": "select spec_id, doc_id, strlen(text) + 1 tokens, cast(ceil((strlen(text) + 1) / capacity) as bigint) pieces from documents, pack_specs where text is not null",
+    "p8_clashes": "select '' as kind, '' as value where false",
+    "p8_ids_and_mail": r"""select doc_id, len(regexp_extract_all(text, '(?:^[ ./-]?|[^\p{L}\p{N}_+ ./-]|[^\p{N}][ ./-])[0-9](?:[ ./-]?[0-9]){8}(?:[./-]?[A-Za-z]| [A-Z])(?:$|[^\p{L}\p{N}_])')) ids,
+      len(regexp_extract_all(text, '[A-Za-z0-9][A-Za-z0-9._%+-]*(?:@| ?[(\[{] ?(?:at|AT|arobase) ?[)\]}] ?| (?:at|AT|arobase) )[A-Za-z0-9][A-Za-z0-9-]*(?:(?:\.| ?[(\[{] ?(?:dot|DOT|point) ?[)\]}] ?| (?:dot|DOT|point) )[A-Za-z0-9][A-Za-z0-9-]*)+')) mail from documents where text is not null""",
     "p7_found": rf"with recursive {_WINDOWS} select distinct doc_id, item_id from ds join it using (s)",
     "p7_spans": rf"""with recursive {_WINDOWS}, m as (select distinct doc_id, item_id, ds.i, ds.i - it.i shift from ds join it using (s)), r as (select *, i - row_number() over (partition by doc_id, item_id, shift order by i) run from m)
       select doc_id, item_id, cast(min(i) - 1 as int) word_start, cast(count(*) + 14 as int) n_words from r group by doc_id, item_id, shift, run""",
