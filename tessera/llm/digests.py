@@ -87,7 +87,7 @@ def _partials(keys: list[str], size: int, buffer: int):
 
 
 def _merged(keys: list[str], size: int, buffer: int):
-    """Folds a partition's digests: whenever so many centroids are held, they merge."""
+    """Folds a partition's digests, sorted by key: whenever so many centroids are held, they merge, and groups that are complete leave."""
 
     def fold(t: pa.Table) -> pa.Table:
         code = _codes(t, keys)
@@ -116,8 +116,9 @@ def _buffered(make, buffer: int, fold):
             rows += weight(b)
             if rows >= buffer:
                 t = make(pa.Table.from_batches(held))
-                if fold:
-                    held, rows = t.to_batches(), 0
+                if fold:  # sorted by key: all groups but the last are complete
+                    yield from t.slice(0, t.num_rows - 1).to_batches(max_chunksize=1000)
+                    held, rows = t.slice(t.num_rows - 1).to_batches(), 0
                 else:
                     yield from t.to_batches(max_chunksize=1000)
                     held, rows = [], 0
@@ -135,7 +136,7 @@ def _key_schema(df: DataFrame, keys: list[str]) -> str:
 def merge_digests(digests: DataFrame, keys: list[str], size: int = SIZE, buffer: int = BUFFER) -> DataFrame:
     """Digests per keys out of finer ones: of partitions, days, or former results."""
     cols = [c.split()[0] for c in _DIGEST.split(", ")]
-    return digests.select(*keys, *cols).repartition(*keys).mapInArrow(_merged(keys, size, buffer), f"{_key_schema(digests, keys)}, {_DIGEST}")
+    return digests.select(*keys, *cols).repartition(*keys).sortWithinPartitions(*keys).mapInArrow(_merged(keys, size, buffer), f"{_key_schema(digests, keys)}, {_DIGEST}")
 
 
 def build_digests(rows: DataFrame, keys: list[str], value: str, size: int = SIZE, buffer: int = BUFFER) -> DataFrame:
@@ -175,7 +176,21 @@ def certified(rows: DataFrame, keys: list[str], value: str, estimated: DataFrame
 
 
 def certified_percentiles(rows: DataFrame, keys: list[str], value: str, quantiles: list[float], by: list[str], size: int = SIZE, bound: float = 0.01) -> tuple[DataFrame, DataFrame]:
-    """(digests per keys and `by`, percentiles per keys). The second merges the first, which may be kept and merged with those of other days."""
+    """(digests per keys and `by`, percentiles per keys). The second merges the first, which may be kept and merged with those of other days.
+
+    Groups of which an estimate misses the bound are built again at four times the size, until the counting pass certifies all; the digests
+    given are those of the first size.
+    """
     fine = cut(build_digests(rows, [*keys, *by], value, size))
     whole = cut(estimates(merge_digests(fine, keys, size), keys, quantiles))
-    return fine, certified(rows, keys, value, whole, bound)
+    out = None
+    while True:
+        got = cut(certified(rows, keys, value, whole, bound))
+        missed = got.where("not within_bound").select(*keys).distinct()
+        kept = got.join(missed, keys, "left_anti").select(got.columns)
+        out = kept if out is None else out.unionByName(kept)
+        if missed.isEmpty():
+            return fine, out
+        size *= 4
+        rows = join_small(rows, missed, keys, "left_semi")
+        whole = cut(estimates(build_digests(rows, keys, value, size), keys, quantiles))

@@ -33,6 +33,16 @@ def test_percentiles(spark):
     assert digests.certified_percentiles(d.limit(0), ["k"], "v", qs, ["day"])[1].count() == 0
 
 
+def test_bound_is_kept(spark):
+    """Groups that miss the bound are built again, larger, until none does; many groups pass through a small buffer."""
+    rng = random.Random(5)
+    d = spark.createDataFrame([(i % 40, 0, rng.gauss(0, 1)) for i in range(8000)], "k int, day int, v double").repartition(4)
+    got = digests.certified_percentiles(d, ["k"], "v", [0.05, 0.5, 0.77], ["day"], size=4, bound=0.004)[1].collect()
+    assert len(got) == 120 and all(r.within_bound and r.rank_error <= 0.004 for r in got)
+    small = digests.merge_digests(digests.build_digests(d, ["k", "day"], "v", 50), ["k"], 50, buffer=60)
+    assert sorted((r.k, r.n) for r in small.collect()) == [(k, 200) for k in range(40)]
+
+
 def test_large_values(spark):
     d = spark.createDataFrame([("a", 1, x) for x in (1e308, 1.5e308, 1.7e308, -1.7e308) * 200], "k string, day int, v double")
     assert all(np.isfinite(r.estimate) for r in digests.certified_percentiles(d, ["k"], "v", [0.1, 0.5, 0.9], ["day"])[1].collect())
