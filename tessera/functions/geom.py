@@ -163,6 +163,27 @@ def display_size(width: Column, height: Column, max_w: int, max_h: int) -> Colum
     return F.struct((width * scale).cast("int").alias("w"), (height * scale).cast("int").alias("h"))
 
 
+def size_of(values: list[int]) -> tuple[int, int]:
+    """Width and height from one number, for a square, or two."""
+    if len(values) not in (1, 2):
+        raise ValueError("a size is one number or two")
+    return (values[0], values[0]) if len(values) == 1 else (values[0], values[1])
+
+
+def too_small(w: Column, h: Column, width: Column, height: Column, min_width: float = 0, min_height: float = 0, min_area: float = 0, min_share: float = 0, max_aspect: float = 0) -> Column:
+    """Whether a box of w x h shares of an image falls below a limit in unrounded pixels, or is longer than max_aspect times its width; 0 disables a limit. Boxes without extent always do."""
+    pw, ph = w * width, h * height
+    drop = (pw <= 0) | (ph <= 0)
+    for value, least in ((pw, min_width), (ph, min_height), (pw * ph, min_area)):
+        if least > 0:
+            drop |= value < least
+    if min_share > 0:
+        drop |= F.coalesce(F.try_divide(pw * ph, width.cast("double") * height) < min_share, F.lit(False))
+    if max_aspect > 0:
+        drop |= F.coalesce(F.greatest(F.try_divide(pw, ph), F.try_divide(ph, pw)) > max_aspect, F.lit(False))
+    return drop
+
+
 def top_left(xc: Column, yc: Column, w: Column, h: Column) -> Column:
     return F.array(xc - w / 2, yc - h / 2, w, h)
 

@@ -69,3 +69,13 @@ def polygon_box(coords: Column) -> Column:
     xs, ys = F.filter(coords, lambda _, i: i % 2 == 0), F.filter(coords, lambda _, i: i % 2 == 1)
     x1, x2, y1, y2 = F.array_min(xs), F.array_max(xs), F.array_min(ys), F.array_max(ys)
     return F.when(n == 4, first).when((n > 4) & (n % 2 == 0), box((x1 + x2) / 2, (y1 + y2) / 2, x2 - x1, y2 - y1)).when((n > 4) & ((n - 4) % 3 == 0), first)
+
+
+def polygon_line(tok: Column) -> Column:
+    """struct(class_id, coords) of a polygon or key point line; null unless there are five tokens, an integer and numbers."""
+
+    def read(t: Column) -> Column:
+        coords = F.transform(F.slice(t, F.lit(2), F.size(t)), as_float)
+        return F.when(F.size(t) >= 5, F.struct(as_int(F.get(t, F.lit(0))).alias("class_id"), coords.alias("coords")))
+
+    return let(let(tok, read), lambda v: F.when(v["class_id"].isNotNull() & F.forall(v["coords"], lambda x: x.isNotNull()), v))

@@ -72,18 +72,35 @@ def mismatch_label(gt: Column, pred: Column, score: Column) -> Column:
     return F.concat_ws("|", F.coalesce(short(gt), none), F.coalesce(short(pred), none), F.coalesce(fixed(score, 3), none))
 
 
-def event_detail(kind: Column, gt: Column, pred: Column, iou: Column, low: Column) -> Column:
-    """One line per error; null for a match that is no error."""
+def _shown(value: Column) -> Column:
+    """Three decimals; nan for what is missing or no number."""
+    return F.when(value.isNull() | F.isnan(value), "nan").otherwise(fixed(value, 3))
+
+
+def event_detail(kind: Column, gt: Column, pred: Column, conf: Column, iou: Column, low: Column) -> Column:
+    """One line per error, in fixed words; null for a match that is no error."""
     return (
-        F.when(kind == "missed", F.concat(F.lit("MISSED: "), gt)).when(kind == "false_pos", F.concat(F.lit("FALSE_POS: "), pred))
-        .when(kind == "misclass", F.concat(F.lit("MISCLASS: "), gt, F.lit(" -> "), pred, F.lit(" (IoU="), fixed(iou, 3), F.lit(")")))
-        .when(low, F.concat(F.lit("LOW_IOU: "), gt, F.lit(" (IoU="), fixed(iou, 3), F.lit(")")))
+        F.when(kind == "missed", F.concat(F.lit("MISSED: GT="), gt)).when(kind == "false_pos", F.concat(F.lit("FALSE_POS: Pred="), pred, F.lit(" conf="), _shown(conf)))
+        .when(kind == "misclass", F.concat(F.lit("MISCLASS: GT="), gt, F.lit(" Pred="), pred, F.lit(" conf="), _shown(conf), F.lit(" IoU="), fixed(iou, 3)))
+        .when(low, F.concat(F.lit("LOW_IOU: GT="), gt, F.lit(" IoU="), fixed(iou, 3), F.lit(" conf="), _shown(conf)))
     )
 
 
 def summary(mean: Column, least: Column, greatest: Column) -> Column:
-    """mean/min/max with four decimals, --- without values."""
-    return F.when(mean.isNull(), "---").otherwise(F.concat_ws("/", fixed(mean, 4), fixed(least, 4), fixed(greatest, 4)))
+    """mean, min and max with four decimals, --- without values."""
+    return F.when(mean.isNull(), "---").otherwise(F.concat(F.lit("mean="), fixed(mean, 4), F.lit(" min="), fixed(least, 4), F.lit(" max="), fixed(greatest, 4)))
+
+
+def crop_name(stem: Column, number: Column) -> Column:
+    return F.concat_ws("_", stem, number.cast("string"))
+
+
+def reference_crop_name(stem: Column, reference: Column, crop: Column) -> Column:
+    return F.concat(stem, F.lit("_ref"), reference.cast("string"), F.lit("_crop"), crop.cast("string"))
+
+
+def augmented_name(stem: Column, number: Column) -> Column:
+    return F.concat(stem, F.lit("_aug_"), number.cast("string"))
 
 
 def universal_newlines(text: Column) -> Column:
@@ -113,3 +130,8 @@ def label_line(class_id: Column, xc: Column, yc: Column, w: Column, h: Column, e
     """A label file's line with six decimals."""
     parts = [class_id.cast("string"), *(fixed(c, 6) for c in (xc, yc, w, h))]
     return F.concat_ws(" ", *parts, *([extras] if extras is not None else []))
+
+
+def polygon_line(class_id: Column, box: Column) -> Column:
+    """A converted polygon's line; null without a box."""
+    return F.when(class_id.isNotNull() & box.isNotNull(), label_line(class_id, box["xc"], box["yc"], box["w"], box["h"]))

@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tessera.functions import geom, text
+from tessera.util import join_small
 
 #: How far above the matching threshold an IoU still counts as low.
 LOW_MARGIN = 0.15
@@ -82,7 +83,7 @@ def class_summary(events: DataFrame) -> DataFrame:
 
 
 def image_errors(events: DataFrame, least: float) -> DataFrame:
-    """Per image: missed, false_pos, misclassified, low_iou, total_gt, total_pred, error_score. Low IoU counts on every match, of either class."""
+    """Per image: missed, false_pos, misclassified, low_iou, total_gt, total_pred, error_score. Low IoU counts on matches of the right class."""
     k, low = F.col("kind"), F.col("iou") < least + LOW_MARGIN
     counts = events.groupBy("image_key").agg(
         F.count_if(k == "missed").alias("missed"), F.count_if(k == "false_pos").alias("false_pos"), F.count_if(k == "misclass").alias("misclassified"), F.count_if((k == "correct") & low).alias("low_iou"),
@@ -108,10 +109,40 @@ def mismatch_stats(boxes: DataFrame) -> DataFrame:
     return boxes.agg(*cols)
 
 
-def report_lines(stats: DataFrame) -> DataFrame:
-    """The text report of mismatch_stats(), line by line."""
-    lines = [F.concat(F.lit("boxes in mismatches: "), F.col("n").cast("string")), *(F.concat(F.lit(f"{c} mean/min/max: "), text.summary(F.col(f"{c}_mean"), F.col(f"{c}_min"), F.col(f"{c}_max"))) for c in ("w", "h", "xc", "yc"))]
-    return stats.select(F.posexplode(F.array(*lines)).alias("line_no", "line"))
+def report_lines(events: DataFrame, stats: DataFrame) -> DataFrame:
+    """line_no and line of the text report: failed boxes, missed, false positives, class mismatches, and mismatch_stats() in four lines, in fixed words."""
+    kind = lambda k: F.count_if(F.col("kind") == k)
+    n = events.agg(kind("missed").alias("missed"), kind("false_pos").alias("false_pos"), kind("misclass").alias("misclass"))
+    say = lambda what, c: F.concat(F.lit(f"{what}: "), c if not isinstance(c, str) else F.col(c).cast("string"))
+    about = lambda c: text.summary(F.col(f"{c}_mean"), F.col(f"{c}_min"), F.col(f"{c}_max"))
+    lines = [say("Failed boxes", "n"), say("Missed GT", "missed"), say("False positives", "false_pos"), say("Class mismatches", "misclass")]
+    lines += [say("Size (w)", about("w")), say("Size (h)", about("h")), say("Location (xc)", about("xc")), say("Location (yc)", about("yc"))]
+    return stats.join(F.broadcast(n)).select(F.posexplode(F.array(*lines)).alias("line_no", "line"))
+
+
+def detail_rows(events: DataFrame, classes: DataFrame, least: float) -> DataFrame:
+    """image_key, gt_idx, pred_idx, detail: a line per error of the events, which have conf, the prediction's score."""
+    name = lambda side: classes.select(F.col("class_id").alias(f"{side}_class"), F.col("class_name").alias(f"__{side}"))
+    e = join_small(join_small(events, name("gt"), ["gt_class"], "left"), name("pred"), ["pred_class"], "left")
+    label = lambda side: text.class_label(F.col(f"__{side}"), F.col(f"{side}_class"))
+    low = (F.col("kind") == "correct") & (F.col("iou") < least + LOW_MARGIN)
+    return e.select("image_key", "gt_idx", "pred_idx", text.event_detail(F.col("kind"), label("gt"), label("pred"), F.col("conf"), F.col("iou"), low).alias("detail")).where("detail is not null")
+
+
+def error_report(ranked: DataFrame, details: DataFrame, images: DataFrame) -> DataFrame:
+    """The ranking's ten columns, `image` by name and the details joined in file order, ground truth first. images: image_key, image. One text holds an image's details: it is the report's cell."""
+    place = F.struct(F.col("gt_idx").isNull(), F.coalesce("gt_idx", "pred_idx").alias("at"), "detail")
+    one = details.groupBy("image_key").agg(F.array_join(F.transform(F.array_sort(F.collect_list(place)), lambda x: x["detail"]), "; ").alias("details"))
+    d = ranked.join(one, "image_key", "left").join(images, "image_key", "left")
+    return d.select("rank", "image", "error_score", "missed", "false_pos", "misclassified", "low_iou", "total_gt", "total_pred", F.coalesce("details", F.lit("")).alias("details"))
+
+
+def class_report(summary: DataFrame, classes: DataFrame) -> DataFrame:
+    """The nine columns of the class summary, ratios with four decimals; classes without a name go by their id."""
+    d = join_small(summary, classes.select("class_id", "class_name"), ["class_id"], "left")
+    return d.select(
+        "class_id", text.class_label(F.col("class_name"), F.col("class_id")).alias("class_name"), "total_gt", "correct", "missed", "misclassified", "false_pos", text.fixed(F.col("recall"), 4).alias("recall"), text.fixed(F.col("claims_ratio"), 4).alias("precision")
+    )
 
 
 def fill_ratio(boxes: DataFrame, by: list[str]) -> DataFrame:

@@ -70,15 +70,33 @@ def negative_quota(events: DataFrame, keys: list[str], idx: str, ratio: float, c
     return d.withColumn("quota", F.floor(upto * ratio).cast("int")).select(*events.columns, "quota")
 
 
-def negatives_taken(outcomes: DataFrame, key: str, order: str, ratio: float) -> DataFrame:
-    """key, taken: negatives made when each positive is followed by a try, if the quota allows, that may fail (`ok` false). Failures carry over.
+def negatives_taken(outcomes: DataFrame, keys: list[str], idx: str, ratio: float, chunk: int = 65536) -> DataFrame:
+    """outcomes (with `ok`, boolean) with taken and negatives: each positive is followed by a try, if the negatives so far are below
+    floor(positives so far * ratio), that makes one negative if ok. What a failed try leaves is made up for later.
 
-    An ordered fold whose state carries over every step, so the group, the crops of one image, is folded by one task.
+    idx numbers the rows of keys (none: all rows) from 0. With q the quota at each row, a step takes x to min(x + 1, q), so after T rows x is
+    ok(1..T) + min(0, least of q(t) - ok(1..t) over ok rows t): running counts and minima within chunks and over the chunks' totals. No
+    key's rows meet in one task.
     """
-    seq = F.array_sort(F.collect_list(F.struct(F.col(order).alias("o"), F.col("ok").alias("ok"))))
-    start = F.struct(F.lit(0).alias("pos"), F.lit(0).alias("neg"))
-    step = lambda s, x: F.struct((s["pos"] + 1).alias("pos"), (s["neg"] + F.when(x["ok"] & (s["neg"] < F.floor((s["pos"] + 1) * ratio)), 1).otherwise(0)).alias("neg"))
-    return outcomes.groupBy(key).agg(F.aggregate(seq, start, step).alias("s")).select(key, F.col("s.pos").alias("positives"), F.col("s.neg").alias("taken"))
+    if ratio < 0:
+        raise ValueError("ratio is 0 at least")
+    one = F.when(F.coalesce(F.col("ok"), F.lit(False)), 1).otherwise(0)
+    quota = F.floor((F.col(idx) + 1) * F.lit(float(ratio)))
+    here, earlier = Window.partitionBy(*keys, "__chunk").orderBy(idx), Window.partitionBy(*keys).orderBy("__chunk").rowsBetween(Window.unboundedPreceding, -1)
+    d = outcomes.withColumn("__chunk", F.floor(F.col(idx) / chunk)).withColumn("__ok", one)
+    d = d.withColumn("__n", F.sum("__ok").over(here.rowsBetween(Window.unboundedPreceding, 0))).withColumn("__v", F.when(F.col("__ok") == 1, quota - F.col("__n")))
+    totals = d.groupBy(*keys, "__chunk").agg(F.sum("__ok").alias("__sum"), F.min("__v").alias("__low"))
+    totals = totals.withColumn("__before", F.coalesce(F.sum("__sum").over(earlier), F.lit(0)))
+    totals = totals.withColumn("__least", F.min(F.col("__low") - F.col("__before")).over(earlier)).drop("__sum", "__low")
+    d = d.join(totals, [*keys, "__chunk"])
+    made = lambda n, upto: F.col("__before") + n + F.least(F.lit(0), F.coalesce(F.min("__v").over(here.rowsBetween(Window.unboundedPreceding, upto)) - F.col("__before"), F.lit(0)), F.coalesce("__least", F.lit(0)))
+    d = d.withColumn("negatives", made(F.col("__n"), 0)).withColumn("taken", F.col("negatives") > made(F.col("__n") - F.col("__ok"), -1))
+    return d.select(*outcomes.columns, "taken", F.col("negatives").cast("bigint").alias("negatives"))
+
+
+def first_rows(rows: DataFrame, order: list[str], most: int) -> DataFrame:
+    """The first `most` rows of all: the cap on segments and on debug images."""
+    return rows.orderBy(*order).limit(most)
 
 
 def find_by_name(files: DataFrame, query: str, stem: str) -> DataFrame:

@@ -2,14 +2,17 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import functions as F
 
 from tessera.functions import geom, parse, text
 from tessera.operators import classes as C
-from tessera.operators import joins, metrics, rank
+from tessera.operators import crops, joins, metrics, rank
 from tessera.operators.match import absorbed, match_events
 from tessera.plans.views import BOXES, INDEXED, ORDER, SIZED, boxes, clamp_sql, corner_column, indexed, pixel_sides, pixel_sql, sized
-from tessera.util import cut, load
+from tessera.sources import datasets
+from tessera.util import cut, load, shared_dir
 
 QUERIES, ORACLE = {}, {}
 
@@ -65,15 +68,34 @@ def invalid_line_counts(spark, d):
     return _tokens(spark, d).groupBy(status.alias("status")).agg(F.count("*").alias("n"))
 
 
-_POLY = "pg as (select vec_id, list_transform(embedding[1 : case vec_id % 4 when 0 then 4 when 1 then 16 when 2 then 7 else 5 end], lambda x: cast(x as double)) c from embeddings)"
+@query(f"with {_PARSED} select line_id, raw from ps where len(t) > 0 and not (len(t) >= 5 and class_id is not null and xc is not null and yc is not null and w is not null and h is not null)")
+def kept_raw_lines(spark, d):
+    """Lines that hold no box and aren't blank, as they are."""
+    return _tokens(spark, d).where("b is null and size(t) > 0").select("line_id", "raw")
+
+
+_XS, _YS = (f"list_filter(c, lambda x, i: i % 2 = {k})" for k in (1, 0))
+
+
+@query(rf"""with {_TOK}, n as (select line_id, {_I} class_id, list_transform(t[2:], lambda v: case when regexp_full_match(v, '(?i)[+-]?(inf(inity)?|nan|([0-9]+[.]?[0-9]*|[.][0-9]+)(e[+-]?[0-9]+)?)') then try_cast(v as double) end) c from tk where len(t) >= 5),
+  f as (select *, len(c) k from n where class_id is not null and len(list_filter(c, lambda v: v is null or not isfinite(v))) = 0), b as (select line_id, class_id, case when k > 4 and k % 2 = 0 then [(list_min({_XS}) + list_max({_XS})) / 2, (list_min({_YS}) + list_max({_YS})) / 2, list_max({_XS}) - list_min({_XS}), list_max({_YS}) - list_min({_YS})] when k = 4 or k > 4 and (k - 4) % 3 = 0 then c[1:4] end b from f)
+  select line_id, printf('%d %.6f %.6f %.6f %.6f', class_id, b[1], b[2], b[3], b[4]) line from b where b is not null""")
+def polygon_lines(spark, d):
+    """Lines of finite numbers as box lines: four numbers, a polygon or key points."""
+    t = load(spark, d, "label_lines").where("raw is not null").withColumn("p", parse.polygon_line(parse.tokens(F.col("raw"))))
+    t = t.where(F.col("p").isNotNull() & F.forall("p.coords", lambda v: ~F.isnan(v) & (F.abs(v) < float("inf"))))
+    return t.select("line_id", text.polygon_line(F.col("p.class_id"), parse.polygon_box(F.col("p.coords"))).alias("line")).where("line is not null")
+
+
+_POLY = "pg as (select vec_id, list_transform(embedding, lambda x: cast(x as double)) c from embeddings)"
 
 
 @query(f"""with {_POLY}, xy as (select *, len(c) n, list_filter(c, lambda x, i: i % 2 = 1) xs, list_filter(c, lambda x, i: i % 2 = 0) ys from pg)
   select vec_id, case when n > 4 and n % 2 = 0 then (list_min(xs) + list_max(xs)) / 2 else c[1] end xc, case when n > 4 and n % 2 = 0 then (list_min(ys) + list_max(ys)) / 2 else c[2] end yc,
   case when n > 4 and n % 2 = 0 then list_max(xs) - list_min(xs) else c[3] end w, case when n > 4 and n % 2 = 0 then list_max(ys) - list_min(ys) else c[4] end h from xy where n = 4 or n > 4 and (n % 2 = 0 or (n - 4) % 3 = 0)""")
 def polygon_to_box(spark, d):
-    n = F.expr("case vec_id % 4 when 0 then 4 when 1 then 16 when 2 then 7 else 5 end")
-    e = load(spark, d, "embeddings").withColumn("c", F.transform(F.slice("embedding", F.lit(1), n), lambda x: x.cast("double")))
+    """Each vector read as a polygon's coordinates, all of them."""
+    e = load(spark, d, "embeddings").withColumn("c", F.transform("embedding", lambda x: x.cast("double")))
     return e.withColumn("b", parse.polygon_box(F.col("c"))).where("b is not null").select("vec_id", "b.*")
 
 
@@ -120,11 +142,11 @@ _R = lambda e: f"cast(round_even(cast({e} as double), 0) as bigint)"  # noqa: E7
 
 @query(f"""with {BOXES}, {SIZED}, a as (select *, {_R('w * width')} pw, {_R('h * height')} ph, greatest(0, {_R('(xc - w / 2) * width')}) x0, greatest(0, {_R('(yc - h / 2) * height')}) y0 from sz),
   b as (select *, least(pw, width - x0) cw, least(ph, height - y0) ch from a), c as (select *, greatest(x0 - 2, 0) sx, greatest(y0 - 2, 0) sy from b where cw > 1 and ch > 1)
-  select {_K}, cast(x0 as int) x0, cast(y0 as int) y0, cast(cw as int) cw, cast(ch as int) ch, cast(sx as int) sx, cast(sy as int) sy, cast(least(greatest(cw, ch) + 4, width - sx, height - sy) as int) size from c""")
+  select {_K}, cast(x0 as int) x0, cast(y0 as int) y0, cast(cw as int) cw, cast(ch as int) ch, cast(sx as int) sx, cast(sy as int) sy, cast(least(least(cw, ch) + 4, width - sx, height - sy) as int) size from c""")
 def class_crop_geometry(spark, d):
     width, height = F.col("width"), F.col("height")
     c = _sized(spark, d).withColumn("k", geom.crop_box(F.col("xc"), F.col("yc"), F.col("w"), F.col("h"), width, height)).where("k is not null")
-    s = F.struct(F.col("k.x0").alias("x0"), F.col("k.y0").alias("y0"), F.greatest("k.w", "k.h").alias("size"))
+    s = F.struct(F.col("k.x0").alias("x0"), F.col("k.y0").alias("y0"), F.least("k.w", "k.h").alias("size"))
     c = c.withColumn("s", geom.padded_square(s, 2, width, height))
     return c.select(*_KEY, "k.x0", "k.y0", F.col("k.w").alias("cw"), F.col("k.h").alias("ch"), F.col("s.x0").alias("sx"), F.col("s.y0").alias("sy"), "s.size")
 
@@ -140,14 +162,13 @@ def letterbox_remap(spark, d):
     return b.select(*_KEY, "lb.pad_x", "lb.pad_y", F.col("n.xc").alias("nx"), F.col("n.yc").alias("ny"), F.col("n.w").alias("nw"), F.col("n.h").alias("nh"))
 
 
-_SMALL = "w <= 0 or h <= 0 or w * width < 4 or h * height < 4 or w * h < 0.0001 or greatest(w * width / nullif(h * height, 0), h * height / nullif(w * width, 0)) > 20"
+_SMALL = "w <= 0 or h <= 0 or w * width < 4 or h * height < 4 or (w * width) * (h * height) / (width::double * height) < 0.0001 or greatest(w * width / nullif(h * height, 0), h * height / nullif(w * width, 0)) > 20"
 
 
 @query(f"with {BOXES}, {SIZED} select image_key, count(*) filter (where {_SMALL}) dropped, count(*) filter (where not ({_SMALL})) kept from sz group by 1 having count(*) filter (where {_SMALL}) > 0")
 def small_thin_filter(spark, d):
     """Images that lose boxes; untouched ones aren't listed."""
-    pw, ph = F.col("w") * F.col("width"), F.col("h") * F.col("height")
-    drop = (F.col("w") <= 0) | (F.col("h") <= 0) | (pw < 4) | (ph < 4) | (F.col("w") * F.col("h") < 0.0001) | F.coalesce(F.greatest(F.try_divide(pw, ph), F.try_divide(ph, pw)) > 20, F.lit(False))
+    drop = geom.too_small(F.col("w"), F.col("h"), F.col("width"), F.col("height"), min_width=4, min_height=4, min_share=0.0001, max_aspect=20)
     return _sized(spark, d).groupBy("image_key").agg(F.count_if(drop).alias("dropped"), F.count_if(~drop).alias("kept")).where("dropped > 0")
 
 
@@ -233,6 +254,20 @@ def label_lines_out(spark, d):
     return boxes(spark, d).select(*_KEY, text.label_line(F.col("class_id"), F.col("xc"), F.col("yc"), F.col("w"), F.col("h")).alias("line"))
 
 
+@query(r"""with b as (select file_id, string_agg(coalesce(raw, '') || chr(10), '' order by line_idx) body from label_lines group by 1)
+  select file_id, cast(coalesce(strlen(body), 0) as bigint) n_bytes, cast(case when coalesce(body, '') = '' then 0 else len(string_split(regexp_replace(regexp_replace(body, '\r\n?', chr(10), 'g'), '\n$', ''), chr(10))) end as bigint) n_lines from label_files left join b using (file_id)""")
+def label_files_round_trip(spark, d):
+    """Every label file written as a file of its own, found again by walking the folders, and read."""
+    root = f"{shared_dir(spark)}/labels-{uuid.uuid4().hex}"
+    path = lambda c: F.concat(F.lit("train/labels/"), F.col(c).cast("string"), F.lit(".txt"))
+    lines = load(spark, d, "label_lines").select(path("file_id").alias("path"), "line_idx", F.coalesce("raw", F.lit("")).alias("line"))
+    datasets.write_files(datasets.label_contents(lines, load(spark, d, "label_files").select(path("file_id").alias("path"))), root)
+    f = datasets.label_files(spark, root)
+    n = datasets.label_lines(f).groupBy("path").agg(F.count("*").alias("n_lines"))
+    j = f.select("path", F.octet_length("content").cast("bigint").alias("n_bytes")).join(n, "path", "left")
+    return j.select(F.regexp_extract("path", r"(\d+)\.txt$", 1).cast("bigint").alias("file_id"), "n_bytes", F.coalesce("n_lines", F.lit(0)).alias("n_lines"))
+
+
 # --- joins with a condition on boxes ---------------------------------------------------------------
 #: Predictions within ground truth of class 0 of the same image.
 _REF = f"""{BOXES}, {INDEXED}, cr as (select *, xc - w / 2 x1, yc - h / 2 y1, xc + w / 2 x2, yc + h / 2 y2 from ix),
@@ -264,12 +299,31 @@ def ref_box_filter(spark, d):
     return kept.select("image_key", "idx", "class_id", geom.centre(F.col("box")).alias("n")).select("image_key", "idx", "class_id", "n.*")
 
 
-@query(f"""with {_REF}, c as (select *, greatest(x1, rx1) a1, greatest(y1, ry1) b1, least(x2, rx2) a2, least(y2, ry2) b2, rx2 - rx1 rw, ry2 - ry1 rh from hit),
-  n as (select image_key, ref_idx, idx, class_id, ((a1 + a2) / 2 - rx1) / rw xc, ((b1 + b2) / 2 - ry1) / rh yc, (a2 - a1) / rw w, (b2 - b1) / rh h from c where a2 > a1 and b2 > b1 and rw > 0 and rh > 0)
-  select r.image_key, r.idx ref_idx, n.idx, n.class_id, n.xc, n.yc, n.w, n.h from r left join n on r.image_key = n.image_key and r.idx = n.ref_idx""")
+@query(f"""with {BOXES}, {INDEXED}, sz as (select b.*, i.width, i.height from ix b join images i using (image_key) where i.width > 0 and i.height > 0), px as (select *, {pixel_sql()} from sz where origin = 'gt' and class_id = 0),
+  r as (select image_key, idx ref_idx, cast(row_number() over (partition by image_key order by idx) - 1 as int) crop, p1 / width::double x1, p2 / height::double y1, p3 / width::double x2, p4 / height::double y2 from px where p3 > p1 and p4 > p2),
+  t as (select *, greatest(x2 - x1, 0) * greatest(y2 - y1, 0) area from (select *, xc - w / 2 x1, yc - h / 2 y1, xc + w / 2 x2, yc + h / 2 y2 from ix where origin = 'pred')),
+  c as (select r.image_key, r.ref_idx, t.idx, t.class_id, t.conf, greatest(t.x1, r.x1) a1, greatest(t.y1, r.y1) b1, least(t.x2, r.x2) a2, least(t.y2, r.y2) b2, r.x1 rx1, r.y1 ry1, r.x2 - r.x1 rw, r.y2 - r.y1 rh from r join t on t.image_key = r.image_key and t.area > 0 and greatest(least(t.x2, r.x2) - greatest(t.x1, r.x1), 0) * greatest(least(t.y2, r.y2) - greatest(t.y1, r.y1), 0) >= 0.9 * t.area),
+  n as (select image_key, ref_idx, idx, class_id, conf, ((a1 + a2) / 2 - rx1) / rw xc, ((b1 + b2) / 2 - ry1) / rh yc, (a2 - a1) / rw w, (b2 - b1) / rh h from c where a2 > a1 and b2 > b1)
+  select i.raw_stem || '_ref' || r.ref_idx || '_crop' || r.crop as name, r.image_key, r.ref_idx, n.idx, n.class_id, n.xc, n.yc, n.w, n.h, n.conf from r left join n on r.image_key = n.image_key and r.ref_idx = n.ref_idx left join images i on i.image_key = r.image_key""")
 def ref_crops(spark, d):
-    t, r = _refs(spark, d)
-    return joins.reference_crops(r, t, 0.9)
+    b = sized(spark, d, indexed(spark, d)).withColumn("box", corner_column())
+    r = b.where("origin = 'gt' and class_id = 0").withColumnRenamed("idx", "ref_idx")
+    t = indexed(spark, d).where("origin = 'pred'").withColumn("box", corner_column()).withColumn("conf", F.nanvl("conf", F.lit(None).cast("double")))
+    c = joins.reference_crops(r.select("image_key", "ref_idx", "box", "width", "height"), t, 0.9, ("conf",))
+    im = load(spark, d, "images").select("image_key", "raw_stem")
+    return c.join(im, "image_key", "left").select(text.reference_crop_name(F.col("raw_stem"), F.col("ref_idx"), F.col("crop")).alias("name"), "image_key", "ref_idx", "idx", "class_id", "xc", "yc", "w", "h", "conf")
+
+
+@query(f"""with s as (select file_id, {_LSTEM} raw_stem from label_files), r as (select {_STEM} stem, min(image_key) reference_id from images group by 1),
+  b as (select image_key, count(*) filter (class_id = 0) refs, count(*) filter (class_id in (3, 7)) kept from boxes where origin = 'gt' group by 1)
+  select case when reference_id is null then 'no reference file' when coalesce(refs, 0) = 0 then 'no reference boxes' when coalesce(kept, 0) = 0 then 'emptied' else 'kept' end status, count(*) n from s left join r on {_STEM} = r.stem left join b on b.image_key = r.reference_id group by 1""")
+def merge_status_counts(spark, d):
+    """What becomes of each label file beside the image that its canonical stem names; many files may share one."""
+    targets = load(spark, d, "label_files").select("file_id", text.file_stem(F.col("label_path")).alias("stem"))
+    refs = load(spark, d, "images").select(text.canonical_stem(F.col("raw_stem")).alias("stem"), F.col("image_key").alias("reference_id"))
+    b = load(spark, d, "boxes").where("origin = 'gt'").groupBy(F.col("image_key").alias("reference_id")).agg(F.count_if(F.col("class_id") == 0).alias("n_refs"), F.count_if(F.col("class_id").isin(3, 7)).alias("n_kept"))
+    t = joins.with_reference(targets, refs, "stem").join(b, "reference_id", "left")
+    return t.groupBy(joins.merge_status(t, "reference_id", "n_refs", "n_kept").alias("status")).agg(F.count("*").alias("n"))
 
 
 _PXI = f"""{BOXES}, {INDEXED}, sz as (select b.*, i.width, i.height from ix b join images i using (image_key) where i.width > 0 and i.height > 0), pq as (select *, {pixel_sql()} from sz),
@@ -327,11 +381,11 @@ def class_summary(spark, d):
     return metrics.class_summary(_events(spark, d))
 
 
-@query(_EV + f", {_SUMMARY} select class_name, printf('%.4f', case when total_gt > 0 then correct / total_gt else 0 end) recall, total_gt from s left join classes using (class_id)")
+@query(_EV + f""", {_SUMMARY} select class_id, coalesce(class_name, cast(class_id as varchar)) class_name, total_gt, correct, missed, misclassified, false_pos, printf('%.4f', case when total_gt > 0 then correct / total_gt else 0 end) recall,
+  printf('%.4f', case when correct + false_pos + misclassified > 0 then correct / (correct + false_pos + misclassified) else 0 end) "precision" from s left join classes using (class_id)""")
 def class_summary_table(spark, d):
-    """The summary as it is written to CSV: names, ratios with four decimals."""
-    s = metrics.class_summary(_events(spark, d)).join(load(spark, d, "classes"), "class_id", "left")
-    return s.select("class_name", text.fixed(F.col("recall"), 4).alias("recall"), "total_gt")
+    """The summary as it is written to CSV."""
+    return metrics.class_report(metrics.class_summary(_events(spark, d)), load(spark, d, "classes"))
 
 
 _IMG = """im as (select image_key, count(*) filter (kind = 'missed') missed, count(*) filter (kind = 'false_pos') false_pos, count(*) filter (kind = 'misclass') misclassified, count(*) filter (kind = 'correct' and iou < 0.65) low_iou,
@@ -353,12 +407,31 @@ def eval_summary(spark, d):
     return metrics.eval_summary(metrics.image_errors(_events(spark, d), 0.5))
 
 
-@query(_EV + ", d as (select image_key, gt_idx, pred_idx, case kind when 'missed' then 'MISSED: ' || g.class_name when 'false_pos' then 'FALSE_POS: ' || p.class_name when 'misclass' then 'MISCLASS: ' || g.class_name || ' -> ' || p.class_name || printf(' (IoU=%.3f)', iou) when 'correct' then case when iou < 0.65 then 'LOW_IOU: ' || g.class_name || printf(' (IoU=%.3f)', iou) end end detail from ev left join classes g on g.class_id = gt_class left join classes p on p.class_id = pred_class) select * from d where detail is not null")
+_DETAIL = """cf as (select ev.*, case when p.conf is null or isnan(p.conf) then 'nan' else printf('%.3f', p.conf) end cf, coalesce(g.class_name, cast(gt_class as varchar)) gn, coalesce(q.class_name, cast(pred_class as varchar)) pn from ev left join p on p.image_key = ev.image_key and p.idx = ev.pred_idx left join classes g on g.class_id = gt_class left join classes q on q.class_id = pred_class),
+  d as (select image_key, gt_idx, pred_idx, case kind when 'missed' then 'MISSED: GT=' || gn when 'false_pos' then 'FALSE_POS: Pred=' || pn || ' conf=' || cf when 'misclass' then 'MISCLASS: GT=' || gn || ' Pred=' || pn || ' conf=' || cf || printf(' IoU=%.3f', iou) when 'correct' then case when iou < 0.65 then 'LOW_IOU: GT=' || gn || printf(' IoU=%.3f', iou) || ' conf=' || cf end end detail from cf)"""
+
+
+def _details(spark, d):
+    g, p = pixel_sides(spark, d)
+    e = cut(match_events(g, p, 0.5))
+    # events without a prediction keep keys of their own, so that they spread
+    key = F.coalesce("pred_idx", -1 - F.col("gt_idx"))
+    scored = e.withColumn("__key", key).join(p.select("image_key", F.col("idx").alias("__key"), "conf"), ["image_key", "__key"], "left").drop("__key")
+    return e, metrics.detail_rows(scored, load(spark, d, "classes"), 0.5)
+
+
+@query(_EV + f", {_DETAIL} select * from d where detail is not null")
 def error_details(spark, d):
-    c = load(spark, d, "classes")
-    e = _events(spark, d).join(c.select(F.col("class_id").alias("gt_class"), F.col("class_name").alias("g")), "gt_class", "left").join(c.select(F.col("class_id").alias("pred_class"), F.col("class_name").alias("p")), "pred_class", "left")
-    detail = text.event_detail(F.col("kind"), text.class_label(F.col("g"), F.col("gt_class")), text.class_label(F.col("p"), F.col("pred_class")), F.col("iou"), F.col("iou") < 0.65)
-    return e.select("image_key", "gt_idx", "pred_idx", detail.alias("detail")).where("detail is not null")
+    return _details(spark, d)[1]
+
+
+@query(_EV + f""", {_IMG}, {_DETAIL}, j as (select image_key, string_agg(detail, '; ' order by gt_idx is null, coalesce(gt_idx, pred_idx)) details from d where detail is not null group by 1)
+  select cast(row_number() over (order by error_score desc, image_key) as int) rank, raw_stem || '.' || ext image, error_score, missed, false_pos, misclassified, low_iou, total_gt, total_pred, coalesce(details, '') details from sc left join j using (image_key) left join images using (image_key)""")
+def error_report(spark, d):
+    """The ranking as it is written to CSV."""
+    e, details = _details(spark, d)
+    ranked = rank.ranked(metrics.image_errors(e, 0.5), "error_score", "image_key")
+    return metrics.error_report(ranked, details, load(spark, d, "images").select("image_key", F.concat_ws(".", "raw_stem", "ext").alias("image")))
 
 
 _MM = "mm as (select g.xc, g.yc, g.w, g.h from ev join g on g.image_key = ev.image_key and g.idx = ev.gt_idx where kind in ('misclass', 'missed') union all select p.xc, p.yc, p.w, p.h from ev join p on p.image_key = ev.image_key and p.idx = ev.pred_idx where kind in ('misclass', 'false_pos'))"
@@ -366,12 +439,26 @@ _MM = "mm as (select g.xc, g.yc, g.w, g.h from ev join g on g.image_key = ev.ima
 
 @query(_EV + f", {_MM} select count(*) n, " + ", ".join(f"round(avg({c}), 6) {c}_mean, min({c}) {c}_min, max({c}) {c}_max" for c in ("w", "h", "xc", "yc")) + " from mm")
 def mismatch_stats(spark, d):
+    return _mismatches(spark, d)[1]
+
+
+def _mismatches(spark, d):
     g, p = pixel_sides(spark, d)
-    e = match_events(g, p, 0.5).where("kind <> 'correct'")
-    cols = ["xc", "yc", "w", "h"]
-    a = e.where("gt_idx is not null").join(g.withColumnRenamed("idx", "gt_idx"), ["image_key", "gt_idx"]).select(*cols)
-    b = e.where("pred_idx is not null").join(p.withColumnRenamed("idx", "pred_idx"), ["image_key", "pred_idx"]).select(*cols)
-    return metrics.mismatch_stats(a.unionByName(b))
+    e = cut(match_events(g, p, 0.5))
+    wrong, cols = e.where("kind <> 'correct'"), ["xc", "yc", "w", "h"]
+    a = wrong.where("gt_idx is not null").join(g.withColumnRenamed("idx", "gt_idx"), ["image_key", "gt_idx"]).select(*cols)
+    b = wrong.where("pred_idx is not null").join(p.withColumnRenamed("idx", "pred_idx"), ["image_key", "pred_idx"]).select(*cols)
+    return e, metrics.mismatch_stats(a.unionByName(b))
+
+
+def _summed(c):
+    return f"printf('mean=%.4f min=%.4f max=%.4f', round(avg({c}), 6), min({c}), max({c}))"
+
+
+@query(_EV + f", {_MM}, n as (select count(*) filter (kind = 'missed') a, count(*) filter (kind = 'false_pos') b, count(*) filter (kind = 'misclass') c from ev), m as (select count(*) k, {_summed('w')} w, {_summed('h')} h, {_summed('xc')} x, {_summed('yc')} y from mm), l as (select ['Failed boxes: ' || k, 'Missed GT: ' || a, 'False positives: ' || b, 'Class mismatches: ' || c, 'Size (w): ' || w, 'Size (h): ' || h, 'Location (xc): ' || x, 'Location (yc): ' || y] l from m, n) select cast(i - 1 as int) line_no, l[i] line from l, range(1, 9) t(i)")
+def mismatch_report(spark, d):
+    e, stats = _mismatches(spark, d)
+    return metrics.report_lines(e, stats)
 
 
 #: Absorption among ground truth: every box of a live, larger one of class 0, 3 or 7 that holds it.
@@ -445,10 +532,59 @@ def negative_quota(spark, d):
     return rank.negative_quota(b, ["image_key"], "idx", 1 / 3).select("image_key", "idx", "quota")
 
 
-@query()
+#: Whether a box leaves room for a negative square of three tenths beside its own; a stand-in for a random try that SQL can follow.
+_CROPS = f"""cp as (select *, {_R('w * width')} pw, {_R('h * height')} ph, greatest(0, {_R('(xc - w / 2) * width')}) x0, greatest(0, {_R('(yc - h / 2) * height')}) y0 from (select b.*, i.width, i.height from ix b join images i using (image_key) where i.width > 0 and i.height > 0) where origin = 'gt'),
+  cb as (select *, least(pw, width - x0) cw, least(ph, height - y0) ch from cp), cc as (select *, least(cw, ch) side, greatest(cw, ch) >= least(cw, ch) * 1.3 ok from cb where cw > 1 and ch > 1)"""
+#: Negatives after each positive, as the loop makes them.
+_TAKEN = "list_reduce(list({{'ok': ok, 'neg': 0::bigint, 'pos': 0::bigint}} order by {order}), lambda s, x: {{'ok': false, 'pos': s.pos + 1, 'neg': s.neg + case when x.ok and s.neg < floor((s.pos + 1) * (1.0::double / 3)) then 1 else 0 end}}, {{'ok': false, 'neg': 0::bigint, 'pos': 0::bigint}}) r"
+
+
+def _crop_room(spark, d):
+    c = crops.positive_squares(sized(spark, d, indexed(spark, d).where("origin = 'gt'")))
+    return c.select("image_key", F.col("idx").alias("box"), (F.greatest("crop.w", "crop.h") >= F.least("crop.w", "crop.h") * 1.3).alias("ok"))
+
+
+@query(f"with {BOXES}, {INDEXED}, {_CROPS}, f as (select image_key, {_TAKEN.format(order='idx')} from cc group by 1) select image_key, r.pos positives, r.neg taken from f")
 def negatives_taken(spark, d):
-    b = indexed(spark, d).where("origin = 'gt' and class_id < 5").withColumn("ok", rank.share_of(7, "image_key", "idx") < 0.8)
-    return rank.negatives_taken(b, "image_key", "idx", 1 / 3)
+    """Per image."""
+    n = rank.negatives_taken(rank.numbered(_crop_room(spark, d), ["image_key"], ["box"]), ["image_key"], "idx", 1 / 3)
+    return n.groupBy("image_key").agg(F.count("*").alias("positives"), F.max("negatives").alias("taken"))
+
+
+@query(f"with {BOXES}, {INDEXED}, {_CROPS}, f as (select {_TAKEN.format(order='image_key, idx')} from cc) select r.pos positives, r.neg taken from f")
+def negatives_taken_all(spark, d):
+    """Over the whole data set, as one sequence."""
+    b = rank.numbered(_crop_room(spark, d).withColumn("all", F.lit(0)), ["all"], ["image_key", "box"])
+    return rank.negatives_taken(b, [], "idx", 1 / 3).agg(F.count("*").alias("positives"), F.max("negatives").alias("taken"))
+
+
+def _class_crops(spark, d):
+    b = sized(spark, d, indexed(spark, d).where("origin = 'gt'"))
+    return crops.classification_crops(b, ["image_key", "idx"], ["image_key", "idx"], 1 / 3, 2)
+
+
+@query()
+def class_crops(spark, d):
+    """Positive and negative squares with where they go; negatives are random, so class_crops_checks tells what holds for them."""
+    c = _class_crops(spark, d).join(load(spark, d, "images").select("image_key", "raw_stem"), "image_key").join(load(spark, d, "classes"), "class_id")
+    return c.select("image_key", "idx", "kind", "x0", "y0", "size", crops.crop_path(F.col("class_name"), F.col("raw_stem"), F.col("idx"), F.col("kind")).alias("path"))
+
+
+@query(f"""with {BOXES}, {INDEXED}, {_CROPS}, s as (select *, greatest(x0 - 2, 0) sx, greatest(y0 - 2, 0) sy from cc) select image_key, idx, class_id, cast(sx as int) x0, cast(sy as int) y0, cast(least(side + 4, width - sx, height - sy) as int) size from s""")
+def class_crops_positive(spark, d):
+    return _class_crops(spark, d).where("kind = 'pos'").select("image_key", "idx", "class_id", "x0", "y0", "size")
+
+
+@query(f"with {BOXES}, {INDEXED}, {_CROPS} select count(*) positives, 0::bigint outside, 0::bigint overlapping, 0::bigint without_positive, true within_quota from cc")
+def class_crops_checks(spark, d):
+    """Negatives lie in their image, beside their positive, and keep the quota."""
+    c = _class_crops(spark, d)
+    pos, neg = (c.where(F.col("kind") == k).select("image_key", "idx", "width", "height", F.struct("x0", "y0", "size").alias(k)) for k in ("pos", "neg"))
+    j = pos.join(neg.drop("width", "height"), ["image_key", "idx"], "full_outer")
+    s = F.col("neg")
+    out = s.isNotNull() & ((s["x0"] < 0) | (s["y0"] < 0) | (s["x0"] + s["size"] > F.col("width")) | (s["y0"] + s["size"] > F.col("height")) | (s["size"] < 2))
+    n = j.agg(F.count("pos").alias("positives"), F.count_if(out).alias("outside"), F.count_if(geom.squares_overlap(F.col("pos"), s)).alias("overlapping"), F.count_if(F.col("pos").isNull()).alias("without_positive"), F.count("neg").alias("negatives"))
+    return n.select("positives", "outside", "overlapping", "without_positive", (F.col("negatives") <= F.floor(F.col("positives") / 3)).alias("within_quota"))
 
 
 @query()
@@ -456,23 +592,56 @@ def bernoulli_sample(spark, d):
     return rank.bernoulli(load(spark, d, "images").select("image_key"), 0.25, 7, "image_key")
 
 
+@query("select 0::bigint strangers, true repeatable, true near from images limit 1")
+def bernoulli_checks(spark, d):
+    """A sample is a part of the rows, the same again however they lie, and near its rate."""
+    im = load(spark, d, "images").select("image_key")
+    a, b = bernoulli_sample(spark, d), rank.bernoulli(im.repartition(5), 0.25, 7, "image_key")
+    n = a.withColumn("a", F.lit(1)).join(b.withColumn("b", F.lit(1)), "image_key", "full_outer").join(im.withColumn("i", F.lit(1)), "image_key", "full_outer")
+    n = n.agg(F.count_if(F.col("i").isNull()).alias("strangers"), F.count_if(F.col("a").isNull() != F.col("b").isNull()).alias("apart"), F.count("a").alias("n"), F.count("i").alias("of"))
+    return n.select("strangers", (F.col("apart") == 0).alias("repeatable"), (F.abs(F.col("n") - F.col("of") / 4) <= 4 * F.sqrt(F.col("of") * 3 / 16)).alias("near"))
+
+
 @query()
 def class_sample(spark, d):
     b = load(spark, d, "boxes").where("class_id is not null").select("class_id", "image_key", "box_idx").distinct()
     return rank.sample_per_group(b, "class_id", 20, 7, "image_key", "box_idx")
 
 
+@query("select class_id, least(20, count(*)) n, least(20, count(*)) known from (select distinct class_id, image_key, box_idx from boxes where class_id is not null) group by 1")
+def class_sample_sizes(spark, d):
+    """The sample's rows per class, and how many of them are different rows of the table."""
+    b = load(spark, d, "boxes").where("class_id is not null").select("class_id", F.struct("image_key", "box_idx").alias("row")).distinct()
+    s = class_sample(spark, d).select("class_id", F.struct("image_key", "box_idx").alias("row"))
+    known = s.distinct().join(b.withColumn("k", F.lit(1)), ["class_id", "row"]).groupBy("class_id").agg(F.count("*").alias("known"))
+    return s.groupBy("class_id").agg(F.count("*").alias("n")).join(known, "class_id", "left")
+
+
 @query()
 def shuffled_images(spark, d):
     return rank.shuffled(load(spark, d, "images").select("image_key"), 100, 7, "image_key")
 
 
-@query("with n as (select class_id, count(image_key) n from classes left join boxes using (class_id) group by 1), q as (select class_id, cast(least(50, ceil(((select max(n) from n) - n) * 0.5)) as bigint) need from n) select class_id, need copies from q where need > 0 and class_id in (select class_id from boxes)")
+@query("select least(100, count(*)) n, least(100, count(*)) known from (select distinct image_key from images)")
+def shuffled_sizes(spark, d):
+    s = shuffled_images(spark, d)
+    return s.agg(F.count("*").alias("n"), F.lit(0).alias("z")).join(s.distinct().join(load(spark, d, "images"), "image_key", "left_semi").agg(F.count("*").alias("known"))).select("n", "known")
+
+
+@query(f"with {BOXES}, {INDEXED} select image_key, idx from ix where origin = 'gt' order by w * h desc, image_key, idx limit 50")
+def largest_first(spark, d):
+    """The cap on segments: the first rows of all by an order, here by falling area."""
+    b = indexed(spark, d).where("origin = 'gt'").withColumn("area", -(F.col("w") * F.col("h")))
+    return rank.first_rows(b, ["area", "image_key", "idx"], 50).select("image_key", "idx")
+
+
+@query("with n as (select class_id, count(image_key) n from classes left join boxes using (class_id) group by 1), q as (select class_id, cast(least(50, ceil(((select max(n) from n) - n) * 0.5)) as bigint) need from n) select class_id, need copies, 0::bigint without_class from q where need > 0 and class_id in (select class_id from boxes)")
 def weighted_pick(spark, d):
-    """Copies planned per class; the images picked are those of need_plan()."""
+    """Copies planned per class; every image picked for one holds the class."""
     b = load(spark, d, "boxes").where("class_id is not null")
-    need = metrics.rebalance_need(class_counts(spark, d), 0.5, 50)
-    return rank.need_plan(need, b, 7).groupBy("class_id").agg(F.count("*").alias("copies"))
+    plan = rank.need_plan(metrics.rebalance_need(class_counts(spark, d), 0.5, 50), b, 7)
+    holds = b.select("class_id", "image_key").distinct().withColumn("holds", F.lit(True))
+    return plan.join(holds, ["class_id", "image_key"], "left").groupBy("class_id").agg(F.count("*").alias("copies"), F.count_if(F.col("holds").isNull()).alias("without_class"))
 
 
 @query("with e as (select path, max(error_id) error_id, count(*) n from (select *, row_number() over (partition by path order by scored_at desc nulls last, error_id desc) rn from image_errors where path is not null) where rn = 1 group by path) select path, error_id from e")

@@ -7,7 +7,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from tessera.functions import geom, parse, text
-from tessera.operators import augment, classes, joins, metrics, overlay, pixels, rank
+from tessera.operators import augment, classes, crops, joins, metrics, overlay, pixels, rank
 from tessera.operators.match import absorbed, match_events, numbered
 from tessera.sources import datasets
 from tessera.streaming import labels
@@ -155,16 +155,71 @@ def test_rank(spark):
     assert [r.id for r in rank.ranked(d, "score", "id").orderBy("rank").limit(2).collect()] == [2, 5]
     assert rank.cap_per_group(d, "score", ["id"], 4).count() == 12 and rank.sample_per_group(d, "score", 2, 1, "id").count() == 6
     assert rank.bernoulli(d, 0.5, 1, "id").collect() == rank.bernoulli(d.repartition(5), 0.5, 1, "id").orderBy("id").collect()
-    pos = neg = 0
-    for i in range(30):
-        pos += 1
-        neg += i % 2 == 0 and neg < int(pos / 3)
-    assert tuple(rank.negatives_taken(d.withColumn("k", F.lit(1)), "k", "id", 1 / 3).first()) == (1, 30, neg)
     files = spark.createDataFrame([(1, "abc"), (2, "ab"), (3, "xab"), (4, "AB")], "image_key bigint, stem string")
     find = lambda q: [r.image_key for r in rank.find_by_name(files, q, "stem").collect()]
     assert find("ab") == [4] and find("abc") == [1] and find("xa") == [3] and find("b") == [1] and find("zz") == []
 
 
+@pytest.mark.parametrize(("keys", "ratio", "chunk"), [([], 1 / 3, 4), (["k"], 0.5, 3), (["k"], 2.0, 65536), ([], 0.0, 7), ([], 0.9, 1)])
+def test_negatives(spark, keys, ratio, chunk):
+    """The running quota against the loop, failures carried over, with nulls as failures."""
+    rng = random.Random(chunk)
+    rows = [(k, i, rng.choice([True, True, False, None])) for k in (0, 1, None) for i in range(60)]
+    if not keys:
+        rows = [(0, n, ok) for n, (_, _, ok) in enumerate(rows)]
+    want, state = {}, {}
+    for k, i, ok in rows:
+        pos, neg = state.get(k, (0, 0))
+        took = bool(ok) and neg < int((pos + 1) * ratio)
+        state[k] = pos + 1, neg + took
+        want[k, i] = took, neg + took
+    d = spark.createDataFrame([r for r in rows if r[0] is not None], "k int, i int, ok boolean").withColumn("taken", F.lit("clash")).drop("taken").repartition(3)
+    got = {(r.k, r.i): (r.taken, r.negatives) for r in rank.negatives_taken(d, keys, "i", ratio, chunk).collect()}
+    assert got == {k: v for k, v in want.items() if k[0] is not None}
+
+
+def test_crops(spark, tmp_path):
+    cols = "image_key bigint, idx int, ok string, xc double, yc double, w double, h double, width int, height int"
+    b = spark.createDataFrame([(1, i, "clash", 0.5, 0.5, 0.8, 0.3, 200, 100) for i in range(30)] + [(2, 0, "x", 0.5, 0.5, 0.0, 0.1, 50, 50), (2, 1, "x", None, 0.5, 0.5, 0.1, 50, 50), (2, 2, "x", 0.5, 0.5, 0.1, 0.1, None, 50)], cols)
+    c = crops.classification_crops(b, ["image_key", "idx"], ["image_key", "idx"], 0.5, 2).collect()
+    pos, neg = [r for r in c if r.kind == "pos"], [r for r in c if r.kind == "neg"]
+    assert len(pos) == 30 and {(r.x0, r.y0, r.size, r.ok) for r in pos} == {(18, 33, 34, "clash")} and 10 <= len(neg) <= 15
+    assert all(r.x0 >= 0 and r.x0 + r.size <= 200 and not (r.x0 < 52 and 18 < r.x0 + r.size and r.y0 < 67 and 33 < r.y0 + r.size) for r in neg)
+    assert sorted(map(tuple, crops.classification_crops(b.repartition(4), ["image_key", "idx"], ["image_key", "idx"], 0.5, 2).collect())) == sorted(map(tuple, c))
+    assert crops.classification_crops(b.limit(0), ["image_key", "idx"], ["image_key", "idx"], 0.5).count() == 0
+    im = np.zeros((10, 20, 3), np.uint8)
+    im[2:5, 3:9] = (9, 8, 7)
+    (tmp_path / "in").mkdir()
+    (tmp_path / "in/a.png").write_bytes(pixels.png(im))
+    images = datasets.decoded(spark, str(tmp_path / "in"))
+    path = images.first().path
+    asked = spark.createDataFrame([(path, f"out/{i}.png", 3, 2, 9, 5) for i in range(3)] + [(path, "out/none.png", 50, 50, 60, 60)], "image string, path string, x1 int, y1 int, x2 int, y2 int")
+    datasets.write_files(crops.crop_contents(images, asked), str(tmp_path))
+    got = datasets.decoded(spark, str(tmp_path / "out")).collect()
+    assert len(got) == 3 and all((pixels.decode(r.height, r.width, r.channels, bytes(r.data)) == (7, 8, 9)).all() and (r.height, r.width) == (3, 6) for r in got)
+
+
+def test_reference_crops(spark):
+    t = spark.createDataFrame([(1, 0, 5, (0.1, 0.1, 0.2, 0.2), "x"), (1, 1, 5, (0.8, 0.8, 0.9, 0.9), "y")], "image_key bigint, idx int, class_id int, box struct<x1: double, y1: double, x2: double, y2: double>, extra string")
+    r = spark.createDataFrame([(1, 0, (0.5, 0.5, 0.5001, 0.9), 100, 100), (1, 1, (0.051, 0.0, 0.5, 0.504), 100, 100), (1, 2, (0.6, 0.0, 0.7, 0.1), 100, 100)], "image_key bigint, ref_idx int, box struct<x1: double, y1: double, x2: double, y2: double>, width int, height int")
+    got = sorted((x.ref_idx, x.crop, x.idx, x.extra, None if x.xc is None else round(x.xc, 9)) for x in joins.reference_crops(r, t, 0.9, ("extra",)).collect())
+    assert got == [(1, 0, 0, "x", round((0.15 - 0.05) / 0.45, 9)), (2, 1, None, None, None)]
+
+
+def test_texts(spark):
+    lit = lambda v: F.lit(v).cast("double")
+    say = lambda kind, conf: one(spark, text.event_detail(F.lit(kind), F.lit("a"), F.lit("b"), lit(conf), lit(0.5), F.lit(kind == "correct")))
+    assert [say(k, 0.25) for k in ("missed", "misclass", "correct")] == ["MISSED: GT=a", "MISCLASS: GT=a Pred=b conf=0.250 IoU=0.500", "LOW_IOU: GT=a IoU=0.500 conf=0.250"]
+    assert say("false_pos", None) == "FALSE_POS: Pred=b conf=nan" and say("false_pos", NAN) == "FALSE_POS: Pred=b conf=nan"
+    assert one(spark, text.summary(lit(None), lit(None), lit(None))) == "---" and one(spark, text.summary(lit(1), lit(0), lit(2))) == "mean=1.0000 min=0.0000 max=2.0000"
+    assert one(spark, text.augmented_name(F.lit("s"), F.lit(3))) == "s_aug_3" and one(spark, text.reference_crop_name(F.lit("s"), F.lit(1), F.lit(2))) == "s_ref1_crop2"
+    assert geom.size_of([640]) == (640, 640) and geom.size_of([640, 480]) == (640, 480)
+    p = lambda s: one(spark, parse.polygon_line(parse.tokens(F.lit(s))))
+    assert p("1 0 0 1 1 2 2").coords == [0, 0, 1, 1, 2, 2] and p("1 0 0 1") is None and p("1 0 0 x 1") is None and p("") is None
+    small = lambda w, h, **k: one(spark, geom.too_small(F.lit(w), F.lit(h), F.lit(100), F.lit(100), **k))
+    assert small(0.0, 0.5) and not small(0.1, 0.1) and small(0.03, 0.5, min_width=4) and small(0.5, 0.02, max_aspect=20) and small(0.05, 0.05, min_share=0.01) and not small(0.04, 0.5, min_width=4)
+
+
 def test_stats(spark):
     c = classes.classes_table(spark, ["a", "b"])
     b = spark.createDataFrame([(0, (0, 0, 10, 10), 100, 100), (0, None, 100, 100)], "class_id int, box struct<x1: int, y1: int, x2: int, y2: int>, width int, height int")
@@ -174,27 +229,45 @@ def test_stats(spark):
 
 
 def test_sources(spark, tmp_path):
-    (tmp_path / "train/labels").mkdir(parents=True)
-    (tmp_path / "train/images").mkdir()
+    for f in ("train/labels/sub", "train/images", "valid/labels", "other"):
+        (tmp_path / f).mkdir(parents=True)
     (tmp_path / "train/labels/a.txt").write_bytes(b"0 .5 .5 .1 .1\r\n1 .5 .5 .1 .1\n")
     (tmp_path / "train/labels/b.txt").write_text("")
+    (tmp_path / "train/labels/sub/c.txt").write_bytes(b"\xff\xfe 1")
+    (tmp_path / "train/labels/.hidden.txt").write_text("x")
+    (tmp_path / "other/d.txt").write_text("x")
     (tmp_path / "data.yaml").write_text("names: [x, y]\nnc: 2\n")
     (tmp_path / "train/images/a.JPG").write_bytes(b"no picture")
-    f = datasets.label_files(spark, str(tmp_path))
+    (tmp_path / "train/images/a.png").write_bytes(pixels.png(np.zeros((6, 9, 3), np.uint8)))
+    root = str(tmp_path)
+    names = lambda d: sorted(r.path.rsplit("/", 1)[1] for r in d.collect())
+    f = datasets.label_files(spark, root)
     assert [(r.line_idx, r.raw) for r in datasets.label_lines(f).orderBy("line_idx").collect()] == [(0, "0 .5 .5 .1 .1"), (1, "1 .5 .5 .1 .1")]
-    assert f.count() == 2 and datasets.split_labels(spark, str(tmp_path), ["train", "test"]).count() == 2
-    assert [(r.stem, r.ext) for r in datasets.image_files(spark, str(tmp_path)).collect()] == [("a", "jpg")] and datasets.images(spark, str(tmp_path / "train/images")).count() == 0
-    assert datasets.description(str(tmp_path)) == ["x", "y"] and datasets.split_dir(str(tmp_path), "../train", "train").endswith("train/images")
+    assert names(f) == ["a.txt", "b.txt"] and names(datasets.label_files(spark, root, any_ancestor=True)) == ["a.txt", "b.txt", "c.txt"]
+    assert names(datasets.label_files(spark, root, None)) == ["a.txt", "b.txt", "c.txt", "d.txt"] and datasets.walk(spark, root + "/none").count() == 0
+    assert datasets.split_labels(spark, root, ["train", "test"]).count() == 2
+    pairs, skipped = datasets.split_scan(spark, root, ["train", "valid", "test"])
+    assert [(r.split, r.stem, r.image.rsplit("/", 1)[1]) for r in pairs.collect()] == [("train", "a", "a.JPG")] and [tuple(r) for r in skipped.collect()] == [("train", 1)]
+    im = datasets.image_files(spark, root, order="name")
+    assert [(r.stem, r.ext) for r in im.collect()] == [("a", "jpg"), ("a", "png")] and datasets.images(spark, str(tmp_path / "train/images")).count() == 1
+    assert sorted(((r.width, r.height) for r in datasets.image_sizes(im).collect()), key=str) == [(9, 6), (None, None)]
+    assert datasets.description(root) == ["x", "y"] and datasets.split_dir(root, "../train", "train").endswith("train/images")
+    assert datasets.split_dir("/nowhere", "train", "train", root + "/data.yaml").endswith("train/images") and datasets.split_dir(root, None, "val").endswith("valid")
     out = tmp_path / "out"
-    lines = spark.createDataFrame([("l/a.txt", 1, "b"), ("l/a.txt", 0, "a")], "path string, line_idx int, line string")
+    lines = spark.createDataFrame([("l/a.txt", 1, "b"), ("l/a.txt", 0, "é")], "path string, line_idx int, line string")
     datasets.write_files(datasets.label_contents(lines, spark.createDataFrame([("l/a.txt",), ("l/e.txt",)], "path string")), str(out))
-    assert (out / "l/a.txt").read_text() == "a\nb\n" and (out / "l/e.txt").read_text() == ""
-    datasets.copy_metadata(str(tmp_path), str(out), ["z"])
+    assert (out / "l/a.txt").read_text() == "é\nb\n" and (out / "l/e.txt").read_text() == "" and not list(out.rglob("*.part"))
+    datasets.copy_metadata(root, str(out), ["z"])
     assert datasets.description(str(out)) == ["z"]
-    datasets.copy_files(spark.createDataFrame([(str(tmp_path / "train/images/a.JPG"), "i/a.JPG")], "source string, path string"), str(out))
-    assert (out / "i/a.JPG").read_bytes() == b"no picture"
+    datasets.copy_dataset(spark, root, str(out / "all"), ["train", "test"])
+    assert (out / "all/train/images/a.JPG").read_bytes() == b"no picture" and (out / "all/train/labels/b.txt").exists() and (out / "all/data.yaml").exists()
     datasets.write_payloads(spark.createDataFrame([("a\nb",), (None,)], "text string"), str(out / "p"))
     assert spark.read.text(str(out / "p")).first().value == '"a\\nb"'
+    r = spark.createDataFrame([(2, "i", 'a "b"; c'), (1, "j", "")], "rank int, image string, details string")
+    datasets.write_error_ranking(r, str(out / "csv"))
+    assert [x.details for x in spark.read.option("header", True).option("escape", '"').csv(str(out / "csv")).orderBy("rank").collect()] == [None, 'a "b"; c']
+    datasets.write_stats(spark.createDataFrame([('{"b": 1, "a": [2]}',)], "document string"), str(out / "stats.json"))
+    assert (out / "stats.json").read_text() == '{\n  "a": [\n    2\n  ],\n  "b": 1\n}'
 
 
 def test_pixels():
