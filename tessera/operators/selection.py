@@ -22,9 +22,10 @@ def _bin(bins: int):
     return F.when(F.col("value") >= F.col("high"), bins - 1).otherwise(F.least(F.lit(bins - 1), F.floor(share * bins))).cast("int")
 
 
-def exact_quantiles(rows: DataFrame, keys: list[str], value: str, quantiles: list[float], bins: int = BINS) -> DataFrame:
+def exact_quantiles(rows: DataFrame, keys: list[str], value: str, quantiles: list[float], bins: int = BINS, count_equal: bool = False) -> DataFrame:
     """Per key: n_rows, n_values and, per quantile q, the value of rank ceil(q * n_values) (1 at least), as `q`, `rank`, `value`.
 
+    With count_equal also n_equal, how many values equal that one: ranks are refined until their interval holds one value, whose bin count it is.
     Null, NaN and infinite values count in n_rows only; a key without finite values has one row with null q, rank and value.
     Rows with a null in a key are left out. Ties and repeated rows count as often as they occur. An empty table gives no row.
     """
@@ -39,10 +40,12 @@ def exact_quantiles(rows: DataFrame, keys: list[str], value: str, quantiles: lis
     # open intervals: values in it, values below it
     state = wanted.select(*names, "q", "rank", "low", "high", F.col("n_values").alias("inside"), F.lit(0).cast("bigint").alias("below"))
     done = []
-    resolved = F.when(F.col("low") == F.col("high"), F.col("low")).when(F.col("rank") == F.col("below") + 1, F.col("low")).when(F.col("rank") == F.col("below") + F.col("inside"), F.col("high"))
+    resolved = F.when(F.col("low") == F.col("high"), F.col("low"))
+    if not count_equal:
+        resolved = resolved.when(F.col("rank") == F.col("below") + 1, F.col("low")).when(F.col("rank") == F.col("below") + F.col("inside"), F.col("high"))
     while True:
         state = cut(state.withColumn("value", resolved))
-        done.append(state.where("value is not null").select(*names, "q", "rank", "value"))
+        done.append(state.where("value is not null").select(*names, "q", "rank", "value", F.col("inside").alias("n_equal")))
         state = state.where("value is null").drop("value")
         if state.isEmpty():
             break
@@ -62,7 +65,7 @@ def exact_quantiles(rows: DataFrame, keys: list[str], value: str, quantiles: lis
     for x in done[1:]:
         found = found.union(x)
     out = total.select(*names, "n_rows", "n_values").join(found, names, "left")
-    return out.select(*(F.col(n).alias(k) for k, n in zip(keys, names)), "n_rows", "n_values", "q", "rank", "value")
+    return out.select(*(F.col(n).alias(k) for k, n in zip(keys, names)), "n_rows", "n_values", "q", "rank", "value", *(["n_equal"] if count_equal else []))
 
 
 def dominant_keys(selected: DataFrame, within: list[str], key: str, share_num: int = 1, share_den: int = 20) -> DataFrame:
@@ -70,3 +73,16 @@ def dominant_keys(selected: DataFrame, within: list[str], key: str, share_num: i
     per_key = selected.select(*within, key, "n_rows").distinct()
     total = per_key.groupBy(*within).agg(F.sum("n_rows").alias("__all"))
     return per_key.join(total, within).where(F.col("n_rows") * share_den >= F.col("__all") * share_num).select(*within, key)
+
+
+def dominant_values(rows: DataFrame, within: list[str], value: str, share_num: int = 1, share_den: int = 20) -> DataFrame:
+    """Columns `within`, value and n: values that at least share_num/share_den of their group's rows have. Nulls are no values.
+
+    Such a value holds the rank of some quantile if these stand closer than its share; so quantiles at half the share are selected, and how
+    often each occurs comes with its rank. No group's rows and no value's are gathered or counted one by one.
+    """
+    steps = 2 * -(-share_den // share_num)
+    names = [f"within{i}" for i in range(len(within))]
+    d = rows.select(*(F.col(k).alias(n) for k, n in zip(within, names)), F.col(value).alias("v"))
+    s = exact_quantiles(d, names, "v", [i / steps for i in range(1, steps + 1)], count_equal=True).where(F.col("n_equal") * share_den >= F.col("n_values") * share_num)
+    return s.select(*(F.col(n).alias(k) for n, k in zip(names, within)), F.col("value").alias(value), F.col("n_equal").alias("n")).distinct()

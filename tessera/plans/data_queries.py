@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from tessera.operators.bad_rows import loaded, parse_rows, rejected
 from tessera.operators.compaction import consolidate, deliveries, repeated_deliveries, same_deliveries, sorted_runs
-from tessera.operators.selection import dominant_keys, exact_quantiles
+from tessera.operators.selection import dominant_values, exact_quantiles
 from tessera.util import cut, load
 
 
@@ -16,7 +16,8 @@ def _parsed(spark: SparkSession, d: str, *keep: str) -> DataFrame:
 
 
 def p1_found(spark, d):
-    return rejected(_parsed(spark, d, "line_id"), ["line_id"]).select("line_id", "reason")
+    """Each of them has been through the field prefixes, up to its first broken field."""
+    return rejected(_parsed(spark, d, "line_id"), ["line_id"]).where("field is not null").select("line_id", "reason")
 
 
 def p1_broken_fields(spark, d):
@@ -57,7 +58,8 @@ def _class_values(spark, d) -> DataFrame:
 
 
 def p4_found(spark, d):
-    return dominant_keys(exact_quantiles(_class_values(spark, d), ["table_name", "class_id"], "w", [0.5]), ["table_name"], "class_id")
+    found = dominant_values(_class_values(spark, d).drop("w"), ["table_name"], "class_id")
+    return found.select("table_name", F.col("class_id").cast("int").alias("class_id"))
 
 
 def p4_class_quantiles(spark, d):
@@ -89,6 +91,8 @@ vals as (select 'label_lines' table_name, cast(id as int) class_id, c[3] w from
 
 ORACLE = {
     "p1_found": f"with {LINES} select line_id, reason from parsed where reason is not null",
+    "p1_broken_fields": f"""with {LINES}, f as (select reason, case when id is null or id not in (select class_id from classes where class_id is not null) then 'class_id' when c[1] is null then 'xc' when c[2] is null then 'yc'
+      when c[3] is null or c[3] <= 0 or c[3] > 1 then 'w' when c[4] is null or c[4] <= 0 or c[4] > 1 then 'h' else 'extras' end field from parsed where reason is not null) select reason, field, count(*) n from f group by all""",
     "p1_loaded": f"with {LINES} select line_id, cast(id as int) class_id, c[1] xc, c[2] yc, c[3] w, c[4] h from parsed where reason is null",
     "p2_found": f"with {_FILES} select a.file_id file_id_a, b.file_id file_id_b from f a join f b on a.image_key = b.image_key and a.body = b.body and a.file_id < b.file_id",
     "p2_consolidated": f"with {_FILES} select file_id, line_idx, line_id, raw from label_lines where file_id not in (select file_id from f where same_as <> file_id)",

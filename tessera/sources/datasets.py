@@ -118,7 +118,7 @@ def label_files(spark: SparkSession, root: str, parents: tuple[str, ...] | None
 
 def label_lines(files: DataFrame) -> DataFrame:
     """path, line_idx, raw: lines in order, whatever ends them; a final line end makes no further line. Empty files have none."""
-    body = F.regexp_replace(text.universal_newlines(F.col("content")), "\n$", "")
+    body = F.regexp_replace(text.universal_newlines(F.col("content")), "\n\\z", "")
     return files.where(F.length("content") > 0).select("path", F.posexplode(F.split(body, "\n", -1)).alias("line_idx", "raw"))
 
 

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from tessera.operators.bad_rows import loaded, parse_rows, rejected
 from tessera.operators.compaction import consolidate, deliveries, read_outputs, repeated_deliveries, same_deliveries, sorted_runs, write_outputs
 from tessera.util import cut
-from tessera.operators.selection import dominant_keys, exact_quantiles
+from tessera.operators.selection import dominant_keys, dominant_values, exact_quantiles
 
 NAN, INF = float("nan"), float("inf")
 
@@ -138,3 +138,14 @@ def test_dominant(spark):
     rows = [("t", 1, 0.5)] * 95 + [("t", 2, None)] * 5 + [("u", 3, 1.0)] * 19 + [("u", 4, 1.0)]
     q = exact_quantiles(spark.createDataFrame(rows, "table_name string, class_id int, w double"), ["table_name", "class_id"], "w", [0.5])
     assert {tuple(r) for r in dominant_keys(q, ["table_name"], "class_id").collect()} == {("t", 1), ("t", 2), ("u", 3), ("u", 4)}
+
+
+def test_dominant_values(spark):
+    rng = random.Random(9)
+    rows = [("a", 7.0)] * 50 + [("a", 1e-9 * i) for i in range(949)] + [("a", -0.0)] + [("b", v) for v in (1.0, 2.0, 3.0)] + [("c", None), (None, 1.0)] + [("d", float(rng.randrange(19))) for _ in range(2000)] + [("n", NAN)]
+    got = {tuple(r) for r in dominant_values(spark.createDataFrame(rows, "value string, q double").repartition(5), ["value"], "q").collect()}
+    want = set()
+    for k in "abd":
+        v = [x for g, x in rows if g == k]
+        want |= {(k, x, v.count(x)) for x in set(v) if v.count(x) * 20 >= len(v)}
+    assert got == want
