@@ -1,21 +1,62 @@
-"""Cut-and-paste augmentation: where to put blobs, and whole images built from a plan.
+"""Cut-and-paste augmentation: buckets of blobs, where to put them, and whole images built from a plan.
 
-Each output image is its own row of the plan and draws from a generator seeded by (seed, copy), so results don't depend on the worker. The bucket
-of blobs is capped per class before it is sent along.
+Each output image is its own row of the plan and draws from a generator seeded by (seed, class, copy), so results don't depend on the worker. The
+blobs that a row may use are joined to it by number, so the bucket may be of any size. The driver's loop over successes and failures is rounds of plans.
 """
 
 from __future__ import annotations
 
+from dataclasses import dataclass, replace  # noqa: F401
+
 import numpy as np
+from pyspark.sql import DataFrame, Window
+from pyspark.sql import functions as F
 
-from tessera.operators import pixels
+from tessera.functions import text
+from tessera.operators import pixels, rank
+from tessera.util import cut
 
-#: Tries of a random placement.
-TRIES = 50
+#: Tries of a random placement, and at least of a biased one.
+TRIES, LEAST_TRIES = 50, 10
+#: Failures of a class before it is given up, and the chance of a stray segment.
+FAILURES, STRAY = 25, 0.5
 
 Box = tuple[int, int, int, int]
 
 
+@dataclass(frozen=True)
+class Settings:
+    """How images are cut up and composed. placement: random or dense. Sizes in pixels, rates in shares; 0 or None turns a step off."""
+
+    border_pad: int = 2
+    threshold: float = 30.0
+    min_area: float = 50.0
+    merge_iou: float = 0.5
+    no_seg: bool = False
+    placement: str = "random"
+    pad: int = 2
+    dense_step: int = 8
+    drop: float = 0.3
+    keep_background: bool = True
+    fill_empty: bool = False
+    fill_ratio: float = 0.5
+    fill_blobs: int = 40
+    fill_tries: int = 500
+    radius: int = 0
+    scale: tuple[float, float] | None = None
+    rotate: float = 0.0
+    flip_h: float = 0.0
+    flip_v: float = 0.0
+    jitter: float = 0.0
+    layout_rate: float = 0.5
+    layout_jitter: int = 10
+    layout_tries: int = 20
+
+    @property
+    def transforms(self) -> bool:
+        return self.scale is not None or max(self.rotate, self.flip_h, self.flip_v, self.jitter) > 0
+
+
 def free(box: Box, placed: list[Box], pad: int) -> bool:
     """No placed box collides when both are grown by pad."""
     x1, y1, x2, y2 = box
@@ -34,16 +75,15 @@ def place_random(rng: np.random.Generator, canvas: tuple[int, int], size: tuple[
     return None
 
 
-def place_near(rng: np.random.Generator, canvas: tuple[int, int], size: tuple[int, int], anchor: Box, placed: list[Box], pad: int, jitter: float, tries: int = TRIES) -> Box | None:
-    """Around an old box's centre, off by up to jitter of its sides."""
+def place_near(rng: np.random.Generator, canvas: tuple[int, int], size: tuple[int, int], anchor: Box, placed: list[Box], pad: int, jitter: int, tries: int = 20) -> Box | None:
+    """Around an old box's centre, off by up to jitter pixels; places that leave the canvas are lost tries."""
     (H, W), (h, w) = canvas, size
     if h >= H or w >= W:
         return None
-    cx, cy, dx, dy = (anchor[0] + anchor[2]) / 2, (anchor[1] + anchor[3]) / 2, (anchor[2] - anchor[0]) * jitter, (anchor[3] - anchor[1]) * jitter
     for _ in range(tries):
-        x, y = round(cx + rng.uniform(-dx, dx) - w / 2), round(cy + rng.uniform(-dy, dy) - h / 2)
-        x, y = min(max(0, x), W - w), min(max(0, y), H - h)
-        if free((x, y, x + w, y + h), placed, pad):
+        dx, dy = (int(v) for v in rng.integers(-jitter, jitter + 1, 2)) if jitter > 0 else (0, 0)
+        x, y = round((anchor[0] + anchor[2]) / 2 + dx) - w // 2, round((anchor[1] + anchor[3]) / 2 + dy) - h // 2
+        if 0 <= x <= W - w and 0 <= y <= H - h and free((x, y, x + w, y + h), placed, pad):
             return x, y, x + w, y + h
     return None
 
@@ -52,12 +92,14 @@ def scan(limit: int, step: int) -> list[int]:
     return sorted({*range(0, limit + 1, step), limit}) if limit >= 0 else []
 
 
+def _cell(heat: np.ndarray, box: Box, canvas: tuple[int, int]) -> tuple[int, int]:
+    gh, gw = heat.shape
+    return min(gh - 1, int((box[1] + box[3]) / 2 / canvas[0] * gh)), min(gw - 1, int((box[0] + box[2]) / 2 / canvas[1] * gw))
+
+
 def heat_at(heat: np.ndarray | None, box: Box, canvas: tuple[int, int]) -> float:
     """Heat of the cell that holds a box's centre; 0 without a map."""
-    if heat is None:
-        return 0.0
-    gh, gw = heat.shape
-    return float(heat[min(gh - 1, int((box[1] + box[3]) / 2 / canvas[0] * gh)), min(gw - 1, int((box[0] + box[2]) / 2 / canvas[1] * gw))])
+    return 0.0 if heat is None else float(heat[_cell(heat, box, canvas)])
 
 
 def place_dense(canvas: tuple[int, int], size: tuple[int, int], placed: list[Box], pad: int, step: int, heat: np.ndarray | None = None) -> Box | None:
@@ -76,75 +118,241 @@ def place_dense(canvas: tuple[int, int], size: tuple[int, int], placed: list[Box
 
 def place_biased(rng: np.random.Generator, canvas: tuple[int, int], size: tuple[int, int], heat: np.ndarray, placed: list[Box], pad: int, tries: int = TRIES) -> Box | None:
     """The coldest of random free places, else any free one."""
-    found = [b for _ in range(tries) if (b := place_random(rng, canvas, size, placed, pad, 1))]
+    found = [b for _ in range(max(LEAST_TRIES, tries)) if (b := place_random(rng, canvas, size, placed, pad, 1))]
     return min(found, key=lambda b: heat_at(heat, b, canvas)) if found else place_random(rng, canvas, size, placed, pad, tries)
 
 
-def fill_empty(rng: np.random.Generator, canvas: np.ndarray, blobs: list[np.ndarray], placed: list[Box], pad: int, ratio: float = 0.5, most: int = 40, tries: int = 500) -> int:
-    """Paste blobs at random places until the filled share, their number or the tries are used up; how many were pasted."""
-    H, W = canvas.shape[:2]
-    done = 0
-    for _ in range(tries if blobs else 0):
-        if done >= most or sum((b[2] - b[0]) * (b[3] - b[1]) for b in placed) >= ratio * H * W:
-            break
-        blob = blobs[int(rng.integers(len(blobs)))]
-        if at := place_random(rng, (H, W), blob.shape[:2], placed, pad, 1):
-            pixels.paste(canvas, blob, at[0], at[1])
-            placed.append(at)
-            done += 1
-    return done
+class Scene:
+    """A canvas that is being composed: what was placed, and the heat of each class, which grows as blobs are placed."""
+
+    def __init__(self, rng: np.random.Generator, canvas: np.ndarray, s: Settings, heat: dict[int, np.ndarray]):
+        self.rng, self.canvas, self.s = rng, canvas, s
+        self.heat = {c: h.copy() for c, h in heat.items()}
+        self.placed: list[Box] = []
+        self.labels: list[tuple[int, Box]] = []
+
+    def put(self, blob: np.ndarray, class_id: int | None, anchor: Box | None = None) -> bool:
+        """Near its old place, if one is given; else, or if that fails, as the settings say."""
+        s, size, canvas = self.s, blob.shape[:2], self.canvas.shape[:2]
+        heat = self.heat.get(class_id)
+        at = place_near(self.rng, canvas, size, anchor, self.placed, s.pad, s.layout_jitter, s.layout_tries) if anchor else None
+        if at is None:
+            if s.placement == "dense":
+                at = place_dense(canvas, size, self.placed, s.pad, s.dense_step, heat)
+            elif heat is not None:
+                at = place_biased(self.rng, canvas, size, heat, self.placed, s.pad)
+            else:
+                at = place_random(self.rng, canvas, size, self.placed, s.pad)
+            if at is not None and heat is not None:
+                heat[_cell(heat, at, canvas)] += 1
+        if at is None:
+            return False
+        pixels.paste(self.canvas, blob, at[0], at[1], s.radius)
+        self.placed.append(at)
+        if class_id is not None:
+            self.labels.append((class_id, at))
+        return True
+
+    def fill(self, blobs: list[np.ndarray]) -> int:
+        """Blobs at free places until the filled share, their number or the tries are used up; how many were put."""
+        s, (H, W), done = self.s, self.canvas.shape[:2], 0
+        for _ in range(s.fill_tries if blobs else 0):
+            if done >= s.fill_blobs or sum((b[2] - b[0]) * (b[3] - b[1]) for b in self.placed) >= min(1.0, max(0.0, s.fill_ratio)) * H * W:
+                break
+            done += self.put(blobs[int(self.rng.integers(len(blobs)))], None)
+        return done
+
+
+def _overlap(a: Box, b: Box) -> float:
+    w, h = min(a[2], b[2]) - max(a[0], b[0]), min(a[3], b[3]) - max(a[1], b[1])
+    both = max(w, 0) * max(h, 0)
+    return both / ((a[2] - a[0]) * (a[3] - a[1]) + (b[2] - b[0]) * (b[3] - b[1]) - both) if both else 0.0
 
 
-def compose(rng: np.random.Generator, image: np.ndarray, boxes: list[tuple[int, Box]], target: int, bucket: dict[int, list[np.ndarray]], pad: int = 2, drop: float = 0.3, layout: bool = False, jitter: float = 0.25, radius: int = 0) -> tuple[np.ndarray, list[tuple[int, Box]]] | None:
-    """A new image on the old background and its boxes; None if the target class couldn't be placed.
+def extracted(image: np.ndarray, boxes: list[tuple[int, Box]], s: Settings) -> tuple[tuple[int, ...], list[Box]]:
+    """Background colour of a scene, and its segments that are none of the labelled boxes."""
+    background = pixels.dominant_colour(image, [b for _, b in boxes], s.border_pad)
+    found = [] if s.no_seg else pixels.segments(image, background, s.threshold, s.min_area)
+    return background, [x for x in found if not any(_overlap(x, b) >= s.merge_iou for _, b in boxes)]
 
-    Recomposing drops other classes' boxes by chance and places the target first, anywhere; layout goes by falling area around the old
-    places, the target last.
+
+def compose(rng: np.random.Generator, image: np.ndarray, boxes: list[tuple[int, Box]], target: int, blob: np.ndarray | None, strays: list[np.ndarray] = (), s: Settings = Settings(), heat: dict[int, np.ndarray] | None = None, layout: bool = False) -> tuple[np.ndarray, list[tuple[int, Box]]] | None:
+    """A new image of a scene with a blob of the target class, and its boxes; None if the blob couldn't be placed.
+
+    Other classes' boxes, and segments, are dropped by chance. Recomposing places the target first and the rest anywhere, in any order;
+    layout goes by falling area around the old places, the target last.
     """
-    if not bucket.get(target):
+    if blob is None:
         return None
-    background = pixels.dominant_colour(image, [b for _, b in boxes], 2)
-    blobs = [(c, pixels.crop(image, *b), b) for c, b in sorted(boxes, key=lambda x: -(x[1][2] - x[1][0]) * (x[1][3] - x[1][1]))]
-    canvas = pixels.fill_boxes(image, [b for _, b in boxes], background)
-    mine = bucket[target][int(rng.integers(len(bucket[target])))]
-    kept = [x for x in blobs if x[1] is not None and (layout or x[0] == target or rng.random() >= drop)]
-    order = [*kept, (target, mine, None)] if layout else [(target, mine, None), *kept]
-    placed: list[Box] = []
-    out = []
-    for c, blob, old in order:
-        size = blob.shape[:2]
-        at = place_near(rng, canvas.shape[:2], size, old, placed, pad, jitter) if layout and old else place_random(rng, canvas.shape[:2], size, placed, pad)
-        if at is None:
-            if old is None:
-                return None
-            continue
-        pixels.paste(canvas, blob, at[0], at[1], radius)
-        placed.append(at)
-        out.append((c, at))
-    return canvas, out
-
-
-def negative_square(rng: np.random.Generator, inside: Box, sizes: tuple[int, int], avoid: tuple[int, int, int], tries: int = 15) -> tuple[int, int, int] | None:
-    """(x, y, size) of a random square inside a box that doesn't overlap another square."""
-    x1, y1, x2, y2 = inside
-    for _ in range(tries):
-        s = int(rng.integers(sizes[0], sizes[1] + 1)) if sizes[1] >= sizes[0] else 0
-        if s <= 0 or x2 - x1 < s or y2 - y1 < s:
-            continue
-        x, y = int(rng.integers(x1, x2 - s + 1)), int(rng.integers(y1, y2 - s + 1))
-        ax, ay, a = avoid
-        if not (a > 0 and x < ax + a and ax < x + s and y < ay + a and ay < y + s):
-            return x, y, s
-    return None
+    background, segs = extracted(image, boxes, s)
+    if s.keep_background:
+        canvas = pixels.fill_boxes(image, [*(b for _, b in boxes), *segs], background)
+    else:
+        canvas = np.empty_like(image)
+        canvas[:] = background
+    change = lambda x: pixels.transformed(x, rng, s.scale, s.rotate, s.flip_h, s.jitter, s.flip_v, background)
+    kept = [(c, b) for c, b in [*boxes, *((None, x) for x in segs)] if c == target or rng.random() >= s.drop]
+    parts = [(c, px, b) for c, b in kept if (px := pixels.crop(image, *b)) is not None]
+    if s.transforms:
+        blob = change(blob)
+        parts = [(c, change(px) if layout or c is not None and rng.random() < 0.5 else px, b) for c, px, b in parts]
+    scene = Scene(rng, canvas, s, heat or {})
+    if layout:
+        parts.sort(key=lambda x: -(x[2][2] - x[2][0]) * (x[2][3] - x[2][1]))
+        for c, px, b in parts:
+            scene.put(px, c, b)
+        if not scene.put(blob, target):
+            return None
+    else:
+        if not s.no_seg and strays and rng.random() < STRAY:
+            parts.append((None, strays[int(rng.integers(len(strays)))], None))
+        if not scene.put(blob, target):
+            return None
+        for i in rng.permutation(len(parts)):
+            scene.put(parts[i][1], parts[i][0])
+    if s.fill_empty and not s.no_seg:
+        scene.fill(strays)
+    return canvas, scene.labels
+
+
+# --- buckets ---------------------------------------------------------------------------------------
+_BLOB = "path string, class_id int, place int, height int, width int, data binary"
+
+
+def build_bucket(images: DataFrame, s: Settings, per_class: int, strays: int, rate: float = 1.0, most_images: int | None = None, seed: int = 7) -> DataFrame:
+    """class_id (null for segments), number, height, width, data: blobs cut out of scenes, at most per_class of each class and so many segments.
+
+    images: rows of the image source with boxes (array of struct(class_id, x1, y1, x2, y2), the selected classes only). rate samples
+    the images and most_images takes so many in random order: the operator's options. Which blobs stay follows a hash of image and place.
+    """
+    d = rank.bernoulli(images, rate, seed, "path") if rate < 1 else images
+    d = rank.shuffled(d, most_images, seed, "path") if most_images else d
+
+    def work(image, row) -> list[tuple]:
+        boxes = [(b["class_id"], (b["x1"], b["y1"], b["x2"], b["y2"])) for b in row["boxes"]]
+        cuts = [*boxes, *((None, x) for x in extracted(image, boxes, s)[1])]
+        return [(row["path"], c, i, *px.shape[:2], px.tobytes()) for i, (c, b) in enumerate(cuts) if (px := pixels.crop(image, *b)) is not None]
+
+    blobs = pixels.per_image(d, work, _BLOB, ["boxes"]).withColumn("at", F.xxhash64(F.lit(seed), "path", "place"))
+    order = ["at", "path", "place"]
+    classes = rank.cap_per_group(blobs.where("class_id is not null"), "class_id", order, per_class)
+    both = cut(classes.unionByName(rank.first_rows(blobs.where("class_id is null"), order, strays)))
+    # a class's blobs are as many as the cap says
+    number = F.row_number().over(Window.partitionBy("class_id").orderBy(*order)) - 1
+    return both.withColumn("number", number).select("class_id", "number", "height", "width", "data")
+
+
+def bucket_contents(bucket: DataFrame, classes: DataFrame) -> DataFrame:
+    """path, content of a bucket's image files: classes/<id>_<name>/<number>.png and seg/<number>.png."""
+    from tessera.sources.datasets import bucket_path
+
+    d = bucket.join(F.broadcast(classes.select("class_id", "class_name")), "class_id", "left")
+    at = F.when(F.col("class_id").isNull(), F.concat(F.lit("seg/"), F.lpad(F.col("number").cast("string"), 6, "0"), F.lit(".png"))).otherwise(bucket_path(F.col("class_id"), F.coalesce("class_name", F.col("class_id").cast("string")), F.col("number")))
+    d = d.select(at.alias("path"), "height", "width", F.lit(3).alias("channels"), "data")
+    return pixels.per_image(d, lambda image, row: [(row["path"], pixels.png(image[:, :, ::-1]))], "path string, content binary")
+
+
+def mask_contents(images: DataFrame, s: Settings, most: int) -> DataFrame:
+    """path, content of the foreground masks of the first `most` images by path, segments and labelled boxes outlined: for debugging."""
+
+    def work(image, row) -> list[tuple]:
+        boxes = [(b["class_id"], (b["x1"], b["y1"], b["x2"], b["y2"])) for b in row["boxes"]]
+        background, _ = extracted(image, boxes, s)
+        out = np.repeat(pixels.foreground(image, background, s.threshold)[:, :, None], 3, 2).astype(np.uint8) * 255
+        for found, colour in ((pixels.segments(image, background, s.threshold, s.min_area), (0, 255, 0)), ([b for _, b in boxes], (255, 0, 0))):
+            for x1, y1, x2, y2 in found:
+                out[y1:y2, [x1, max(x1, x2 - 1)]] = colour
+                out[[y1, max(y1, y2 - 1)], x1:x2] = colour
+        return [(row["path"].rsplit("/", 1)[-1].rsplit(".", 1)[0] + "_mask.png", pixels.png(out))]
+
+    return pixels.per_image(rank.first_rows(images, ["path"], most), work, "path string, content binary", ["boxes"])
 
 
-def augment(plan, bucket: dict[int, list[np.ndarray]], seed: int, pad: int = 2, layout_rate: float = 0.5):
-    """plan: rows of the image source with class_id, copy and boxes (array of struct(class_id, x1, y1, x2, y2)). path, copy, height, width, data, boxes of each image that could be made."""
+# --- whole images ----------------------------------------------------------------------------------
+_MADE = "path string, class_id int, copy int, height int, width int, data binary, boxes array<array<int>>"
 
-    def work(image: np.ndarray, row) -> list[tuple]:
+
+def with_blobs(plan: DataFrame, bucket: DataFrame, seed: int, strays: int) -> DataFrame:
+    """plan (class_id, copy, ...) with blob, one of the class's, and strays, so many segments, all picked by hash with replacement."""
+    blob = F.struct("height", "width", "data").alias("blob")
+    n = bucket.where("class_id is not null").groupBy("class_id").agg(F.count("*").alias("n"))
+    mine = bucket.where("class_id is not null").select("class_id", F.col("number").alias("pick"), blob)
+    d = plan.join(F.broadcast(n), "class_id", "left").withColumn("pick", F.pmod(F.xxhash64(F.lit(seed), "class_id", "copy", F.lit("blob")), "n").cast("int"))
+    d = d.join(mine, ["class_id", "pick"], "left").drop("pick", "n")
+    segments = bucket.where("class_id is null")
+    total = segments.count() if strays else 0
+    if not total:
+        return d.withColumn("strays", F.array().cast("array<struct<height: int, width: int, data: binary>>"))
+    picks = plan.select("class_id", "copy", F.posexplode(F.transform(F.sequence(F.lit(1), F.lit(strays)), lambda i: F.pmod(F.xxhash64(F.lit(seed), "class_id", "copy", i), F.lit(total)).cast("int"))).alias("i", "pick"))
+    got = picks.join(segments.select(F.col("number").alias("pick"), blob), "pick").groupBy("class_id", "copy").agg(F.collect_list("blob").alias("strays"))
+    return d.join(got, ["class_id", "copy"], "left").withColumn("strays", F.coalesce("strays", F.array()))
+
+
+def augment(plan: DataFrame, bucket: DataFrame, seed: int, s: Settings = Settings(), heat: dict[int, np.ndarray] | None = None) -> DataFrame:
+    """path, class_id, copy, height, width, data, boxes of each image that could be made.
+
+    plan: rows of the image source with class_id, copy and boxes (array of struct(class_id, x1, y1, x2, y2)); (class_id, copy) is unique.
+    bucket: build_bucket(). heat: the classes' heat maps, a small grid each. Whether layout is kept is drawn per image.
+    """
+
+    def array(b) -> np.ndarray | None:
+        # a batch with nulls brings its numbers as floats
+        return None if b is None or b["data"] is None else pixels.decode(int(b["height"]), int(b["width"]), 3, bytes(b["data"]))
+
+    def work(image, row) -> list[tuple]:
         rng = np.random.default_rng([seed, int(row["class_id"]), int(row["copy"])])
         boxes = [(b["class_id"], (b["x1"], b["y1"], b["x2"], b["y2"])) for b in row["boxes"]]
-        made = compose(rng, image, boxes, row["class_id"], bucket, pad, layout=bool(rng.random() < layout_rate))
-        return [] if made is None else [(row["path"], row["class_id"], row["copy"], made[0].shape[0], made[0].shape[1], made[0].tobytes(), [[c, *b] for c, b in made[1]])]
+        layout = bool(rng.random() < s.layout_rate)
+        made = compose(rng, image, boxes, int(row["class_id"]), array(row["blob"]), [array(x) for x in row["strays"]], s, heat, layout)
+        return [] if made is None else [(row["path"], row["class_id"], row["copy"], *made[0].shape[:2], made[0].tobytes(), [[c, *b] for c, b in made[1]])]
+
+    rows = with_blobs(plan, bucket, seed, 0 if s.no_seg else s.fill_blobs if s.fill_empty else 1)
+    return pixels.per_image(rows, work, _MADE, ["class_id", "copy", "boxes", "blob", "strays"])
+
+
+def rebalanced(need: DataFrame, images: DataFrame, bucket: DataFrame, seed: int, s: Settings = Settings(), most: int | None = None, heat: dict[int, np.ndarray] | None = None, failures: int = FAILURES) -> DataFrame:
+    """augment()'s images until each class has what it needs, `most` of all, or a class has failed so often.
+
+    need: class_id, need; a row per class. images: rows of the image source with boxes. A round plans what is still missing; an attempt is
+    numbered on, so that no two draw alike, and picks any image.
+    """
+    todo = {r[0]: r[1] for r in need.where("need > 0").select("class_id", "need").collect()}  # a number per class
+    left = min(sum(todo.values()), most) if most is not None else sum(todo.values())
+    spark, failed, tried, out = images.sparkSession, dict.fromkeys(todo, 0), dict.fromkeys(todo, 0), []
+    pool = cut(rank.numbered(images.select("path").withColumn("all", F.lit(0)), ["all"], ["path"]).select("path", F.col("idx").alias("pick")))
+    size = pool.count()
+    while left > 0 and size and any(todo.values()):
+        total = sum(todo.values())
+        share = {c: min(n, -(-n * left // total)) for c, n in todo.items() if n}
+        while sum(share.values()) > left:  # rounding up gave too many
+            c = max(share, key=lambda k: (share[k], k))
+            share[c] -= 1
+        ask = spark.createDataFrame([(c, tried[c], n) for c, n in share.items() if n], "class_id int, first int, n int")
+        plan = ask.select("class_id", F.explode(F.sequence(F.col("first"), F.col("first") + F.col("n") - 1)).alias("copy"))
+        plan = plan.withColumn("pick", F.pmod(F.xxhash64(F.lit(seed), "class_id", "copy"), F.lit(size)).cast("int")).join(pool, "pick").drop("pick").join(images, "path")
+        made = cut(augment(plan, bucket, seed, s, heat))
+        out.append(made)
+        got = {r[0]: r[1] for r in made.groupBy("class_id").count().collect()}
+        for c, n in share.items():
+            tried[c] += n
+            todo[c] -= got.get(c, 0)
+            failed[c] += n - got.get(c, 0)
+            left -= got.get(c, 0)
+            if failed[c] >= failures:
+                todo[c] = 0
+    d = spark.createDataFrame([], _MADE) if not out else out[0]
+    for x in out[1:]:
+        d = d.unionByName(x)
+    return d
+
 
-    return pixels.per_image(plan, work, "path string, class_id int, copy int, height int, width int, data binary, boxes array<array<int>>", ["class_id", "copy", "boxes"])
+def made_contents(made: DataFrame, split: str) -> DataFrame:
+    """path, content of the images and label files of augment(): <split>/images/<stem>_aug_<number>.png and <split>/labels/<stem>_aug_<number>.txt."""
+    d = rank.numbered(made.withColumn("all", F.lit(0)), ["all"], ["class_id", "copy"]).drop("all")
+    name = text.augmented_name(text.file_stem(F.col("path")), F.col("idx"))
+    w, h = F.col("width"), F.col("height")
+    line = lambda b: text.label_line(b[0], (b[1] + b[3]) / 2.0 / w, (b[2] + b[4]) / 2.0 / h, (b[3] - b[1]).cast("double") / w, (b[4] - b[2]).cast("double") / h)
+    body = F.array_join(F.transform("boxes", lambda b: F.concat(line(b), F.lit("\n"))), "")
+    labels = d.select(F.concat(F.lit(f"{split}/labels/"), name, F.lit(".txt")).alias("path"), F.encode(body, "UTF-8").alias("content"))
+    im = d.select(F.concat(F.lit(f"{split}/images/"), name, F.lit(".png")).alias("path"), "height", "width", F.lit(3).alias("channels"), "data")
+    return pixels.per_image(im, lambda image, row: [(row["path"], pixels.png(image[:, :, ::-1]))], "path string, content binary").unionByName(labels)

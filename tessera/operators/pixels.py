@@ -1,6 +1,6 @@
 """Pixel operators on numpy arrays (height, width, 3; uint8), and a DataFrame form that runs them per image in Arrow batches.
 
-Segmentation counts the pixels of a component where contour tools measure a polygon, so areas near a threshold may differ.
+Areas of segments are those of the polygon through the middles of a component's outer border pixels, holes included.
 """
 
 from __future__ import annotations
@@ -88,10 +88,11 @@ def foreground(image: np.ndarray, background: tuple[int, ...], threshold: float)
     return np.sqrt(((image.astype(np.float64) - np.array(background)) ** 2).sum(2)) > threshold
 
 
-def components(mask: np.ndarray) -> list[tuple[int, int, int, int, int]]:
-    """(x1, y1, x2, y2, pixels) of 8-connected components, by union of row runs."""
+def components(mask: np.ndarray, diagonal: bool = True) -> list[tuple[int, int, int, int, int, tuple[int, int]]]:
+    """(x1, y1, x2, y2, pixels, first pixel as (y, x)) of connected components, by union of row runs."""
     parent: list[int] = []
     runs, above = [], []
+    reach = 1 if diagonal else 0
 
     def root(i: int) -> int:
         while parent[i] != i:
@@ -106,36 +107,80 @@ def components(mask: np.ndarray) -> list[tuple[int, int, int, int, int]]:
             k = len(parent)
             parent.append(k)
             for a2, b2, k2 in above:
-                if a2 <= b and a <= b2:
+                if a2 < b + reach and a < b2 + reach:
                     parent[root(k)] = root(k2)
             runs.append((a, b, y, k))
             here.append((a, b, k))
         above = here
-    out: dict[int, list[int]] = {}
+    out: dict[int, list] = {}
     for a, b, y, k in runs:
-        o = out.setdefault(root(k), [a, y, b, y + 1, 0])
-        o[:] = [min(o[0], a), min(o[1], y), max(o[2], b), max(o[3], y + 1), o[4] + b - a]
+        o = out.setdefault(root(k), [a, y, b, y + 1, 0, (y, a)])
+        o[:5] = [min(o[0], a), min(o[1], y), max(o[2], b), max(o[3], y + 1), o[4] + b - a]
     return sorted(tuple(o) for o in out.values())
 
 
-def segments(image: np.ndarray, background: tuple[int, ...], threshold: float, min_area: int) -> list[tuple[int, int, int, int]]:
-    """Boxes of foreground components of min_area pixels at least; a two-pixel border is cleared, and long thin parts at it are dropped."""
+def without_holes(mask: np.ndarray) -> np.ndarray:
+    """The mask with what it encloses filled."""
+    out = mask.copy()
+    h, w = mask.shape
+    outside = np.zeros((h + 2, w + 2), bool)
+    outside[1:-1, 1:-1] = mask
+    inner = [c for c in components(~outside, diagonal=False) if c[0] > 0]
+    for _, _, _, _, _, (y, x) in inner:
+        todo = [(y - 1, x - 1)]
+        while todo:
+            i, j = todo.pop()
+            if not out[i, j]:
+                out[i, j] = True
+                todo += [(i - 1, j), (i + 1, j), (i, j - 1), (i, j + 1)]
+    return out
+
+
+#: Eight neighbours clockwise, from the left.
+_AROUND = ((0, -1), (-1, -1), (-1, 0), (-1, 1), (0, 1), (1, 1), (1, 0), (1, -1))
+
+
+def border_area(mask: np.ndarray, first: tuple[int, int]) -> float:
+    """Area of the polygon along the outer border of the component whose topmost, leftmost pixel is first; 0 for lines and points."""
+    h, w = mask.shape
+    inside = lambda p: 0 <= p[0] < h and 0 <= p[1] < w and bool(mask[p])
+    at, back, twice, start = first, 0, 0, None
+    while True:
+        for k in range(1, 9):
+            d = (back + k) % 8
+            to = (at[0] + _AROUND[d][0], at[1] + _AROUND[d][1])
+            if inside(to):
+                break
+        else:
+            return 0.0
+        if (at, d) == start:
+            return abs(twice) / 2
+        start = start or (at, d)
+        twice += at[1] * to[0] - to[1] * at[0]
+        at, back = to, (d + 5) % 8 if d % 2 else (d + 6) % 8
+
+
+def segments(image: np.ndarray, background: tuple[int, ...], threshold: float, min_area: float, tolerance: int = 3) -> list[tuple[int, int, int, int]]:
+    """Boxes of foreground components of min_area at least; a two-pixel border is cleared, and long thin parts near it are dropped."""
     mask = foreground(image, background, threshold)
     mask[:2], mask[-2:], mask[:, :2], mask[:, -2:] = False, False, False, False
+    mask = without_holes(mask)
     h, w = mask.shape
     out = []
-    for x1, y1, x2, y2, n in components(mask):
-        edge = x1 <= 2 or y1 <= 2 or x2 >= w - 2 or y2 >= h - 2
+    for x1, y1, x2, y2, _, first in components(mask):
+        edge = x1 <= tolerance or y1 <= tolerance or x2 >= w - tolerance or y2 >= h - tolerance
         aspect = max((x2 - x1) / (y2 - y1), (y2 - y1) / (x2 - x1))
-        if n >= min_area and not (edge and aspect >= 5):
+        if not (edge and aspect >= 5) and border_area(mask, first) >= min_area:
             out.append((x1, y1, x2, y2))
     return out
 
 
-def transformed(blob: np.ndarray, rng: np.random.Generator, scale: tuple[float, float] | None = None, angle: float = 0.0, flip: float = 0.0, jitter: float = 0.0, background: tuple[int, ...] = (114, 114, 114), least: int = 4) -> np.ndarray:
+def transformed(blob: np.ndarray, rng: np.random.Generator, scale: tuple[float, float] | None = None, angle: float = 0.0, flip: float = 0.0, jitter: float = 0.0, flip_v: float = 0.0, background: tuple[int, ...] = (114, 114, 114), least: int = 4) -> np.ndarray:
     """Flip, rotate, scale, jitter, in this order, each by chance of rng."""
     if rng.random() < flip:
         blob = blob[:, ::-1]
+    if rng.random() < flip_v:
+        blob = blob[::-1]
     if angle:
         a = np.deg2rad(rng.uniform(-angle, angle))
         h, w = blob.shape[:2]

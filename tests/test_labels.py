@@ -279,8 +279,22 @@ def test_pixels():
     assert pixels.letterbox(im, 64, 64).shape == (64, 64, 3) and (pixels.resized(im, 50, 40) == im).all()
     rng = np.random.default_rng(1)
     blob = pixels.transformed(im[10:20, 15:30], rng, (0.5, 1.0), 20, 0.5, 0.1)
-    made = augment.compose(rng, im, [(1, (15, 10, 30, 20))], 2, {2: [blob]})
-    assert made is not None and made[0].shape == im.shape and any(c == 2 for c, _ in made[1])
+    settings = augment.Settings(min_area=5, scale=(0.8, 1.1), rotate=10, flip_h=0.5, flip_v=0.5, jitter=0.1, fill_empty=True, drop=0.0, radius=1)
+    for layout in (False, True):
+        for placement in ("random", "dense"):
+            made = augment.compose(rng, im, [(1, (15, 10, 30, 20))], 2, blob, [blob], augment.replace(settings, placement=placement), {2: np.ones((2, 2))}, layout)
+            assert made is not None and made[0].shape == im.shape and any(c == 2 for c, _ in made[1])
+            boxes = [b for _, b in made[1]]
+            assert all(augment.free(b, boxes[:i], 2) for i, b in enumerate(boxes))
+    assert augment.compose(rng, im, [], 2, np.zeros((40, 50, 3), np.uint8)) is None and augment.compose(rng, im, [], 2, None) is None
+    assert augment.place_near(rng, (40, 50), (10, 10), (0, 0, 4, 4), [], 0, 0) is None and augment.place_near(rng, (40, 50), (10, 10), (20, 20, 24, 24), [], 0, 0) == (17, 17, 27, 27)
+    ring = np.zeros((12, 12), bool)
+    ring[2:9, 2:9] = True
+    ring[4:7, 4:7] = False
+    assert pixels.border_area(ring, (2, 2)) == 36 and pixels.without_holes(ring).sum() == 49 and pixels.border_area(np.eye(5, dtype=bool), (0, 0)) == 0
+    cross = np.zeros((7, 7), bool)
+    cross[3, 1:6], cross[1:6, 3] = True, True
+    assert pixels.border_area(cross, (1, 3)) == 2.0
     placed = []
     while b := augment.place_dense((40, 50), (10, 10), placed, 1, 5):
         assert augment.free(b, placed, 1)
@@ -288,6 +302,36 @@ def test_pixels():
     assert len(placed) == 9 and augment.place_random(rng, (10, 10), (10, 10), [], 0) is None
 
 
+def test_augment(spark, tmp_path):
+    """Bucket, rounds, images and label files, through Spark."""
+    (tmp_path / "in").mkdir()
+    for k in range(4):
+        im = np.full((60, 80, 3), 200, np.uint8)
+        im[10:20, 10 + k : 30] = (0, 50 * k, 9)
+        im[40:50, 50:60] = (90, 9, 9)
+        (tmp_path / f"in/{k}.png").write_bytes(pixels.png(im))
+    box = lambda c, x1, y1, x2, y2: F.struct(F.lit(c).alias("class_id"), F.lit(x1).alias("x1"), F.lit(y1).alias("y1"), F.lit(x2).alias("x2"), F.lit(y2).alias("y2"))
+    im = datasets.decoded(spark, str(tmp_path / "in")).withColumn("boxes", F.array(box(1, 10, 10, 30, 20)))
+    s = augment.Settings(min_area=20, pad=1, flip_h=0.5)
+    bucket = augment.build_bucket(im, s, 3, 2)
+    assert sorted((str(r.class_id), r.number, r.height) for r in bucket.collect()) == [("1", 0, 10), ("1", 1, 10), ("1", 2, 10), ("None", 0, 10), ("None", 1, 10)]
+    c = classes.classes_table(spark, ["x", "car a"])
+    datasets.write_files(augment.bucket_contents(bucket, c), str(tmp_path / "bucket"))
+    assert len(list((tmp_path / "bucket/classes/001_car_a").glob("*.png"))) == 3 and (tmp_path / "bucket/seg/000001.png").exists()
+    datasets.write_files(augment.mask_contents(im, s, 2), str(tmp_path / "masks"))
+    assert sorted(p.name for p in (tmp_path / "masks").iterdir()) == ["0_mask.png", "1_mask.png"]
+    need = spark.createDataFrame([(1, 5), (7, 2), (0, 0)], "class_id int, need bigint")
+    made = augment.rebalanced(need, im, bucket, 3, s, failures=4)
+    rows = made.collect()
+    assert len(rows) == 5 and {r.class_id for r in rows} == {1} and all(any(b[0] == 1 for b in r.boxes) and len(r.data) == 60 * 80 * 3 for r in rows)
+    assert augment.rebalanced(need, im, bucket, 3, s, most=3, failures=1).count() <= 3
+    datasets.write_files(augment.made_contents(made, "train"), str(tmp_path / "out"))
+    labels = sorted((tmp_path / "out/train/labels").iterdir())
+    assert len(labels) == 5 and len(list((tmp_path / "out/train/images").iterdir())) == 5
+    assert all(len(x.split()) == 5 and x.split()[0] == "1" for f in labels for x in f.read_text().splitlines())
+    assert datasets.decoded(spark, str(tmp_path / "out")).count() == 5
+
+
 def test_stream(spark, tmp_path):
     c = spark.createDataFrame([(3,)], "class_id int")
     d = spark.sql("select 1L line_id, 1L file_id, '3 .5 .5 .1 .1' raw, timestamp'2024-01-01' ingested_at union all select 2L, 1L, 'bad', timestamp'2024-01-01'")
