@@ -17,14 +17,22 @@ from tessera.util import cut, load, shared_dir
 QUERIES, ORACLE = {}, {}
 
 
-def query(sql: str | None = None):
-    def add(f):
-        QUERIES[f.__name__] = f
-        if sql:
-            ORACLE[f.__name__] = sql
-        return f
-
-    return add
+def query_into(queries: dict, oracle: dict):
+    """A decorator that registers a query with its SQL."""
+
+    def query(sql: str | None = None):
+        def add(f):
+            queries[f.__name__] = f
+            if sql:
+                oracle[f.__name__] = sql
+            return f
+
+        return add
+
+    return query
+
+
+query = query_into(QUERIES, ORACLE)
 
 
 # --- parsing ---------------------------------------------------------------------------------------
