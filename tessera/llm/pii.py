@@ -167,7 +167,9 @@ class Detector:
             if len(self.finder):
                 self.finder.make_automaton()
         low = text.lower()
-        if not len(self.finder) or len(low) != len(text):
+        if len(low) != len(text):  # signs whose small form is longer stay, so that positions hold
+            low = "".join(c.lower() if len(c.lower()) == 1 else c for c in text)
+        if not len(self.finder):
             return
         for end, n in self.finder.iter(low):
             a, b = end - n + 1, end + 1

@@ -209,7 +209,7 @@ MEMBERS = ["The Speaker", "Evvek Brannich", None]
         ("demeurant 187, avenue de Gantberford, KM 8569 Northlowport.", [("address", "187, avenue de Gantberford, KM 8569 Northlowport")]), ("Section 18 Street Works Act; The Moornick Road scheme", []),
         ("Last week Olma Kelbwood lost", [("name", "Olma Kelbwood")]), ("ROSEK P. VAN NORSTAUD’s post; Captain de Kelbwood-Pelldard", [("name", "ROSEK P. VAN NORSTAUD"), ("name", "de Kelbwood-Pelldard")]), ("A pensioner, Norstaud, Olma, told", [("name", "Norstaud, Olma")]), ("I, J. al-Pelldard, object", [("name", "J. al-Pelldard")]),
         ("Mr Brannich and Evvek Brannich and E. Brannich; Mr Speaker; The Norstaud Commission; the Olma Kelbwood Reservoir", []),
-        ("wrote olma kelbwood to us, and norstaud, rosek, or Issuna j. de pelldard", [("name", "olma kelbwood"), ("name", "norstaud, rosek"), ("name", "Issuna j. de pelldard")]), ("the kelbwood olma; olma, kelbwood; evvek brannich; olma’s kelbwood; olma.kelbwood", []),
+        ("İ. wrote olma kelbwood to us, and norstaud, rosek, or Issuna j. de pelldard", [("name", "olma kelbwood"), ("name", "norstaud, rosek"), ("name", "Issuna j. de pelldard")]), ("the kelbwood olma; olma, kelbwood; evvek brannich; olma’s kelbwood; olma.kelbwood", []),
         ("saw Dr. Zhang Wei and Mrs Łucja Żółć-Ćwik in town", [("name", "Zhang Wei"), ("name", "Łucja Żółć-Ćwik")]), ("Ms Ğelbwood came", [("name", "Ğelbwood")]),
         ("La route a touché M. Norstaud, carte", [("name", "Norstaud")]), ("Ask M. Norstaud about the bus of the day", [("name", "M. Norstaud")]),
     ],
