@@ -658,9 +658,9 @@ def last_scored(spark, d):
     return joins.last_by_key(e, "path", ["scored_at", "error_id"]).select("path", "error_id")
 
 
-@query("select image_key, coalesce(bool_or(l), false) in_left, coalesce(bool_or(r), false) in_right from (select image_key, true l, false r from label_files union all select image_key, false, true from boxes) where image_key is not null group by 1")
+@query("select image_key, coalesce(bool_or(l), false) in_left, coalesce(bool_or(r), false) in_right from (select image_key, true l, false r from label_files union all select image_key, false, true from boxes) where image_key in (select image_key from images where width > 0) group by 1")
 def dataset_keys(spark, d):
-    return joins.key_union(load(spark, d, "label_files"), load(spark, d, "boxes"), "image_key")
+    return joins.key_union(load(spark, d, "label_files"), load(spark, d, "boxes"), "image_key", load(spark, d, "images").where("width > 0"))
 
 
 @query("select error_id, 3 * missed + 2 * false_pos + 2 * misclassified + low_iou error_score, coalesce(array_to_string(details, '; '), '') details from image_errors")
