@@ -15,7 +15,7 @@ NAN, INF = float("nan"), float("inf")
 # --- digests
 def test_percentiles(spark):
     rng = random.Random(1)
-    rows = [(rng.choice("aaaab"), d, rng.paretovariate(0.7)) for d in range(6) for _ in range(3000)] + [("a", 0, NAN), ("a", 0, None), ("b", 0, -INF), ("c", 1, None), (None, 1, 2.0), ("one", 1, 7.0)] + [("tie", 1, 3.0)] * 50
+    rows = [(rng.choice("aaaab"), d, rng.paretovariate(0.7)) for d in range(4) for _ in range(3000)] + [("a", 0, NAN), ("a", 0, None), ("b", 0, -INF), ("c", 1, None), (None, 1, 2.0), ("one", 1, 7.0)] + [("tie", 1, 3.0)] * 50
     d = spark.createDataFrame(rows, "k string, day int, v double").repartition(7)
     qs = [0.01, 0.5, 0.9, 0.999]
     fine, got = digests.certified_percentiles(d.withColumn("n", F.lit("clash")), ["k"], "v", qs, ["day"], size=300)
@@ -81,8 +81,7 @@ def test_pictures(spark, monkeypatch):
     p = overlap.scored_pictures(d)
     assert {r.key for r in p.where("error_id < 20 or error_id = 22").select(overlap.shown(F.col("name")).alias("key")).collect()} == {"|trn|6|20140116|1546|"}
     train, held = [1, 3, 5], [0, 2, 4, 22]
-    for shard_names in (1, 40_000):
-        assert {tuple(r) for r in overlap.overlapping_pairs(p, shard_names).collect()} == {(min(a, b), max(a, b)) for a in train for b in held}
+    assert {tuple(r) for r in overlap.overlapping_pairs(p, shard_names=2).collect()} == {(min(a, b), max(a, b)) for a in train for b in held}
     counts = overlap.overlap_counts(p).collect()
     assert sum(r.pairs for r in counts) == 12 and {(r.split, r.source) for r in counts} == {("valid", "x"), ("test", "y")}
     assert overlap.overlapping_pairs(p.limit(0)).count() == 0
