@@ -69,8 +69,7 @@ def pairs_of(lines, files, segment=10_000, digest=None):
     return {tuple(r) for r in repeated_deliveries(same_deliveries(met, lines)).collect()}
 
 
-@pytest.mark.parametrize("segment", [7, 10_000])
-def test_small_files(spark, tmp_path, segment):
+def test_small_files(spark, tmp_path, segment=7):
     lines, files, l, f = files_case(spark)  # noqa: E741
     want = brute(lines, files)
     assert pairs_of(l.repartition(3), f, segment) == want and want
