@@ -7,8 +7,8 @@ import pytest
 from pyspark.sql import functions as F
 
 from tessera.functions import geom, parse, text
-from tessera.operators import augment, classes, crops, joins, metrics, overlay, pixels, rank
-from tessera.operators.match import absorbed, match_events, numbered
+from tessera.operators import augment, classes, crops, greedy, joins, metrics, overlay, pixels, rank
+from tessera.operators.match import Sides, absorbed, greedy_match, match_events, numbered
 from tessera.sources import datasets
 from tessera.streaming import labels
 
@@ -94,6 +94,31 @@ def test_greedy_match(spark, monkeypatch, chunk):
     assert sum(e.gt_idx is not None for e in ev) == len(gt) and sum(e.pred_idx is not None for e in ev) == len(pred)
 
 
+@pytest.mark.parametrize("chunk", [60, 1024])
+def test_greedy_match_in_a_crowd(spark, chunk):
+    """An image with more pairs than are compared directly, with many alike: the loop's matches, in one chunk or several."""
+    rng = random.Random(4)
+    boxes = lambda: [(7, i, 0, (x := rng.randint(0, 12), y := rng.randint(0, 12), x + rng.randint(1, 9), y + rng.randint(1, 9))) for i in range(240)]
+    gt, pred, used, want = boxes(), boxes(), set(), set()
+    for g in gt:
+        score, k = max(((iou(g[3], p[3]), -p[1]) for p in pred if p[1] not in used), default=(0, 0))
+        if score >= 0.5:
+            used.add(-k)
+            want.add((g[1], -k))
+    got = greedy_match(Sides(frame(spark, gt), frame(spark, pred), 0.5), chunk).collect()
+    assert {(r.gt_idx, r.pred_idx) for r in got} == want and 100 < len(got) == len(want)
+
+
+def test_greedy_match_lists_no_more_pairs_than_it_needs(monkeypatch):
+    rng, n, seen = np.random.default_rng(3), 5000, []
+    side = lambda: {"idx": np.arange(n), "group": np.zeros(n, int), "bound": np.full(n, greedy.FREE), "x1": (x := rng.random(n) * 40), "y1": (y := rng.random(n) * 40), "w": (w := 60 + rng.random(n) * 180), "h": (h := 60 + rng.random(n) * 180), "x2": x + w, "y2": y + h}
+    plain = greedy._iou
+    monkeypatch.setattr(greedy, "_iou", lambda g, i, p, k: (seen.append(len(i)), plain(g, i, p, k))[1])
+    found = [len(i) for i, _, _ in greedy.matched(side(), side(), 0.3)]
+    # 17 of 25 million pairs reach the threshold
+    assert sum(found) > 4900 and sum(seen) < n * n / 5
+
+
 @pytest.mark.parametrize("chunk", [5, 1024])
 def test_absorbed(spark, chunk):
     rows, want = cases(5, 70), set()
