@@ -118,8 +118,20 @@ def place_dense(canvas: tuple[int, int], size: tuple[int, int], placed: list[Box
 
 def place_biased(rng: np.random.Generator, canvas: tuple[int, int], size: tuple[int, int], heat: np.ndarray, placed: list[Box], pad: int, tries: int = TRIES) -> Box | None:
     """The coldest of random free places, else any free one."""
-    found = [b for _ in range(max(LEAST_TRIES, tries)) if (b := place_random(rng, canvas, size, placed, pad, 1))]
-    return min(found, key=lambda b: heat_at(heat, b, canvas)) if found else place_random(rng, canvas, size, placed, pad, tries)
+    (H, W), (h, w) = canvas, size
+    if h >= H or w >= W:
+        return None
+    x, y = rng.integers(0, [W - w + 1, H - h + 1], (max(LEAST_TRIES, tries), 2)).T
+    ok = np.ones(len(x), bool)
+    for b in placed:
+        ok &= ~((x - pad < b[2] + pad) & (b[0] - pad < x + w + pad) & (y - pad < b[3] + pad) & (b[1] - pad < y + h + pad))
+    x, y = x[ok], y[ok]
+    if not len(x):
+        return place_random(rng, canvas, size, placed, pad, tries)
+    gh, gw = heat.shape
+    at = np.minimum(gh - 1, ((y + (y + h)) / 2 / H * gh).astype(int)), np.minimum(gw - 1, ((x + (x + w)) / 2 / W * gw).astype(int))
+    k = int(heat[at].argmin())
+    return int(x[k]), int(y[k]), int(x[k]) + w, int(y[k]) + h
 
 
 class Scene:
@@ -176,15 +188,15 @@ def extracted(image: np.ndarray, boxes: list[tuple[int, Box]], s: Settings) -> t
     return background, [x for x in found if not any(_overlap(x, b) >= s.merge_iou for _, b in boxes)]
 
 
-def compose(rng: np.random.Generator, image: np.ndarray, boxes: list[tuple[int, Box]], target: int, blob: np.ndarray | None, strays: list[np.ndarray] = (), s: Settings = Settings(), heat: dict[int, np.ndarray] | None = None, layout: bool = False) -> tuple[np.ndarray, list[tuple[int, Box]]] | None:
+def compose(rng: np.random.Generator, image: np.ndarray, boxes: list[tuple[int, Box]], target: int, blob: np.ndarray | None, strays: list[np.ndarray] = (), s: Settings = Settings(), heat: dict[int, np.ndarray] | None = None, layout: bool = False, found: tuple[tuple[int, ...], list[Box]] | None = None) -> tuple[np.ndarray, list[tuple[int, Box]]] | None:
     """A new image of a scene with a blob of the target class, and its boxes; None if the blob couldn't be placed.
 
     Other classes' boxes, and segments, are dropped by chance. Recomposing places the target first and the rest anywhere, in any order;
-    layout goes by falling area around the old places, the target last.
+    layout goes by falling area around the old places, the target last. found: extracted() of the scene, if it is known.
     """
     if blob is None:
         return None
-    background, segs = extracted(image, boxes, s)
+    background, segs = found or extracted(image, boxes, s)
     if s.keep_background:
         canvas = pixels.fill_boxes(image, [*(b for _, b in boxes), *segs], background)
     else:

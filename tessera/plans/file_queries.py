@@ -149,16 +149,20 @@ def compose_checks(spark, d):
         "filled": (augment.Settings(fill_empty=True, fill_ratio=0.4, fill_blobs=5, fill_tries=20), False), "changed": (augment.Settings(scale=(0.7, 1.1), rotate=15, flip_h=0.5, flip_v=0.5, jitter=0.2, radius=1), True),
     }
 
-    compose, free = augment.compose, augment.free
+    plain = augment.Settings()
+    compose, free, extracted = augment.compose, augment.free, augment.extracted
 
     def run(batches):
         for pdf in batches:
             rows = []
             for k in pdf["image_key"].tolist():
                 im, blob = _picture(k), np.full((4, 5, 3), 30, np.uint8)
+                scene = [(1, (10, 8, 20 + k % 7, 14 + k % 5))]
+                # every mode extracts alike
+                found = extracted(im, scene, plain)
                 for mode, (s, layout) in modes.items():
                     heat = {2: np.arange(9.0).reshape(3, 3)}
-                    made = compose(np.random.default_rng([7, k % (1 << 62)]), im, [(1, (10, 8, 20 + k % 7, 14 + k % 5))], 2, blob, [blob], s, heat, layout)
+                    made = compose(np.random.default_rng([7, k % (1 << 62)]), im, scene, 2, blob, [blob], s, heat, layout, found)
                     boxes_ = [b for _, b in made[1]] if made else []
                     inside = all(0 <= b[0] < b[2] <= 40 and 0 <= b[1] < b[3] <= 30 for b in boxes_)
                     rows.append((k, mode, made is not None, inside, all(free(b, boxes_[:i], s.pad) for i, b in enumerate(boxes_)), made is not None and any(c == 2 for c, _ in made[1])))

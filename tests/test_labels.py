@@ -386,3 +386,35 @@ def test_overlays(spark):
     got = overlay.overlays(b, classes.classes_table(spark, ["a", "b", "c"])).collect()
     assert {(r.label, tuple(r.box)) for r in got} == {("a", (3, 3, 11, 11)), ("7", (-2, -2, 3, 3))}
     assert [tuple(one(spark, overlay.hue_colour(F.lit(i), F.lit(3)))) for i in range(3)] == [(255, 0, 0), (0, 255, 0), (0, 0, 255)]
+
+
+def test_components_of_any_mask():
+    rng = np.random.default_rng(5)
+    for shape in ((1, 1), (1, 9), (9, 1), (8, 11), (20, 30)):
+        for density in (0, 0.3, 0.5, 1):
+            for diagonal in (False, True):
+                mask, want = rng.random(shape) < density, []
+                left = set(zip(*map(np.ndarray.tolist, np.nonzero(mask))))
+                while left:
+                    todo = part = [min(left)]
+                    left -= set(todo)
+                    for y, x in todo:
+                        near = {(y + i, x + j) for i in (-1, 0, 1) for j in (-1, 0, 1) if diagonal or not (i and j)} & left
+                        left -= near
+                        part += near
+                    ys, xs = zip(*part)
+                    want.append((min(xs), min(ys), max(xs) + 1, max(ys) + 1, len(part), min(part)))
+                assert pixels.components(mask, diagonal) == sorted(want)
+
+
+def test_a_scene_is_extracted_once_for_all_modes(monkeypatch):
+    im = np.full((30, 40, 3), 9, np.uint8)
+    im[8:14, 10:20], im[20:28, 25:35] = 99, 200
+    boxes, blob, heat = [(1, (10, 8, 20, 14))], np.full((4, 5, 3), 30, np.uint8), {2: np.arange(9.0).reshape(3, 3)}
+    settings = [augment.Settings(), augment.Settings(placement="dense", dense_step=6), augment.Settings(radius=1)]
+    build = lambda s, found=None: augment.compose(np.random.default_rng(1), im, boxes, 2, blob, [blob], s, heat, False, found)
+    want, found = [build(s) for s in settings], augment.extracted(im, boxes, settings[0])
+    monkeypatch.setattr(augment, "extracted", None)
+    for s, (canvas, labels_) in zip(settings, want):
+        again = build(s, found)
+        assert (again[0] == canvas).all() and again[1] == labels_
