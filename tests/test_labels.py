@@ -418,3 +418,13 @@ def test_a_scene_is_extracted_once_for_all_modes(monkeypatch):
     for s, (canvas, labels_) in zip(settings, want):
         again = build(s, found)
         assert (again[0] == canvas).all() and again[1] == labels_
+
+
+@pytest.mark.parametrize("part_pairs", [900, 400_000_000])
+def test_collisions_need_no_cells(spark, part_pairs, monkeypatch):
+    """Crowded and small images, in one part or several, without the join by cells."""
+    rows = cases(6, 120)
+    hit = lambda a, b: a[0] - 2 < b[2] + 2 and b[0] - 2 < a[2] + 2 and a[1] - 2 < b[3] + 2 and b[1] - 2 < a[3] + 2
+    want = [(a[0], a[1], b[1]) for a in rows for b in rows if a[0] == b[0] and a[1] < b[1] and hit(a[3], b[3])]
+    monkeypatch.setattr(joins, "overlapping", None)
+    assert sorted(tuple(r) for r in joins.collisions(frame(spark, rows), 2, part_pairs).collect()) == sorted(want) and len(want) > 100
