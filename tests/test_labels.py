@@ -119,6 +119,16 @@ def test_greedy_match_lists_no_more_pairs_than_it_needs(monkeypatch):
     assert sum(found) > 4900 and sum(seen) < n * n / 5
 
 
+def test_greedy_match_looks_in_stripes(monkeypatch):
+    """Lines of a page, all of one width and left side: only those near a box's height are looked at."""
+    n, seen, plain = 3000, [], greedy._expanded
+    y = np.arange(n) * 12.0
+    side = lambda: {"idx": np.arange(n), "group": np.zeros(n, int), "bound": np.full(n, greedy.FREE), "x1": np.zeros(n), "y1": y, "w": np.full(n, 500.0), "h": np.full(n, 20.0), "x2": np.full(n, 500.0), "y2": y + 20}
+    monkeypatch.setattr(greedy, "_expanded", lambda lo, hi: (seen.append(int((hi - lo).sum())), plain(lo, hi))[1])
+    found = [np.stack([i, k]) for i, k, _ in greedy.matched(side(), side(), 0.5)]
+    assert np.array_equal(np.concatenate(found, 1), [np.arange(n)] * 2) and sum(seen) < n * 100
+
+
 @pytest.mark.parametrize("chunk", [5, 1024])
 def test_absorbed(spark, chunk):
     rows, want = cases(5, 70), set()
